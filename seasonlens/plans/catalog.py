@@ -266,3 +266,159 @@ def documents_query(spark, sf_dir):
     """The assembled document per player-year, checked by its section sizes."""
     dims, feat = _setup(spark, sf_dir)
     return _document_counts(doc.build_documents(feat, dims))
+
+
+# ---------------------------------------------------------------- F
+@register("f01_f02_chunks")
+def chunks_query(spark, sf_dir):
+    """F1-F2: 300-token chunks with 20 % overlap over whole documents, keys attached."""
+    from seasonlens.operators.retrieval import chunk_documents
+
+    docs = binding.table(spark, sf_dir, "documents")
+    ch = chunk_documents(docs, "doc_id", "text", keep=("lang",))
+    return ch.select("chunk_id", "doc_id", "lang", "chunkNo", "nTokens", "text")
+
+
+@register("f03_vector_topk")
+def topk_query(spark, sf_dir):
+    """top-15 by cosine to each label's centroid, filtered to equal label."""
+    from seasonlens.operators.retrieval import centroids, vector_topk
+
+    emb = binding.table(spark, sf_dir, "embeddings")
+    q = centroids(emb, "label", "embedding").select(
+        F.col("label").alias("query_id"), "label", F.col("centroid").alias("query_vec")
+    )
+    corpus = emb.select(F.col("vec_id").alias("doc_id"), "label", "embedding")
+    top = vector_topk(q, corpus, ["label"], k=15, rank_digits=R)
+    return top.select("label", "rank", F.col("doc_id").alias("vec_id"), rnd("score"))
+
+
+@register("f04_json_extract")
+def json_extract_query(spark, sf_dir):
+    """JSON array recovered from free text, with the failure reason."""
+    from pyspark.sql import types as T
+
+    from seasonlens.functions.text import extract_json_array
+
+    t = binding.json_texts(spark, sf_dir)
+    r = t.select("event_id", extract_json_array("text", T.StructType([T.StructField("k", T.LongType())])).alias("r"))
+    return r.select(
+        "event_id", F.col("r.status").alias("status"),
+        F.when(F.col("r.value").isNotNull(), F.size("r.value").cast("long")).alias("nElements"),
+        F.try_element_at("r.value", F.lit(1))["k"].alias("firstK"),
+    )
+
+
+# ---------------------------------------------------------------- G
+@register("g01_g02_progress_fold")
+def progress_query(spark, sf_dir):
+    """G1: display state and percent of every job after all its messages."""
+    from seasonlens.streaming.progress import progress_fold
+
+    msgs = binding.progress_messages(spark, sf_dir)
+    return progress_fold(msgs, "job", "seq").select(
+        F.col("job").alias("user_id"), "state", "count", "total", "percent", "messages"
+    )
+
+
+@register("g04_g05_answer_score")
+def score_query(spark, sf_dir):
+    """First answer per question, score and tier per player."""
+    from seasonlens.operators.scoring import score
+
+    ans = binding.answers(spark, sf_dir)
+    facts = ans.select("player", "question").distinct().withColumn("correct_answer", F.lit(1).cast("long"))
+    out = score(ans, facts, order=("ts", "event_id"))
+    return out.select(F.col("player").alias("user_id"), "answered", "correct", "total", "tier")
+
+
+# ---------------------------------------------------------------- B
+def _extracted(spark, sf_dir):
+    from seasonlens.operators import ingest
+
+    rows = ingest.extract_player_rows(binding.raw_matches(spark, sf_dir))
+    return ingest.split_malformed(rows)
+
+
+@register("b01_b04_extract")
+def extract_query(spark, sf_dir):
+    """B1-B4 (+B11): every player's row out of the nested match documents."""
+    valid, _ = _extracted(spark, sf_dir)
+    return valid.select(
+        "puuid", "matchId", "gameCreation", "gameDuration", "championName", "kills", "deaths", "assists", "win",
+        F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("itemsText"),
+        "summoner1Id", "summoner2Id",
+        F.col("perks.primaryStyle").alias("primaryStyle"), F.col("perks.subStyle").alias("subStyle"),
+        F.col("perks.primaryPerk").alias("primaryPerk"), "year", "month_part", "day_part",
+    )
+
+
+@register("b05_quarantine")
+def quarantine_query(spark, sf_dir):
+    """Malformed participant rows with the reason."""
+    _, bad = _extracted(spark, sf_dir)
+    return bad
+
+
+@register("b06_b11_year_window")
+def year_window_query(spark, sf_dir):
+    """Games started inside 1998 (UTC, both ends inclusive) and their date keys."""
+    from seasonlens.operators import ingest
+
+    rows = binding.player_matches_with_start(spark, sf_dir)
+    return ingest.in_year(rows, 1998).select("puuid", "matchId", "year", "month_part", "day_part")
+
+
+@register("b07_b08_new_matches")
+def new_matches_query(spark, sf_dir):
+    """Candidate matches not stored yet (anti-join on puuid, matchId)."""
+    from seasonlens.operators import ingest
+
+    cand = binding.player_matches(spark, sf_dir).select("puuid", "matchId")
+    return ingest.new_matches(cand, binding.stored_match_keys(spark, sf_dir))
+
+
+@register("b09_g03_completeness")
+def completeness_query(spark, sf_dir):
+    """Listed vs stored matches per player-year."""
+    from seasonlens.operators import ingest
+
+    expected = binding.player_matches(spark, sf_dir)
+    return ingest.completeness(expected, binding.stored_match_keys(spark, sf_dir))
+
+
+@register("b10_upsert")
+def upsert_query(spark, sf_dir):
+    """Idempotent write, last version of a (puuid, matchId) wins."""
+    from seasonlens.operators import ingest
+
+    m = binding.player_matches(spark, sf_dir)
+    part = F.element_at(F.split("matchId", "_"), 3).cast("long")
+    old = m.where(part % 2 == 0).select("puuid", "matchId", "kills", F.lit(1).alias("version"))
+    new = m.where(part % 3 == 0).select("puuid", "matchId", (F.col("kills") + 100).alias("kills"), F.lit(2).alias("version"))
+    return ingest.upsert(old, new, "version").select("puuid", "matchId", "kills", "version")
+
+
+@register("b12_b16_requests")
+def requests_query(spark, sf_dir):
+    """Normalise, validate, split, encode and route every request."""
+    from seasonlens.operators.requests import parse_requests
+
+    out = parse_requests(binding.requests(spark, sf_dir))
+    return out.select(
+        "c_custkey", "handle", "region_code", "status", "error", "game_name", "tag_line", "routing_value",
+        "account_routing", "region_label",
+    )
+
+
+@register("b17_b19_routes")
+def routes_query(spark, sf_dir):
+    """Existence flags, route and the running-work guard per player-year."""
+    from seasonlens.operators.requests import guard_running, route, work_flags
+
+    keys = binding.player_matches(spark, sf_dir).select("puuid", "year").distinct()
+    summaries = keys.where(F.col("puuid") % 2 == 0)
+    finals = keys.where(F.col("puuid") % 4 == 0)
+    running = keys.where(F.col("puuid") % 3 == 0)
+    work = work_flags(keys, summaries, finals).withColumn("route", route())
+    return guard_running(work, running).select("puuid", "year", "summary_exists", "final_exists", "route", "action")

@@ -268,6 +268,206 @@ SELECT puuid, year, count(*) AS totalGames,
 FROM f GROUP BY puuid, year"""
 
 
+
+# ------------------------------------------------------------------ F
+ORACLE["f01_f02_chunks"] = """
+WITH w AS (
+  SELECT doc_id, lang, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '') AS words
+  FROM documents),
+c AS (SELECT doc_id, lang, words, len(words) AS n FROM w WHERE len(words) > 0),
+s AS (
+  SELECT doc_id, lang, words,
+         unnest(range(0, CASE WHEN n <= 300 THEN 1 ELSE (n - 300 + 239) // 240 + 1 END)) AS chunk_no
+  FROM c)
+SELECT doc_id || '-' || chunk_no AS chunk_id, doc_id, lang, cast(chunk_no AS INTEGER) AS chunkNo,
+  cast(len(list_slice(words, chunk_no*240 + 1, chunk_no*240 + 300)) AS INTEGER) AS nTokens,
+  array_to_string(list_slice(words, chunk_no*240 + 1, chunk_no*240 + 300), ' ') AS text
+FROM s"""
+
+ORACLE["f03_vector_topk"] = f"""
+WITH e AS (SELECT vec_id, label, cast(embedding AS DOUBLE[]) AS v FROM embeddings),
+cells AS (SELECT label, unnest(range(1, len(v) + 1)) AS pos, unnest(v) AS x FROM e),
+cen AS (
+  SELECT label, list(a ORDER BY pos) AS c
+  FROM (SELECT label, pos, avg(x) AS a FROM cells GROUP BY label, pos) GROUP BY label),
+sc AS (
+  SELECT e.label, e.vec_id,
+         list_dot_product(c, v) / (sqrt(list_dot_product(c, c)) * sqrt(list_dot_product(v, v))) AS score
+  FROM e JOIN cen USING (label)),
+rk AS (
+  SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, {R}) DESC, vec_id) AS rn
+  FROM sc)
+SELECT label, cast(rn AS INTEGER) AS rank, vec_id, round(score, {R}) AS score FROM rk WHERE rn <= 15"""
+
+ORACLE["f04_json_extract"] = r"""
+WITH t AS (
+  SELECT event_id,
+    CASE event_id % 4 WHEN 0 THEN '[' || props || ']'
+                      WHEN 1 THEN 'Here: [' || props || '] done'
+                      WHEN 2 THEN 'No list, only ' || props
+                      ELSE 'Here: [' || props || '; ] done' END AS text
+  FROM events),
+p AS (
+  SELECT event_id, text, regexp_extract(text, '(?s)\[.*\]', 0) AS span,
+         coalesce(CASE WHEN json_valid(text) THEN json_type(text) = 'ARRAY' END, false) AS whole_ok
+  FROM t),
+q AS (SELECT *, coalesce(CASE WHEN json_valid(span) THEN json_type(span) = 'ARRAY' END, false) AS span_ok FROM p),
+s AS (
+  SELECT event_id,
+    CASE WHEN whole_ok THEN 'whole' WHEN span = '' THEN 'no_array' WHEN span_ok THEN 'extracted'
+         ELSE 'bad_array' END AS status,
+    CASE WHEN whole_ok THEN text WHEN span_ok THEN span END AS js
+  FROM q)
+SELECT event_id, status, cast(json_array_length(js) AS BIGINT) AS nElements,
+  cast(json_extract(js, '$[0].k') AS BIGINT) AS firstK
+FROM s"""
+
+# ------------------------------------------------------------------ G
+_MSG = """
+msg AS (
+  SELECT user_id AS job, ts, event_id,
+    CASE event_type WHEN 'signup' THEN 'START_RETRIEVE_MATCH' WHEN 'view' THEN 'RETRIEVING_MATCH'
+      WHEN 'click' THEN 'PROCESSING_MATCH' WHEN 'error' THEN 'GENERATING_FACTS'
+      WHEN 'purchase' THEN 'COMPLETE' END AS state,
+    CASE WHEN event_type = 'signup' THEN cast(100 AS BIGINT) END AS total,
+    cast(floor(value) AS BIGINT) AS cnt
+  FROM events)"""
+
+ORACLE["g01_g02_progress_fold"] = "WITH " + _MSG + """,
+k AS (SELECT * FROM msg WHERE state IN ('BUSY', 'FAIL', 'START_RETRIEVE_MATCH', 'RETRIEVING_MATCH',
+                                        'PROCESSING_MATCH', 'GENERATING_FACTS', 'COMPLETE')),
+lst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts DESC, event_id DESC) AS rn
+                       FROM k) WHERE rn = 1),
+st AS (SELECT job, total AS start_total
+       FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ts DESC, event_id DESC) AS rn
+             FROM k WHERE state = 'START_RETRIEVE_MATCH') WHERE rn = 1),
+n AS (SELECT job, count(*) AS messages FROM k GROUP BY job),
+j AS (SELECT lst.job, lst.state, lst.cnt, lst.total AS own_total, st.start_total, n.messages,
+             coalesce(nullif(st.start_total, 0), nullif(lst.total, 0), 1) AS used_total
+      FROM lst LEFT JOIN st USING (job) JOIN n USING (job))
+SELECT job AS user_id, state, cnt AS count, cast(used_total AS BIGINT) AS total,
+  cast(CASE state WHEN 'RETRIEVING_MATCH' THEN least(5 + floor(cnt / used_total * 70 + 0.5), 75)
+                  WHEN 'START_RETRIEVE_MATCH' THEN 5 WHEN 'PROCESSING_MATCH' THEN 75
+                  WHEN 'GENERATING_FACTS' THEN 90 WHEN 'COMPLETE' THEN 100 ELSE 0 END AS BIGINT) AS percent,
+  messages
+FROM j"""
+
+ORACLE["g04_g05_answer_score"] = """
+WITH a AS (
+  SELECT user_id, event_type, cast(floor(value) AS BIGINT) % 4 AS choice,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn
+  FROM events),
+fa AS (SELECT user_id, choice FROM a WHERE rn = 1),
+g AS (SELECT user_id, count(choice) AS answered, count(CASE WHEN choice = 1 THEN 1 END) AS correct,
+             count(*) AS total FROM fa GROUP BY user_id)
+SELECT user_id, answered, correct, total,
+  CASE WHEN correct = total THEN 'all_correct' WHEN correct >= total / 2 THEN 'half_or_more'
+       ELSE 'below_half' END AS tier
+FROM g"""
+
+# ------------------------------------------------------------------ B
+_RAW = """
+li AS (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey
+                               ORDER BY l_linenumber, l_partkey, round(l_extendedprice*100)) AS rn,
+    date_diff('day', timestamp '1970-01-01', o_orderdate)*86400000 + (o_orderkey*7919) % 86400000 AS created
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
+
+ORACLE["b01_b04_extract"] = "WITH " + _RAW + """
+SELECT cast(l_suppkey AS VARCHAR) AS puuid, 'M' || o_orderkey AS matchId, created AS gameCreation,
+  900 + o_orderkey % 1800 AS gameDuration, p_brand AS championName,
+  l_partkey % 15 AS kills, l_suppkey % 9 AS deaths, l_orderkey % 21 AS assists, l_quantity >= 20 AS win,
+  array_to_string([l_partkey % 40, l_suppkey % 40, l_orderkey % 40, l_partkey % 7, l_suppkey % 7, 0,
+                   l_orderkey % 3], ',') AS itemsText,
+  l_suppkey % 27 AS summoner1Id, (l_partkey + l_linenumber) % 27 AS summoner2Id,
+  l_suppkey % 6 AS primaryStyle, l_partkey % 6 AS subStyle, (l_suppkey % 6)*1000 + l_linenumber AS primaryPerk,
+  cast(year(epoch_ms(created + 60000)) AS INTEGER) AS year,
+  cast(month(epoch_ms(created + 60000)) AS INTEGER) AS month_part,
+  cast(day(epoch_ms(created + 60000)) AS INTEGER) AS day_part
+FROM li WHERE rn = 1 AND l_linenumber <> 7"""
+
+ORACLE["b05_quarantine"] = "WITH " + _RAW + """
+SELECT cast(l_suppkey AS VARCHAR) AS puuid, 'M' || o_orderkey AS matchId, 'missing rune styles' AS reason
+FROM li WHERE rn = 1 AND l_linenumber = 7"""
+
+ORACLE["b06_b11_year_window"] = with_base() + """
+SELECT puuid, match_id AS matchId, cast(year(epoch_ms(game_start)) AS INTEGER) AS year,
+  cast(month(epoch_ms(game_start)) AS INTEGER) AS month_part,
+  cast(day(epoch_ms(game_start)) AS INTEGER) AS day_part
+FROM m
+WHERE game_start // 1000 BETWEEN date_diff('second', timestamp '1970-01-01', timestamp '1998-01-01 00:00:00')
+                            AND date_diff('second', timestamp '1970-01-01', timestamp '1998-12-31 23:59:59')"""
+
+ORACLE["b07_b08_new_matches"] = with_base() + """
+SELECT puuid, match_id AS matchId FROM m
+WHERE NOT EXISTS (SELECT 1 FROM m s WHERE s.l_partkey % 2 = 0 AND s.puuid = m.puuid AND s.match_id = m.match_id)"""
+
+ORACLE["b09_g03_completeness"] = with_base(
+    "st AS (SELECT DISTINCT puuid, year, match_id FROM f WHERE l_partkey % 2 = 0)"
+) + """
+SELECT e.puuid, e.year, e.expected, coalesce(s.stored, 0) AS stored, coalesce(s.stored, 0) = e.expected AS complete
+FROM (SELECT puuid, year, count(DISTINCT match_id) AS expected FROM f GROUP BY puuid, year) e
+LEFT JOIN (SELECT puuid, year, count(*) AS stored FROM st GROUP BY puuid, year) s USING (puuid, year)"""
+
+ORACLE["b10_upsert"] = with_base(
+    "old AS (SELECT puuid, match_id, kills, 1 AS version FROM m WHERE l_partkey % 2 = 0)",
+    "new AS (SELECT puuid, match_id, kills + 100 AS kills, 2 AS version FROM m WHERE l_partkey % 3 = 0)",
+) + """
+SELECT coalesce(n.puuid, o.puuid) AS puuid, coalesce(n.match_id, o.match_id) AS matchId,
+  coalesce(n.kills, o.kills) AS kills, coalesce(n.version, o.version) AS version
+FROM old o FULL OUTER JOIN new n ON o.puuid = n.puuid AND o.match_id = n.match_id"""
+
+
+def _values(d: dict[str, str]) -> str:
+    return ", ".join(f"('{k}', '{v}')" for k, v in d.items())
+
+
+def _requests_sql() -> str:
+    from seasonlens.operators.requests import ERR_FORMAT, ERR_REQUIRED, REGION_LABELS, ROUTING
+    from seasonlens.sources.binding import REGION_CODES
+
+    codes = "[" + ", ".join(f"'{c}'" for c in REGION_CODES) + "]"
+    return f"""
+WITH c AS (SELECT c_custkey, c_name, c_nationkey, c_custkey % 10 AS v FROM customer),
+r AS (
+  SELECT c_custkey,
+    CASE WHEN v = 0 THEN NULL WHEN v = 1 THEN '' WHEN v = 2 THEN replace(c_name, '#', ' ')
+         WHEN v = 3 THEN '  ' || c_name || ' ' WHEN v = 4 THEN substr(c_name, 1, 4) || ' ' || substr(c_name, 5)
+         WHEN v = 5 THEN c_name || '#x/y' ELSE c_name END AS riot,
+    CASE WHEN v = 0 THEN c_name WHEN v = 1 THEN '' END AS summ,
+    CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE ({codes})[c_nationkey % 16 + 1] END AS region
+  FROM c),
+n AS (
+  SELECT c_custkey, trim(coalesce(nullif(riot, ''), nullif(summ, ''), '')) AS handle,
+         lower(trim(coalesce(nullif(region, ''), 'na1'))) AS region_code
+  FROM r),
+v AS (SELECT *, handle <> '' AND strpos(handle, '#') > 0 AS ok FROM n),
+rt(code, grp) AS (VALUES {_values(ROUTING)}),
+lb(code, label) AS (VALUES {_values(REGION_LABELS)}),
+x AS (SELECT v.*, coalesce(rt.grp, 'americas') AS routing, lb.label FROM v
+      LEFT JOIN rt ON rt.code = v.region_code LEFT JOIN lb ON lb.code = lower(v.region_code))
+SELECT c_custkey, handle, region_code,
+  CASE WHEN ok THEN 200 ELSE 400 END AS status,
+  CASE WHEN handle = '' THEN '{ERR_REQUIRED}' WHEN NOT ok THEN '{ERR_FORMAT}' END AS error,
+  CASE WHEN ok THEN replace(url_encode(split_part(handle, '#', 1)), '%2F', '/') END AS game_name,
+  CASE WHEN ok THEN replace(url_encode(substr(handle, strpos(handle, '#') + 1)), '%2F', '/') END AS tag_line,
+  CASE WHEN ok THEN routing END AS routing_value,
+  CASE WHEN ok THEN (CASE WHEN routing = 'sea' THEN 'asia' ELSE routing END) END AS account_routing,
+  CASE WHEN region_code IS NULL OR region_code = '' THEN '' ELSE coalesce(label, upper(region_code)) END
+    AS region_label
+FROM x"""
+
+
+ORACLE["b12_b16_requests"] = _requests_sql()
+
+ORACLE["b17_b19_routes"] = with_base("k AS (SELECT DISTINCT puuid, year FROM f)") + """
+SELECT puuid, year, puuid % 2 = 0 AS summary_exists, puuid % 4 = 0 AS final_exists,
+  CASE WHEN puuid % 4 = 0 THEN 'facts_only_read' WHEN puuid % 2 = 0 THEN 'facts_from_summary'
+       ELSE 'full_run' END AS route,
+  CASE WHEN NOT (puuid % 2 = 0 AND puuid % 4 = 0) AND puuid % 3 = 0 THEN 'BUSY' ELSE 'START' END AS action
+FROM k"""
+
+
 # Rounding nudge: engines sum in different orders, so an average whose exact
 # value ends in 5 at the 7th decimal lands on either side of the tie.  Adding
 # 1e-9 before rounding (on both sides) moves every such tie the same way.

@@ -74,7 +74,7 @@ def lineitem_orders_part(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_shipdate",
     )
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     return li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         part, F.col("l_partkey") == F.col("p_partkey")
@@ -136,3 +136,132 @@ def features(spark: SparkSession, sf_dir: str, dims: Dimensions | None = None) -
     """Feature table: ``m`` + C1-C9 + the gameMode label."""
     dims = dims or dimensions(spark, sf_dir)
     return dims.mode(add_features(player_matches(spark, sf_dir)))
+
+
+# ------------------------------------------------------------ raw matches
+def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1-B5 input: one nested match document per order, its line items as
+    participants (player id = supplier key).  Line 7 of an order lacks its
+    second rune style, so the extraction has malformed rows to quarantine."""
+    lines = lineitem_orders_part(spark, sf_dir)
+    first_style = "named_struct('style', l_suppkey % 6, 'selections', array(named_struct('perk', (l_suppkey % 6)*1000 + l_linenumber)))"
+    second_style = "named_struct('style', l_partkey % 6, 'selections', cast(array() as array<struct<perk:bigint>>))"
+    participant = F.struct(
+        F.col("l_suppkey").cast("string").alias("puuid"),
+        F.col("p_brand").alias("championName"),
+        F.expr("cast(substr(p_brand, 7) as bigint)").alias("championId"),
+        F.expr("case when p_type = 'SMALL' then '' else p_type end").alias("teamPosition"),
+        F.expr("case when p_type = 'SMALL' then '' else p_type end").alias("individualPosition"),
+        *[F.expr(_PLAYER_MATCH_EXPRS[c]).alias(c) for c in (
+            "kills", "deaths", "assists", "totalMinionsKilled", "neutralMinionsKilled", "goldEarned",
+            "totalDamageDealtToChampions", "totalDamageTaken", "visionScore", "win")],
+        *[F.expr(_PLAYER_MATCH_EXPRS["items"])[i].alias(f"item{i}") for i in range(7)],
+        F.expr(_PLAYER_MATCH_EXPRS["summoner1Id"]).alias("summoner1Id"),
+        F.expr(_PLAYER_MATCH_EXPRS["summoner2Id"]).alias("summoner2Id"),
+        F.struct(
+            F.expr(f"case when l_linenumber = 7 then array({first_style}) else array({first_style}, {second_style}) end").alias("styles")
+        ).alias("perks"),
+    )
+    created = "cast(datediff(cast(o_orderdate as date), date'1970-01-01') as bigint)*86400000 + (o_orderkey*7919) % 86400000"
+    per_order = lines.groupBy("o_orderkey", "o_orderdate", "o_orderpriority").agg(
+        F.array_sort(F.collect_list(F.struct(
+            F.col("l_linenumber").alias("_ln"), F.col("l_partkey").alias("_pk"),
+            F.expr("round(l_extendedprice*100)").alias("_price"), participant.alias("_p"),
+        ))).alias("_ps")
+    )
+    return per_order.select(
+        F.struct(F.concat(F.lit("M"), F.col("o_orderkey").cast("string")).alias("matchId")).alias("metadata"),
+        F.struct(
+            F.expr(created).alias("gameCreation"),
+            F.expr(f"{created} + 60000").alias("gameStartTimestamp"),
+            F.expr("900 + o_orderkey % 1800").alias("gameDuration"),
+            F.lit("CLASSIC").alias("gameMode"),
+            F.expr("cast(substr(o_orderpriority, 1, 1) as bigint)").alias("queueId"),
+            F.transform("_ps", lambda x: x["_p"]).alias("participants"),
+        ).alias("info"),
+    )
+
+
+def stored_match_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B7-B9 'already stored': rows of ``m`` whose part key is even."""
+    return player_matches(spark, sf_dir).where(
+        F.element_at(F.split("matchId", "_"), 3).cast("long") % 2 == 0
+    )
+
+
+# ------------------------------------------------------------ requests
+# Fixed values of the binding: region codes indexed by c_nationkey % 16
+# (case and blank variants, one empty, two codes the routing table lacks).
+REGION_CODES = [
+    "na1", "euw1", "eun1", "KR", "br1", " la1", "la2", "oc1",
+    "tr1", "ru", "jp1", "sg2", "tw2", "ph2", "th2", "",
+]
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B12-B16 input: one request per customer, handle variants by key % 10."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
+    codes = F.array(*[F.lit(x) for x in REGION_CODES])
+    v = F.col("c_custkey") % 10
+    name = F.col("c_name")
+    riot = (
+        F.when(v == 0, F.lit(None).cast("string"))
+        .when(v == 1, F.lit(""))
+        .when(v == 2, F.regexp_replace(name, "#", " "))
+        .when(v == 3, F.concat(F.lit("  "), name, F.lit(" ")))
+        .when(v == 4, F.concat(F.substring(name, 1, 4), F.lit(" "), F.substring(name, 5, 1000)))
+        .when(v == 5, F.concat(name, F.lit("#x/y")))
+        .otherwise(name)
+    )
+    summoner = F.when(v == 0, name).when(v == 1, F.lit("")).otherwise(F.lit(None).cast("string"))
+    region = F.when(F.col("c_custkey") % 13 == 0, F.lit(None).cast("string")).otherwise(
+        codes[(F.col("c_nationkey") % 16).cast("int")]
+    )
+    return c.select("c_custkey", riot.alias("riotId"), summoner.alias("summonerName"), region.alias("region"))
+
+
+# ------------------------------------------------------------ events
+# Fixed values of the binding: event type -> progress state.
+EVENT_STATES = {
+    "signup": "START_RETRIEVE_MATCH",
+    "view": "RETRIEVING_MATCH",
+    "click": "PROCESSING_MATCH",
+    "error": "GENERATING_FACTS",
+    "purchase": "COMPLETE",
+}
+
+
+def progress_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1-G3 input: events as progress messages of job = user."""
+    ev = table(spark, sf_dir, "events")
+    state = F.create_map(*[F.lit(x) for kv in EVENT_STATES.items() for x in kv])[F.col("event_type")]
+    return ev.select(
+        F.col("user_id").alias("job"),
+        F.struct("ts", "event_id").alias("seq"),
+        state.alias("state"),
+        F.when(F.col("event_type") == "signup", F.lit(100).cast("long")).alias("total"),
+        F.floor("value").cast("long").alias("count"),
+    )
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G4-G5 input: an event is an answer of user to question = event type."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("player"),
+        F.col("event_type").alias("question"),
+        (F.floor("value").cast("long") % 4).alias("choice"),
+        "ts", "event_id",
+    )
+
+
+def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F4 input: model replies around the event props, four shapes by id % 4."""
+    ev = table(spark, sf_dir, "events").select("event_id", "props")
+    v = F.col("event_id") % 4
+    text = (
+        F.when(v == 0, F.concat(F.lit("["), F.col("props"), F.lit("]")))
+        .when(v == 1, F.concat(F.lit("Here: ["), F.col("props"), F.lit("] done")))
+        .when(v == 2, F.concat(F.lit("No list, only "), F.col("props")))
+        .otherwise(F.concat(F.lit("Here: ["), F.col("props"), F.lit("; ] done")))
+    )
+    return ev.select("event_id", text.alias("text"))
