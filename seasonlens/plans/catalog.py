@@ -422,3 +422,137 @@ def routes_query(spark, sf_dir):
     running = keys.where(F.col("puuid") % 3 == 0)
     work = work_flags(keys, summaries, finals).withColumn("route", route())
     return guard_running(work, running).select("puuid", "year", "summary_exists", "final_exists", "route", "action")
+
+
+# ---------------------------------------------------------------- A
+@register("a01_a04_json_roundtrip")
+def json_roundtrip_query(spark, sf_dir):
+    """A4 then A1-A2: date-partitioned JSON write of every row, read back with a schema."""
+    from pyspark.sql import types as T
+
+    from seasonlens.session import scratch_path
+    from seasonlens.sources.matches import read_player_matches, write_player_matches
+
+    path = scratch_path(spark, "player_matches_json")
+    write_player_matches(binding.player_matches(spark, sf_dir), path, fmt="json")
+    back = read_player_matches(spark, path, fmt="json", puuid_type=T.LongType())
+    return back.select(
+        "puuid", "matchId", "year", "month_part", "day_part", "gameCreation", "kills", "win",
+        F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("itemsText"),
+        F.col("perks.primaryStyle").alias("primaryStyle"),
+    )
+
+
+@register("a03_year_scoped_read")
+def scoped_read_query(spark, sf_dir):
+    """A3: one year read from the partitioned parquet table (folders pruned)."""
+    from seasonlens.session import scratch_path
+    from seasonlens.sources.matches import read_player_matches, scoped, write_player_matches
+
+    path = scratch_path(spark, "player_matches_parquet")
+    write_player_matches(binding.player_matches(spark, sf_dir), path)
+    return scoped(read_player_matches(spark, path), year=1998).select(
+        "puuid", "matchId", "year", "month_part", "day_part"
+    )
+
+
+@register("a06_a08_dimension_docs")
+def dimension_docs_query(spark, sf_dir):
+    """Spell / rune-style / queue documents written in the published
+    shapes (map keyed by name, array, array) and read back to (id, name)."""
+    from seasonlens.session import scratch_path
+    from seasonlens.sources import dims as D
+
+    base = scratch_path(spark, "dimension_docs")
+    nation = binding.table(spark, sf_dir, "nation")
+    spell_doc = nation.agg(
+        F.map_from_entries(F.collect_list(F.struct(
+            F.col("n_name"),
+            F.struct(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("name")),
+        ))).alias("data")
+    )
+    spell_doc.coalesce(1).write.json(f"{base}/spells")
+    # Rune styles and queues are published as one JSON array per file.
+    binding.table(spark, sf_dir, "region").agg(
+        F.to_json(F.collect_list(F.struct(F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name"))))
+    ).coalesce(1).write.text(f"{base}/runes")
+    spark.createDataFrame(binding.QUEUE_ROWS, "queueId bigint, map string, description string, notes string").agg(
+        F.to_json(F.collect_list(F.struct("queueId", "map", "description", "notes")))
+    ).coalesce(1).write.text(f"{base}/queues")
+    return (
+        D.read_spells(spark, f"{base}/spells").select(F.lit("spell").alias("kind"), "id", "name")
+        .unionByName(D.read_rune_styles(spark, f"{base}/runes").select(F.lit("rune").alias("kind"), "id", "name"))
+        .unionByName(D.read_queues(spark, f"{base}/queues").select(F.lit("queue").alias("kind"), "id", "name"))
+    )
+
+
+@register("a09_a11_a14_document_sink")
+def document_sink_query(spark, sf_dir):
+    """A9-A11 then A14: documents + sidecar written as JSON lines, read back as text."""
+    from seasonlens.session import scratch_path
+    from seasonlens.sources.matches import read_text_documents
+
+    dims, feat = _setup(spark, sf_dir)
+    path = scratch_path(spark, "documents")
+    doc.write_documents(doc.build_documents(feat, dims), path)
+    texts = read_text_documents(spark, f"{path}/documents")
+    meta = spark.read.text(f"{path}/metadata").select(
+        F.get_json_object("value", "$.metadataAttributes.puuid").cast("long").alias("puuid"),
+        F.get_json_object("value", "$.metadataAttributes.year").cast("int").alias("year"),
+        F.get_json_object("value", "$.doc_key").alias("docKey"),
+    )
+    j = F.get_json_object
+    docs = texts.select(
+        j("value", "$.playerPUUID").cast("long").alias("puuid"), "year",
+        j("value", "$.summary.global.totalGames").cast("long").alias("totalGames"),
+        F.json_array_length(j("value", "$.summary.champions")).cast("long").alias("nChampions"),
+        j("value", "$.summary.global.longestWinStreak.length").cast("long").alias("winLength"),
+        j("value", "$.summary.global.longestWinStreak.startDate").alias("winStart"),
+    )
+    return docs.join(meta, ["puuid", "year"], "left")
+
+
+# ---------------------------------------------------------------- F5-F7
+def _facts(spark, sf_dir):
+    from seasonlens.operators.facts import fact_candidates
+
+    _, feat = _setup(spark, sf_dir)
+    longest = st.longest_streaks(st.streak_runs(feat))
+    return fact_candidates(feat, longest)
+
+
+@register("f06_f07_fact_candidates")
+def facts_query(spark, sf_dir):
+    """The ten deterministic fact kinds per player-year, choices shuffled stably."""
+    return _facts(spark, sf_dir).select(
+        "puuid", "year", "kind", "question", "fact", F.col("correct_answer").alias("correctAnswer"),
+        F.array_join("choices", "|").alias("choicesText"),
+    )
+
+
+@register("f05_fact_validation")
+def facts_validation_query(spark, sf_dir):
+    """fact arrays per player-year checked (10 facts, answer among choices)."""
+    from seasonlens.operators.facts import nest_facts, validate_facts
+
+    return validate_facts(nest_facts(_facts(spark, sf_dir))).select("puuid", "year", "nFacts", "nValid", "ok")
+
+
+@register("a12_a13_facts_roundtrip")
+def facts_roundtrip_query(spark, sf_dir):
+    """Facts written per player-year, read back for the finished keys only."""
+    from pyspark.sql import types as T
+
+    from seasonlens.operators.facts import nest_facts
+    from seasonlens.session import scratch_path
+    from seasonlens.sources.sinks import read_facts, write_facts
+
+    path = scratch_path(spark, "facts")
+    nested = nest_facts(_facts(spark, sf_dir))
+    write_facts(nested, path)
+    finished = nested.select("puuid", "year").where(F.col("puuid") % 4 == 0)
+    back = read_facts(spark, path, finished, puuid_type=T.LongType())
+    return back.select(
+        "puuid", "year", F.size("facts").cast("long").alias("nFacts"),
+        F.col("facts")[0]["correct_answer"].alias("firstAnswer"),
+    )

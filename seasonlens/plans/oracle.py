@@ -468,6 +468,133 @@ SELECT puuid, year, puuid % 2 = 0 AS summary_exists, puuid % 4 = 0 AS final_exis
 FROM k"""
 
 
+
+# ------------------------------------------------------------------ A
+ORACLE["a01_a04_json_roundtrip"] = with_base() + """
+SELECT puuid, match_id AS matchId, cast(year(epoch_ms(game_start)) AS INTEGER) AS year,
+  cast(month(epoch_ms(game_start)) AS INTEGER) AS month_part, cast(day(epoch_ms(game_start)) AS INTEGER) AS day_part,
+  game_creation AS gameCreation, kills, win, array_to_string(items, ',') AS itemsText, rune1 AS primaryStyle
+FROM m"""
+
+ORACLE["a03_year_scoped_read"] = with_base() + """
+SELECT puuid, match_id AS matchId, cast(year(epoch_ms(game_start)) AS INTEGER) AS year,
+  cast(month(epoch_ms(game_start)) AS INTEGER) AS month_part, cast(day(epoch_ms(game_start)) AS INTEGER) AS day_part
+FROM m WHERE year(epoch_ms(game_start)) = 1998"""
+
+ORACLE["a06_a08_dimension_docs"] = with_base() + """
+SELECT 'spell' AS kind, cast(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation
+UNION ALL SELECT 'rune', cast(r_regionkey AS BIGINT), r_name FROM region
+UNION ALL SELECT 'queue', cast(id AS BIGINT), label FROM q"""
+
+ORACLE["a09_a11_a14_document_sink"] = with_base(_GAMES_M, _STREAK_CTES) + """
+SELECT f.puuid, f.year, count(*) AS totalGames, cast(count(DISTINCT (champion, game_mode)) AS BIGINT) AS nChampions,
+  any_value(coalesce(bw.len, 0)) AS winLength,
+  any_value(strftime(epoch_ms(bw.st * 1000), '%Y-%m-%dT%H:%M:%S')) AS winStart,
+  'summary/' || f.puuid || '/final_summary_' || f.year || '.json' AS docKey
+FROM f LEFT JOIN bw ON bw.k1 = f.puuid AND bw.k2 = f.year
+GROUP BY f.puuid, f.year"""
+
+
+# ------------------------------------------------------------------ F5-F7
+def _shuffle_sql(lst: str, kind: str) -> str:
+    seed = f"cast(puuid AS VARCHAR) || '|' || cast(year AS VARCHAR) || '|{kind}|'"
+    return (
+        f"array_to_string(list_transform(list_sort(list_transform({lst}, lambda c: md5({seed} || c) || '|' || c)), "
+        f"lambda s: substr(s, 34)), '|')"
+    )
+
+
+def _cat_sql(no: int, kind: str, label: str, sort: str, fact: str, question: str) -> str:
+    return f"""
+c{no} AS (
+  SELECT puuid, year, lbl, n, row_number() OVER (PARTITION BY puuid, year ORDER BY n DESC, srt ASC) AS r
+  FROM (SELECT puuid, year, {label} AS lbl, {sort} AS srt, count(*) AS n FROM f GROUP BY puuid, year, lbl, srt)),
+k{no} AS (
+  SELECT puuid, year, '{kind}' AS kind, {question} AS question,
+    printf('{fact}', max(CASE WHEN r = 1 THEN lbl END), max(CASE WHEN r = 1 THEN n END)) AS fact,
+    max(CASE WHEN r = 1 THEN lbl END) AS correctAnswer,
+    {_shuffle_sql("list(lbl ORDER BY r)", kind)} AS choicesText
+  FROM c{no} WHERE r <= 4 GROUP BY puuid, year)"""
+
+
+def _num_sql(no: int, kind: str, value: str, offsets: list[str], fact: str, question: str) -> str:
+    lst = "[" + ", ".join(f"cast({e} AS VARCHAR)" for e in ["v", *offsets]) + "]"
+    return f"""
+k{no} AS (
+  SELECT puuid, year, '{kind}' AS kind, {question} AS question, printf('{fact}', v) AS fact,
+    cast(v AS VARCHAR) AS correctAnswer, {_shuffle_sql(lst, kind)} AS choicesText
+  FROM (SELECT puuid, year, {value} AS v FROM pk) WHERE v IS NOT NULL)"""
+
+
+_FACT_CTES = [
+    _GAMES_M,
+    _STREAK_CTES,
+    _cat_sql(1, "most_played_champion", "champion", "champion",
+             "You played %s more than any other champion: %d games.",
+             "printf('Which champion did you play the most in %d?', year)"),
+    _cat_sql(2, "favourite_role", "CASE WHEN team_position = '' THEN 'UNASSIGNED' ELSE team_position END",
+             "CASE WHEN team_position = '' THEN 'UNASSIGNED' ELSE team_position END",
+             "Your favourite role was %s with %d games.", "'Which role did you play the most?'"),
+    _cat_sql(3, "busiest_month", "cast(month AS VARCHAR)", "month",
+             "Your busiest month was month %s with %d games.", "'In which month did you play the most games?'"),
+    _cat_sql(4, "most_played_mode", "game_mode", "game_mode",
+             "Your most played mode was %s with %d games.", "'Which game mode did you play the most?'"),
+    """
+c5 AS (
+  SELECT puuid, year, champion AS lbl, pct, n,
+    row_number() OVER (PARTITION BY puuid, year ORDER BY pct DESC, n DESC, champion ASC) AS r
+  FROM (SELECT puuid, year, champion, count(*) AS n, (sum(w) * 100) // count(*) AS pct
+        FROM f GROUP BY puuid, year, champion HAVING count(*) >= 3)),
+k5 AS (
+  SELECT puuid, year, 'best_champion' AS kind, 'Which champion (3+ games) had your best win rate?' AS question,
+    printf('Your best champion was %s with a %d%% win rate.', max(CASE WHEN r = 1 THEN lbl END),
+           max(CASE WHEN r = 1 THEN pct END)) AS fact,
+    max(CASE WHEN r = 1 THEN lbl END) AS correctAnswer,
+    """ + _shuffle_sql("list(lbl ORDER BY r)", "best_champion") + """ AS choicesText
+  FROM c5 WHERE r <= 4 GROUP BY puuid, year)""",
+    """
+k6 AS (
+  SELECT keys.k1 AS puuid, keys.k2 AS year, 'longest_win_streak' AS kind,
+    'True or false: your longest win streak was at least 5 games.' AS question,
+    printf('Your longest win streak was %d games.', coalesce(bw.len, 0)) AS fact,
+    CASE WHEN coalesce(bw.len, 0) >= 5 THEN 'True' ELSE 'False' END AS correctAnswer, 'True|False' AS choicesText
+  FROM keys LEFT JOIN bw USING (k1, k2))""",
+    """
+pk AS (
+  SELECT puuid, year, max(vision) AS vision, sum(assists) AS assists,
+    min(CASE WHEN win AND game_duration > 0 THEN game_duration END) AS fastest,
+    count(CASE WHEN hour >= 22 OR hour < 4 THEN 1 END) AS night, count(*) AS games
+  FROM f GROUP BY puuid, year)""",
+    _num_sql(7, "highest_vision", "vision", ["v + 7", "v + 14", "v + 21"],
+             "Your highest vision score in one game was %d.", "'What was your highest vision score in a single game?'"),
+    _num_sql(8, "total_assists", "cast(assists AS BIGINT)", ["v + v // 4 + 1", "v + v // 2 + 2", "v * 2 + 3"],
+             "You made %d assists this year.", "printf('How many assists did you make in %d?', year)"),
+    _num_sql(9, "fastest_win", "fastest // 60", ["v + 3", "v + 6", "v + 9"],
+             "Your fastest win took %d minutes.", "'How many minutes did your fastest win last?'"),
+    """
+k10 AS (
+  SELECT puuid, year, 'night_owl' AS kind,
+    'True or false: more than a quarter of your games started between 22:00 and 04:00.' AS question,
+    printf('%d of your %d games started between 22:00 and 04:00.', night, games) AS fact,
+    CASE WHEN night * 4 > games THEN 'True' ELSE 'False' END AS correctAnswer, 'True|False' AS choicesText
+  FROM pk)""",
+    "allk AS (" + " UNION ALL ".join(
+        f"SELECT {i} AS kind_no, puuid, year, kind, question, fact, correctAnswer, choicesText FROM k{i}"
+        for i in range(1, 11)
+    ) + ")",
+]
+
+ORACLE["f06_f07_fact_candidates"] = with_base(*_FACT_CTES) + """
+SELECT puuid, year, kind, question, fact, correctAnswer, choicesText FROM allk"""
+
+ORACLE["f05_fact_validation"] = with_base(*_FACT_CTES) + """
+SELECT puuid, year, count(*) AS nFacts, count(*) AS nValid, count(*) = 10 AS ok FROM allk GROUP BY puuid, year"""
+
+ORACLE["a12_a13_facts_roundtrip"] = with_base(*_FACT_CTES) + """
+SELECT puuid, year, count(*) AS nFacts, max(CASE WHEN kind_no = 1 THEN correctAnswer END) AS firstAnswer
+FROM allk WHERE puuid % 4 = 0 GROUP BY puuid, year"""
+
+
 # Rounding nudge: engines sum in different orders, so an average whose exact
 # value ends in 5 at the 7th decimal lands on either side of the tie.  Adding
 # 1e-9 before rounding (on both sides) moves every such tie the same way.
