@@ -18,7 +18,20 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seasonlens.session import broadcast_if_small
+from seasonlens.session import MAX_BROADCAST_ROWS
+
+# Size checks already made, per dimension DataFrame (one count job each).
+_SIZE_CHECKED: dict[int, tuple[DataFrame, bool]] = {}
+
+
+def _fits(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
+    """Row-count check behind every broadcast, made once per dimension."""
+    hit = _SIZE_CHECKED.get(id(dim))
+    if hit is not None and hit[0] is dim:
+        return hit[1]
+    ok = dim.limit(max_rows + 1).count() <= max_rows
+    _SIZE_CHECKED[id(dim)] = (dim, ok)
+    return ok
 
 
 def lookup(
@@ -30,14 +43,14 @@ def lookup(
     empty_is_missing: bool = False,
     key: str = "id",
     name: str = "name",
+    broadcastable: bool | None = None,
 ) -> DataFrame:
     """Left-join ``dim`` on ``id_expr`` and add ``out_col`` with the fallback rule."""
     ident = F.col(id_expr) if isinstance(id_expr, str) else id_expr
     tag = out_col.replace(".", "_")
     k, n, hit = f"_lk_{tag}_id", f"_lk_{tag}_name", f"_lk_{tag}_hit"
-    small = broadcast_if_small(
-        dim.select(F.col(key).cast("long").alias(k), F.col(name).alias(n), F.lit(True).alias(hit))
-    )
+    base = dim.select(F.col(key).cast("long").alias(k), F.col(name).alias(n), F.lit(True).alias(hit))
+    small = F.broadcast(base) if broadcastable is None and _fits(dim) or broadcastable else base
     joined = df.join(small, ident.cast("long") == F.col(k), "left")
     as_text = ident.cast("string")
     if empty_is_missing:

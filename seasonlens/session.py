@@ -98,3 +98,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and continue from that copy.
+
+    Used where several aggregations read the same derived rows: they then
+    scan a compact, column-prunable parquet copy instead of recomputing the
+    upstream joins, and the lineage is cut (a lost executor does not send
+    the recomputation back to the raw inputs).
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

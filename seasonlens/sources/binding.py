@@ -76,7 +76,10 @@ def lineitem_orders_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    return li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
+    # lineitem x orders is a fact-to-fact join: at scale neither side can be
+    # broadcast, so it is declared as a shuffled (sort-merge) join on the
+    # order key; part is a dimension and is left to the size-based choice.
+    return li.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).join(
         part, F.col("l_partkey") == F.col("p_partkey")
     )
 
@@ -97,6 +100,18 @@ def player_matches_with_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return date_path_parts(rows)
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small literal table as a local relation (no Python-side RDD)."""
+    from pyspark.sql import types as T
+
+    schema = T._parse_datatype_string(ddl)
+    structs = [
+        F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, schema.fields)])
+        for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 # Fixed values of the binding (FIXTURES B.2): the four queue label forms.
 QUEUE_ROWS = [
     (1, "Map A", None, None),
@@ -121,9 +136,7 @@ def dimensions(spark: SparkSession, sf_dir: str) -> Dimensions:
     runes = table(spark, sf_dir, "region").select(
         F.col("r_regionkey").cast("long").alias("id"), F.col("r_name").alias("name")
     )
-    queues = spark.createDataFrame(
-        QUEUE_ROWS, "queueId bigint, map string, description string, notes string"
-    )
+    queues = literal_rows(spark, QUEUE_ROWS, "queueId bigint, map string, description string, notes string")
     return Dimensions(
         items=merge_item_versions(latest, old),
         spells=spells,

@@ -24,10 +24,19 @@ FIXED_PERCENT = {START: 5, PROCESSING: 75, GENERATING: 90, COMPLETE: 100, BUSY:
 KNOWN_STATES = (BUSY, FAIL, START, RETRIEVING, PROCESSING, GENERATING, COMPLETE)
 
 
-def parse_messages(raw: DataFrame, text_col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """JSON text -> (messages, malformed).  Malformed rows keep their text."""
-    parsed = raw.withColumn("_m", F.from_json(F.col(text_col), schema.PROGRESS_MESSAGE))
+def parse_messages(raw: DataFrame, text_col: str = "value", key_fields=()) -> tuple[DataFrame, DataFrame]:
+    """JSON text -> (messages, malformed).  Malformed rows keep their text.
+
+    ``key_fields`` (StructFields, e.g. job and sequence) are parsed next to
+    the message fields and must be present for a message to count.
+    """
+    from pyspark.sql import types as T
+
+    full = T.StructType([*key_fields, *schema.PROGRESS_MESSAGE.fields])
+    parsed = raw.withColumn("_m", F.from_json(F.col(text_col), full))
     ok = F.col("_m").isNotNull() & F.col("_m.state").isNotNull()
+    for f in key_fields:
+        ok = ok & F.col(f"_m.{f.name}").isNotNull()
     good = parsed.where(ok).select("*", "_m.*").drop("_m", text_col)
     bad = parsed.where(~ok).drop("_m")
     return good, bad
