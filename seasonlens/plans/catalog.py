@@ -530,7 +530,7 @@ def _facts(spark, sf_dir):
     from seasonlens.session import stage
 
     _, feat = _setup(spark, sf_dir)
-    feat = stage(feat, "fact_features")  # read by seven aggregations
+    feat = stage(feat.select("puuid", "year", *doc.SECTION_COLUMNS), "fact_features")  # read by seven aggregations
     longest = st.longest_streaks(st.streak_runs(feat))
     return fact_candidates(feat, longest)
 

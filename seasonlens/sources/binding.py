@@ -77,9 +77,10 @@ def lineitem_orders_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     # lineitem x orders is a fact-to-fact join: at scale neither side can be
-    # broadcast, so it is declared as a shuffled (sort-merge) join on the
-    # order key; part is a dimension and is left to the size-based choice.
-    return li.join(orders.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey")).join(
+    # broadcast, so it is declared as a shuffled hash join on the order key
+    # (no sort of either side; AQE still splits skewed partitions); part is
+    # a dimension and is left to the size-based choice.
+    return li.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")).join(
         part, F.col("l_partkey") == F.col("p_partkey")
     )
 
