@@ -68,7 +68,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``; that value always wins.
     Only when nothing is configured (local tests) a private folder is made.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - a remote (Connect) session has no context
+        return _connect_checkpoint_dir(spark)
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -84,6 +87,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def _connect_checkpoint_dir(spark: SparkSession) -> str:
+    """Shared folder on a remote session: the configured one, else a temp folder (local only)."""
+    try:
+        configured = spark.conf.get("spark.checkpoint.dir")
+    except Exception:  # noqa: BLE001
+        configured = None
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="seasonlens-ckpt-")
+    return configured
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for an intermediate table under the shared folder."""
     base = ensure_checkpoint_dir(spark)
