@@ -42,7 +42,7 @@ def python_streaks(games):
 @settings(max_examples=12, deadline=None)
 @given(
     st_.lists(st_.tuples(st_.integers(0, 20_000), st_.sampled_from([True, False, None])), min_size=1, max_size=40),
-    st_.sampled_from([1, 7, 60, 3600, 10**9]),
+    st_.sampled_from([1, 7, 60, 3600, 10**9, "range"]),
 )
 def test_bucketed_streaks_equal_plain_rule(spark, games, bucket):
     rows = [("p", 2024, dt.datetime.fromtimestamp(1_700_000_000 + s, dt.timezone.utc), f"m{i:04d}", w)
@@ -50,7 +50,8 @@ def test_bucketed_streaks_equal_plain_rule(spark, games, bucket):
     df = spark.createDataFrame(rows, "puuid string, year int, gameDate timestamp, matchId string, win boolean")
     got = sorted(
         (r.streakLength, r.isWinStreak, r.s, r.e)
-        for r in st.streak_runs(df, bucket_seconds=bucket)
+        for r in (st.streak_runs(df, chunking="range", chunks=5) if bucket == "range"
+                  else st.streak_runs(df, bucket_seconds=bucket))
         .select("streakLength", "isWinStreak", F.unix_seconds("startDate").alias("s"),
                 F.unix_seconds("endDate").alias("e"))
         .collect()
@@ -303,3 +304,18 @@ def test_date_path_layout_reader(spark, tmp_dir):
     got = rows.collect()
     assert [(r.puuid, r.year, r.month_part, r.day_part, r.kills) for r in got] == [("abc", 2024, 1, 2, 5)]
     assert bad.count() == 1
+
+
+def test_range_chunked_streaks_split_a_hot_hour(spark):
+    # one player, 200 games inside one hour: time buckets give one chunk,
+    # range chunking cuts the same games into several ordered pieces
+    wins = [(i // 7) % 2 == 0 for i in range(200)]
+    rows = [("p", 2024, dt.datetime.fromtimestamp(1_700_000_000 + i, dt.timezone.utc), f"m{i:04d}", w)
+            for i, w in enumerate(wins)]
+    df = spark.createDataFrame(rows, "puuid string, year int, gameDate timestamp, matchId string, win boolean")
+    def key(r):
+        return (r.streakLength, r.isWinStreak)
+    by_time = sorted(map(key, st.streak_runs(df).collect()))
+    by_range = sorted(map(key, st.streak_runs(df, chunking="range", chunks=6).collect()))
+    assert by_time == by_range
+    assert sum(n for n, _ in by_range) == 200 and len(by_range) == 29
