@@ -45,12 +45,17 @@ def lookup(
     name: str = "name",
     broadcastable: bool | None = None,
 ) -> DataFrame:
-    """Left-join ``dim`` on ``id_expr`` and add ``out_col`` with the fallback rule."""
+    """Left-join ``dim`` on ``id_expr`` and add ``out_col`` with the fallback rule.
+
+    ``broadcastable=None`` decides by the memoised row-count check.
+    """
     ident = F.col(id_expr) if isinstance(id_expr, str) else id_expr
     tag = out_col.replace(".", "_")
     k, n, hit = f"_lk_{tag}_id", f"_lk_{tag}_name", f"_lk_{tag}_hit"
     base = dim.select(F.col(key).cast("long").alias(k), F.col(name).alias(n), F.lit(True).alias(hit))
-    small = F.broadcast(base) if broadcastable is None and _fits(dim) or broadcastable else base
+    if broadcastable is None:
+        broadcastable = _fits(dim)
+    small = F.broadcast(base) if broadcastable else base
     joined = df.join(small, ident.cast("long") == F.col(k), "left")
     as_text = ident.cast("string")
     if empty_is_missing:
