@@ -19,6 +19,7 @@ PATTERNS = {
     "shuffles": r"^\(\d+\) Exchange\b",
     "broadcasts": r"^\(\d+\) BroadcastExchange\b",
     "SMJ": r"^\(\d+\) SortMergeJoin\b",
+    "SHJ": r"^\(\d+\) ShuffledHashJoin\b",
     "BHJ": r"^\(\d+\) BroadcastHashJoin\b",
     "hash agg": r"^\(\d+\) HashAggregate\b",
     "obj agg": r"^\(\d+\) ObjectHashAggregate\b",
