@@ -59,9 +59,9 @@ def _top4(grouped: DataFrame, keys, label: Column, order: list[Column], value: C
     )
 
 
-def _categorical(feat, keys, kind_no, kind, col: Column, fact_fmt, context, question: Column):
-    g = feat.groupBy(*keys, col.alias("_cat")).agg(F.count(F.lit(1)).alias("_n"))
-    top = _top4(g, keys, F.col("_cat").cast("string"), [F.desc("_n"), F.asc("_cat")], F.col("_n"))
+def _categorical(counts: DataFrame, keys, kind_no, kind, col: str, fact_fmt, context, question: Column):
+    """Most frequent value of ``col`` (ties: smaller value) and the next three."""
+    top = _top4(counts, keys, F.col(col).cast("string"), [F.desc("_n"), F.asc(col)], F.col("_n"))
     first = F.col("_top")[0]
     return _finish(
         top, keys, kind_no, kind,
@@ -86,29 +86,69 @@ def _true_false(df, keys, kind_no, kind, truth: Column, fact: Column, context, q
     )
 
 
+# Grouping columns (besides the keys) of the count-based fact kinds.
+_FACT_SETS = {
+    "champion": ("championName",),
+    "role": ("_role",),
+    "month": ("month",),
+    "mode": ("gameMode",),
+    "key": (),
+}
+
+
+def fact_counts(feat: DataFrame, keys: Sequence[str] = KEYS) -> dict[str, DataFrame]:
+    """Everything the count-based kinds need, in ONE GROUPING SETS pass.
+
+    Per (key, champion / role / month / mode): games and wins; per key:
+    games, best vision, assists, fastest win, night games.  Each set is its
+    slice by ``grouping_id``.
+    """
+    keys = list(keys)
+    role = F.when(F.col("teamPosition") == "", F.lit("UNASSIGNED")).otherwise(F.col("teamPosition"))
+    base = feat.select(
+        *keys, "championName", role.alias("_role"), "month", "gameMode", "win", "visionScore", "assists",
+        "gameDuration", "hour",
+    )
+    cols = [*keys, *[c for cs in _FACT_SETS.values() for c in cs]]
+    agg = base.groupingSets([[*keys, *cs] for cs in _FACT_SETS.values()], *cols).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.sum(win_flag()).alias("_w"),
+        F.max("visionScore").alias("vision"),
+        F.sum("assists").alias("assists"),
+        F.min(F.when(F.col("win") & (F.col("gameDuration") > 0), F.col("gameDuration"))).alias("fastest"),
+        F.count(F.when((F.col("hour") >= 22) | (F.col("hour") < 4), F.lit(1))).alias("night"),
+        F.grouping_id().alias("_gid"),
+    )
+    out = {}
+    for name, cs in _FACT_SETS.items():
+        gid = sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in (*keys, *cs))
+        out[name] = agg.where(F.col("_gid") == gid).select(
+            *keys, *cs, "_n", "_w", "vision", "assists", "fastest", "night"
+        )
+    return out
+
+
 def fact_candidates(feat: DataFrame, longest: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """One row per (key, fact kind), kinds in a fixed order."""
     keys = list(keys)
     year = F.col(keys[1])
-    role = F.when(F.col("teamPosition") == "", F.lit("UNASSIGNED")).otherwise(F.col("teamPosition"))
+    c = fact_counts(feat, keys)
     kinds = [
-        _categorical(feat, keys, 1, "most_played_champion", F.col("championName"),
+        _categorical(c["champion"], keys, 1, "most_played_champion", "championName",
                      "You played %s more than any other champion: %d games.", "Comfort picks win games.",
                      F.format_string("Which champion did you play the most in %d?", year)),
-        _categorical(feat, keys, 2, "favourite_role", role,
+        _categorical(c["role"], keys, 2, "favourite_role", "_role",
                      "Your favourite role was %s with %d games.", "Everyone has a home on the map.",
                      F.lit("Which role did you play the most?")),
-        _categorical(feat, keys, 3, "busiest_month", F.col("month"),
+        _categorical(c["month"], keys, 3, "busiest_month", "month",
                      "Your busiest month was month %s with %d games.", "Some months the queue just calls.",
                      F.lit("In which month did you play the most games?")),
-        _categorical(feat, keys, 4, "most_played_mode", F.col("gameMode"),
+        _categorical(c["mode"], keys, 4, "most_played_mode", "gameMode",
                      "Your most played mode was %s with %d games.", "You know what you like.",
                      F.lit("Which game mode did you play the most?")),
     ]
     # Best champion: highest win rate among champions with at least 3 games.
-    champ = feat.groupBy(*keys, "championName").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(win_flag()).alias("_w")
-    ).where(F.col("_n") >= 3)
+    champ = c["champion"].where(F.col("_n") >= 3)
     pct = (F.col("_w") * 100 / F.col("_n")).cast("long")
     top = _top4(champ.withColumn("_pct", pct), keys, F.col("championName"),
                 [F.desc("_pct"), F.desc("_n"), F.asc("championName")], F.col("_pct"))
@@ -125,13 +165,7 @@ def fact_candidates(feat: DataFrame, longest: DataFrame, keys: Sequence[str] = K
         F.format_string("Your longest win streak was %d games.", streak), "Momentum is real.",
         "True or false: your longest win streak was at least 5 games.",
     ))
-    per_key = feat.groupBy(*keys).agg(
-        F.max("visionScore").alias("vision"),
-        F.sum("assists").alias("assists"),
-        F.min(F.when(F.col("win") & (F.col("gameDuration") > 0), F.col("gameDuration"))).alias("fastest"),
-        F.count(F.when((F.col("hour") >= 22) | (F.col("hour") < 4), F.lit(1))).alias("night"),
-        F.count(F.lit(1)).alias("games"),
-    )
+    per_key = c["key"].withColumnRenamed("_n", "games")
     v, a = F.col("_v"), F.col("_v")
     kinds.append(_numeric(per_key, keys, 7, "highest_vision", F.col("vision"),
                           [v + 7, v + 14, v + 21], "Your highest vision score in one game was %d.",

@@ -319,3 +319,18 @@ def test_range_chunked_streaks_split_a_hot_hour(spark):
     by_range = sorted(map(key, st.streak_runs(df, chunking="range", chunks=6).collect()))
     assert by_time == by_range
     assert sum(n for n, _ in by_range) == 200 and len(by_range) == 29
+
+
+def test_date_path_layout_reader_inferred(spark, tmp_dir):
+    from helpers import BASE
+    from seasonlens.sources.matches import read_date_path_documents
+
+    row = {k: v for k, v in BASE.items() if k not in ("puuid", "year")}
+    d = os.path.join(tmp_dir, "match-history", "xyz", "stats", "2023", "12", "31")
+    os.makedirs(d)
+    with open(os.path.join(d, "NA_9.json"), "w") as fh:
+        json.dump(row, fh, indent=2)
+    rows, bad = read_date_path_documents(spark, os.path.join(tmp_dir, "match-history"), infer=True)
+    got = rows.collect()
+    assert [(r.puuid, r.year, r.matchId, r.perks.primaryStyle) for r in got] == [("xyz", 2023, "m", 8100)]
+    assert bad.count() == 0
