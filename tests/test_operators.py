@@ -334,3 +334,14 @@ def test_date_path_layout_reader_inferred(spark, tmp_dir):
     got = rows.collect()
     assert [(r.puuid, r.year, r.matchId, r.perks.primaryStyle) for r in got] == [("xyz", 2023, "m", 8100)]
     assert bad.count() == 0
+
+
+def test_small_request_helpers(spark):
+    from seasonlens.operators.requests import default_year, display_region
+
+    df = spark.createDataFrame([("na1",), ("SG2",), ("zz9",), ("",), (None,)], "c string")
+    got = [r.l for r in df.select(display_region(F.col("c")).alias("l")).collect()]
+    assert got == ["NA", "SG", "ZZ9", "", ""]
+    r = spark.range(1).select(default_year(2023).alias("a"), default_year().alias("b"),
+                              (F.year(F.current_date()) - 1).alias("c")).first()
+    assert r.a == 2023 and r.b == r.c
