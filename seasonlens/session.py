@@ -1,7 +1,8 @@
 """Session settings, shared scratch storage and the size-checked broadcast.
 
 Nothing here tunes Spark internals: these are the public configuration keys
-a Spark user sets, plus two small helpers every operator module shares.
+a Spark user sets, plus the helpers the operator modules share (shared
+checkpoint folder, scratch paths, staging, size-checked broadcast).
 """
 
 from __future__ import annotations

@@ -175,3 +175,19 @@ def test_s24_absent_key_has_no_document(spark):
     assert set(docs) == {"a", "b"}
     g = docs["b"].summary["global"]
     assert g.totalGames == 1 and g.longestWinStreak.length == 0 and g.longestLoseStreak.length == 1
+
+
+def test_s11_s23_sorted_arrays_and_named_json(spark):
+    import json
+
+    from seasonlens.operators.document import build_documents, documents_as_json
+
+    f, d = feats(spark, {"championName": "Zed", "queueId": 1}, {"championName": "Ahri", "queueId": 1},
+                 {"championName": "Ahri", "queueId": 2})
+    doc = json.loads(documents_as_json(build_documents(f, d)).first().summary_json)
+    names = [c["championName"] for c in doc["summary"]["champions"]]
+    assert names == sorted(names)
+    best = doc["summary"]["champions"][0]["bestGame"]
+    assert set(best) >= {"kills", "kda", "gameDate", "summonerSpells"}
+    assert best["gameDate"].startswith("2024-01-01T") and len(best["gameDate"]) == 19
+    assert doc["playerPUUID"] == "p1" and doc["summary"]["global"]["totalGames"] == 3
