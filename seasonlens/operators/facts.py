@@ -1,4 +1,4 @@
-"""Trivia facts (F4-F7): deterministic facts from the summaries, and checks.
+"""Quiz facts (F4-F7): deterministic facts from the summaries, and checks.
 
 The reference asks a hosted model for ten facts about a player-year.  The
 data behind them is all in the summary sections, so here every fact kind is
@@ -180,7 +180,7 @@ def fact_candidates(feat: DataFrame, longest: DataFrame, keys: Sequence[str] = K
     kinds.append(_true_false(
         per_key, keys, 10, "night_owl", F.col("night") * 4 > F.col("games"),
         F.format_string("%d of your %d games started between 22:00 and 04:00.", F.col("night"), F.col("games")),
-        "The rift never sleeps.",
+        "Late games, bright screens.",
         "True or false: more than a quarter of your games started between 22:00 and 04:00.",
     ))
     return reduce(lambda x, y: x.unionByName(y), kinds)

@@ -30,6 +30,7 @@ REGION_LABELS = {
     "oc1": "OCE", "tr1": "TR", "ru": "RU", "jp1": "JP", "sg2": "SG", "tw2": "TW", "vn2": "VN",
 }
 
+# The error texts returned for rejected requests.
 ERR_REQUIRED = "Riot ID is required (e.g., GameName#TAG)"
 ERR_FORMAT = "Please use Riot ID format: GameName#TAG (e.g., Hide on bush#KR1)"
 

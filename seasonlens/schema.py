@@ -144,7 +144,7 @@ QUEUE = T.StructType(
     ]
 )
 
-# Trivia fact and progress message.
+# Quiz fact and progress message.
 FACT = T.StructType(
     [
         T.StructField("fact", S),

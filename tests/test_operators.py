@@ -179,7 +179,7 @@ def test_new_matches_and_upsert(spark):
     new = spark.createDataFrame([("a", "1", 7, 2), ("a", "2", 1, 2)], "puuid string, matchId string, kills int, v int")
     got = sorted(tuple(r) for r in ingest.upsert(old, new, "v").collect())
     assert got == [("a", "1", 7, 2), ("a", "2", 1, 2)]
-    paths = spark.createDataFrame([("s3://b/match-history/a/stats/2024/01/02/EUW_1.json",)], "path string")
+    paths = spark.createDataFrame([("/store/match-history/a/stats/2024/01/02/EUW_1.json",)], "path string")
     assert [tuple(r) for r in ingest.stored_ids_from_paths(paths).collect()] == [("a", "EUW_1")]
 
 
@@ -279,14 +279,14 @@ def test_dimension_readers(spark, tmp_dir):
     items = put("item.json", {"type": "item", "data": {"1001": {"name": "Boots"}, "3020": {"name": ""}}})
     spells = put("summoner.json", {"data": {"SummonerFlash": {"key": "4", "name": "Flash"}}})
     runes = put("runes.json", [{"id": 8100, "name": "Domination"}, {"id": 8300, "name": "Inspiration"}])
-    queues = put("queues.json", [{"queueId": 420, "map": "Summoner's Rift", "description": "5v5 Ranked Solo", "notes": None},
+    queues = put("queues.json", [{"queueId": 420, "map": "Map X", "description": "5v5 Ranked Solo", "notes": None},
                                  {"queueId": 0, "map": "Custom games", "description": None, "notes": None},
-                                 {"queueId": 420, "map": "Summoner's Rift", "description": "Ranked", "notes": "new"}])
+                                 {"queueId": 420, "map": "Map X", "description": "Ranked", "notes": "new"}])
     assert sorted(tuple(r) for r in D.read_items(spark, items).collect()) == [(1001, "Boots"), (3020, "")]
     assert [tuple(r) for r in D.read_spells(spark, spells).collect()] == [(4, "Flash")]
     assert D.read_rune_styles(spark, runes).count() == 2
     got = {r.id: r.name for r in D.read_queues(spark, queues).collect()}
-    assert got == {0: "Custom games", 420: "Summoner's Rift: Ranked (new)"}
+    assert got == {0: "Custom games", 420: "Map X: Ranked (new)"}
 
 
 def test_date_path_layout_reader(spark, tmp_dir):
