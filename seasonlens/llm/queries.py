@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonlens.llm import bpe, exact_dedup, html_text, licenses, packing, pii, secrets
+from seasonlens.llm import bpe, exact_dedup, html_text, jaccard, licenses, packing, pii, secrets
 from seasonlens.llm.common import table
 from seasonlens.llm.spans import listed, of_kinds
 
@@ -49,5 +49,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(pii.find_pii(table(spark, sf_dir, "documents")), pii.BASE_KINDS)
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_licenses, op3_html, op4_bpe, op5_secrets, op6_exact_dedup, op8_pii)}
+    op1_packing, op2_licenses, op3_html, op4_bpe, op5_secrets, op6_exact_dedup, op8_pii, op9_jaccard)}
