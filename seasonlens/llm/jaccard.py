@@ -329,3 +329,17 @@ def _full_sets(docs: DataFrame, id_col: str, text_col: str, k: int, wanted: Data
     rows = rows.join(wanted, "id").select(F.struct("node", *KEY).alias("of"), "text")
     made = map_texts(rows, "of", fields, make).where("own_n = of.n and own_k1 = of.k1 and own_k2 = of.k2")
     return made.select("of.node", "of.n", "all").dropDuplicates(["node"])
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT) -> DataFrame:
+    """The rows that stay, with all their columns: of every component the row with the smallest id.
+
+    Documents without words stay, and so do rows with a NULL id.  Of rows that repeat an id, those of one component
+    stay or go together.
+    """
+    found = jaccard_components(docs, id_col, text_col, k, percent)
+    gone = found.where(F.col(id_col) != F.col("component_id"))
+    # an id that stands for one component and is dropped from another (repeated ids) keeps its rows
+    heads = found.where(F.col(id_col) == F.col("component_id")).select(id_col)
+    ids = gone.select(id_col).distinct().join(heads, id_col, "left_anti")
+    return docs.join(ids, id_col, "left_anti").select(docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonlens.llm import bpe, exact_dedup, html_text, jaccard, licenses, packing, pii, secrets
+from seasonlens.llm import bpe, exact_dedup, html_text, itq, jaccard, licenses, packing, pii, secrets, toxicity
 from seasonlens.llm.common import table
 from seasonlens.llm.spans import listed, of_kinds
 
@@ -45,6 +45,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_texts(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id")) == 2).alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counted(pii.find_pii(table(spark, sf_dir, "documents")), pii.BASE_KINDS)
 
@@ -53,5 +60,9 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op10_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op2_licenses, op3_html, op4_bpe, op5_secrets, op6_exact_dedup, op8_pii, op9_jaccard)}
+    op1_packing, op2_licenses, op3_html, op4_bpe, op5_secrets, op6_exact_dedup, op7_toxicity, op8_pii, op9_jaccard, op10_itq)}
