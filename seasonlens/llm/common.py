@@ -81,9 +81,19 @@ def fresh(prefix: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder (``spark.checkpoint.dir``) and read back.
 
-    Cuts the lineage: what follows re-reads the files, also after an executor is lost.
+    Cuts the lineage: what follows re-reads the files, also after an executor is lost.  ``unstage`` removes the copy.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    copy.staged_path = path
+    return copy
+
+
+def unstage(*copies: DataFrame) -> None:
+    """Removes staged copies that nothing reads any more."""
+    for copy in copies:
+        spark = copy.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(copy.staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seasonlens.llm.common import staged
+from seasonlens.llm.common import staged, unstage
 from seasonlens.llm.components import components
 
 LEAST_COSINE = 0.9
@@ -90,8 +90,8 @@ def _able(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _block_rows(nodes: DataFrame, codes: Codes, kind: str) -> DataFrame:
-    """(table, key, left, right, side, node, weight, vector): every member of every bucket of two or more, once for each block it is in."""
+def _block_rows(nodes: DataFrame, codes: Codes, kind: str) -> tuple[DataFrame, DataFrame]:
+    """Staged keys, and (table, key, left, right, side, node, weight, vector): every member of every bucket of two or more, once for each block it is in."""
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -101,8 +101,7 @@ def _block_rows(nodes: DataFrame, codes: Codes, kind: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(m, dtype=np.int32), n)), pa.array(keys.reshape(-1)),
                                                   part.column(0).take(pa.array(np.repeat(np.arange(n), m)))], ["table", "key", "node"])
 
-    keys = nodes.select("node", "vector").mapInArrow(keyed, "table int, key long, node long")
-    keys = staged(keys, "keys")
+    keys = staged(nodes.select("node", "vector").mapInArrow(keyed, "table int, key long, node long"), "keys")
     crowds = keys.groupBy("table", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     chunks = F.ceil(F.col("size") / BLOCK).cast("int")
     chunk = F.when(chunks > 1, F.pmod(F.xxhash64("node"), chunks).cast("int")).otherwise(0)
@@ -110,7 +109,7 @@ def _block_rows(nodes: DataFrame, codes: Codes, kind: str) -> DataFrame:
     each = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = each.select("table", "key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
                          (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
-    return blocks.join(nodes, "node").select("table", "key", "left", "right", "side", "node", "weight", "vector")
+    return keys, blocks.join(nodes, "node").select("table", "key", "left", "right", "side", "node", "weight", "vector")
 
 
 def _score_blocks(blocks: DataFrame, codes: Codes, kind: str, least: float) -> DataFrame:
@@ -202,13 +201,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n = nodes.count()
     sample = nodes.orderBy(F.xxhash64("vector"), "node").limit(sample_rows).select("vector").collect()  # at most sample_rows vectors
     codes = Codes(unit_rows([bytes(r["vector"]) for r in sample], kind), *plan_tables(n, least, recall))
-    scored = staged(_score_blocks(_block_rows(nodes, codes, kind), codes, kind, least), "links")
+    keys, blocks = _block_rows(nodes, codes, kind)
+    scored = staged(_score_blocks(blocks, codes, kind, least), "links")
+    unstage(keys)
     links = scored.groupBy("node").agg(F.sum("links").alias("links"))
-    joined = nodes.join(components(scored.select(F.col("node").alias("a"), F.col("root").alias("b"))), "node", "left") \
+    found = components(scored.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    joined = nodes.join(found, "node", "left") \
         .withColumn("component", F.coalesce("component", "node"))
     least_id = joined.groupBy("component").agg(F.min("id").alias("component_id"))
-    known = joined.join(links, "node", "left").join(least_id, "component") \
-        .select("vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "component_id")
+    known = staged(joined.join(links, "node", "left").join(least_id, "component")
+                   .select("vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), "component_id"), "known")
+    unstage(nodes, scored, found)
     # every row finds its node by its vector
     out = fits.join(known, "vector").select(F.col("id").alias(id_col), F.col("links").alias("n_links"), "component_id")
     return out.unionByName(alone).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

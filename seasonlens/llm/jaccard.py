@@ -16,9 +16,10 @@ elements of a single set, most of them, never enter a list.
 **Boundary**: the cost of the light side (subsets) and of the heavy side (list entries, each with
 its share of the check) is summed over the histogram of set sizes, and the cheapest boundary is taken.
 
-**Hot lists**: a list's members are first checked against one pivot (a star), which joins a large group of near copies in linear
-work.  Only lists whose members are then still in different components go on: further pivots first, at last their remaining
-pairs across components, less those that size, place or the triangle inequality against the pivot rule out.  Nothing is capped; every
+**Hot lists**: the pairs of a short list are checked.  A longer list's members are first all checked against one pivot (a star), which joins a large group of near copies in
+linear work.  The check also tells what each member shares with the pivot and which of its other elements no other member of the
+pivot's group has; both bound what two members can share, and members that can reach nobody drop out.  Only lists whose members are then still in different components go
+on: further pivots while many pairs remain, at last the pairs across components that these bounds, size and place allow.  Nothing is capped; every
 candidate is checked on the full sets.
 
 Shingles are 63-bit hashes of word hashes, and a set's identity is its size with two 63-bit sums over its shingles.
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seasonlens.llm.common import map_texts, staged, texts
+from seasonlens.llm.common import map_texts, staged, texts, unstage
 from seasonlens.llm.components import components
 
 K = 5
@@ -47,9 +48,13 @@ COUNTED = 1.5
 ENTRY_COST = 8
 # Largest boundary that is considered.
 MAX_LIGHT = 40
-# Pivot rounds before the remaining pairs are listed; they end early when few pairs remain (as a multiple of the list entries).
+# Pivot rounds before the remaining pairs are compared; they end early when few comparisons remain (as a multiple of the list entries).
 ROUNDS = 4
-FEW = 2
+FEW = 50
+# Longest list whose pairs are all candidates.
+SHORT = 8
+# Share of the hash range in which a set far from its pivot shows the elements it has besides the pivot's.
+SHOWN = 0.25
 # Words whose hashes a task keeps.
 MEMO_WORDS = 400_000
 # What tells one set from another: its size and two sums over its elements.
@@ -223,60 +228,96 @@ def _may_link(percent: int, x: str, y: str) -> Column:
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, n, m, shared) of the pairs (a, b), on the full sets."""
+    """(a, b, n, m, shared, extra) of the pairs (a, b), on the full sets; ``extra``: elements of b that a has not."""
     one = sets.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("all").alias("all_a"))
     two = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("all").alias("all_b"))
-    shared = F.size(F.array_intersect("all_a", "all_b")).cast("long").alias("shared")
-    return pairs.join(two, "b").join(one, "a").select("a", "b", "n", "m", shared)
+    met = pairs.join(two, "b").join(one, "a").withColumn("extra", F.array_except("all_b", "all_a"))
+    return met.select("a", "b", "n", "m", (F.col("m") - F.size("extra")).alias("shared"), "extra")
+
+
+def _reaches(found: DataFrame, percent: int) -> DataFrame:
+    """(pivot, node, common, rest): elements a node shares with its pivot, and how many others it may share with a node of the pivot's group.
+
+    ``rest`` leaves out the elements that no other node of the group has.  A node that shares much with the pivot shows all its extra
+    elements; one that shares little shows those in a fixed part of the hash range.  A node's elements outside that part are only
+    counted as its own if it shares so much that it can't be linked with one that hides some.
+    """
+    even = percent / (100 + percent)  # share of two linked sets' elements, both counted, that they have in common
+    share = F.col("shared") / F.col("m")
+    low = F.col("e") < int(SHOWN * 2**63)
+    shown = found.select("a", "b", share.alias("share"), F.explode("extra").alias("e")).where(low | (F.col("share") >= even - 0.01))
+    own = shown.groupBy("a", "e").agg(F.count(F.lit(1)).alias("held"), F.min("b").alias("b"), F.min("share").alias("share")) \
+        .where("held = 1").where(low | (F.col("share") >= 1.01 - even)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("own"))
+    rest = F.col("m") - F.col("shared") - F.coalesce("own", F.lit(0))
+    return found.select("a", "b", "m", "shared").join(own, ["a", "b"], "left") \
+        .select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("shared").alias("common"), rest.alias("rest"))
 
 
 def _heavy_edges(lists: DataFrame, sets: DataFrame, light: DataFrame, percent: int) -> DataFrame:
-    """Edges of the heavy side; ``light`` are edges already known."""
-    total = lists.count()
-    edges = light
-    checked: DataFrame | None = None
-    members = lists.withColumn("component", F.col("node"))
-    first_pivot = None
-    for turn in range(ROUNDS):
-        # one pivot a list: the set with the fewest elements of its own, in later rounds of another component than the last pivot's
-        pivot = F.min(F.struct("alone", "n", "node", "place", "component")).alias("p")
-        open_lists = members.groupBy("token").agg(pivot, F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")) \
-            .where("lo <> hi").select("token", "p", "size")
-        if turn == 0:
-            first_pivot = staged(open_lists.select("token", F.col("p.node").alias("pivot")), "pivots")
-        x, y = open_lists.alias("x"), members.alias("y")
-        met = y.join(x, "token").where(F.col("y.component") != F.col("p.component")) \
-            .select(F.col("p").alias("x"), F.struct("y.node", "y.n", "y.place").alias("y")).where(_may_link(percent, "x", "y"))
-        pairs = met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        found = staged(_checked(pairs, sets), "checked")
-        checked = found if checked is None else checked.unionByName(found)
-        edges = edges.unionByName(found.where(_fits(F.col("n"), F.col("m"), F.col("shared"), percent)).select("a", "b"))
-        joined = staged(components(edges), "joined")
-        members = staged(_with_component(lists, joined), "members")
-        rest = members.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")) \
-            .where("lo <> hi").agg(F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2)).first()[0]
+    """Edges of the heavy side and ``light``, the edges already known."""
+    links = _fits(F.col("n"), F.col("m"), F.col("shared"), percent)
+    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("alone", "n", "node", "place")).alias("p"))
+    # one pivot a long list: the set with the fewest elements of its own
+    first = staged(sizes.where(F.col("size") > SHORT).select("token", "p"), "pivots")
+    short = lists.join(sizes.where(F.col("size") <= SHORT).select("token"), "token", "left_semi")
+    lists = staged(lists.join(first.select("token"), "token", "left_semi"), "long")
+    budget = FEW * lists.count()
+    x, y = short.alias("x"), short.alias("y")
+    direct = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & _may_link(percent, "x", "y")) \
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    star = lists.join(first, "token").where(F.col("node") != F.col("p.node")).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
+    found = staged(_checked(direct.unionByName(star).distinct(), sets), "checked")
+    reaches = staged(_reaches(found.join(first.select(F.col("p.node").alias("a")).distinct(), "a", "left_semi"), percent), "reaches")
+    edges = [light, found.where(links).select("a", "b")]
+    tries = [found.select("a", "b")]
+    joined = components(_union(edges))
+    pivots = first.select("token", F.col("p.node").alias("pivot"))
+    known = lists.join(pivots, "token").join(reaches, ["pivot", "node"], "left") \
+        .withColumns({"common": F.coalesce("common", "n"), "rest": F.coalesce("rest", F.lit(0))})  # a pivot shares all it has with itself
+    known = staged(known.where(F.least("n", F.col("common") + F.col("rest")) * 100 >= F.col("n") * percent), "known")
+    spent = [first, lists, found, reaches, known]
+    for turn in range(ROUNDS + 1):
+        main = _with_component(first.select("token", "p.node"), joined).select("token", F.col("component").alias("main"))
+        now = _with_component(known, joined).join(main, "token")
+        state = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"),
+                                         F.sum((F.col("component") != F.col("main")).cast("long")).alias("out")).where("lo <> hi")
+        members = staged(now.join(state.select("token"), "token", "left_semi"), "members")
+        rest = state.agg(F.sum(F.col("size").cast("double") * F.col("out"))).first()[0]
+        spent += [members, joined]
         if rest is None:
-            return edges
-        if rest <= FEW * total:
             break
-        # the next pivot comes from outside the component that this one is in now
-        taken = _with_component(open_lists.select("token", F.col("p.node").alias("node")), joined).select("token", F.col("component").alias("had"))
-        last = F.when(F.col("component") == F.col("had"), F.lit(2**40)).otherwise(F.col("alone"))
-        members = staged(members.join(taken, "token", "left").withColumn("alone", last).drop("had"), "members")
-    # what is left: pairs across components, with the distance to the list's first pivot where it is known
-    far = checked.select(F.col("a").alias("pivot"), F.col("b").alias("node"), (1 - F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("d"))
-    still = members.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    spread = members.join(still, "token").join(first_pivot, "token", "left").join(far, ["pivot", "node"], "left") \
-        .withColumn("d", F.when(F.col("node") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("d")))
-    x, y = spread.alias("x"), spread.alias("y")
-    near = F.coalesce(F.abs(F.col("x.d") - F.col("y.d")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & near & _may_link(percent, "x", "y")) \
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    known = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    found = _checked(pairs.join(known, ["a", "b"], "left_anti"), sets)
-    return edges.unionByName(found.where(_fits(F.col("n"), F.col("m"), F.col("shared"), percent)).select("a", "b"))
+        if rest <= budget or turn == ROUNDS:
+            x, y = members.where("component <> main").alias("x"), members.alias("y")
+            apart = (F.col("y.component") == F.col("y.main")) | (F.col("x.component") < F.col("y.component"))
+            most = F.least("x.common", "y.common") + F.least("x.rest", "y.rest")
+            pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _fits(F.col("x.n"), F.col("y.n"), most, percent) & _may_link(percent, "x", "y")) \
+                .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+            tried = _union(tries)
+            pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+            edges.append(_checked(pairs, sets).where(links).select("a", "b"))
+            break
+        # the next pivot comes from outside the components of the list's pivots so far
+        had = _with_component(pivots.withColumnRenamed("pivot", "node"), joined).select("token", "component").distinct()
+        outside = members.join(had, ["token", "component"], "left_anti").groupBy("token").agg(F.min(F.struct("alone", "n", "node", "place")).alias("p"))
+        outside = staged(outside, "pivots")
+        met = members.join(outside, "token").where((F.col("node") != F.col("p.node"))).select(F.col("p").alias("x"), F.struct("node", "n", "place").alias("y")) \
+            .where(_may_link(percent, "x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        found = staged(_checked(met.join(_union(tries), ["a", "b"], "left_anti"), sets).drop("extra"), "checked")
+        spent += [found, outside]
+        pivots = pivots.unionByName(outside.select("token", F.col("p.node").alias("pivot")))
+        edges.append(found.where(links).select("a", "b"))
+        tries.append(found.select("a", "b"))
+        joined = components(_union(edges))
+    out = staged(_union(edges).distinct(), "links")
+    unstage(*spent)
+    return out
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
 
 
 def _with_component(lists: DataFrame, joined: DataFrame) -> DataFrame:
@@ -295,18 +336,23 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     every = staged(_shingled(docs, id_col, text_col, k, percent), "shingled")
     same = every.where("n > 0").groupBy(*KEY).agg(F.min("id").alias("id"), F.any_value("counted").alias("counted"), F.any_value("head").alias("head"))
     classes = staged(same.where("id is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
+    rows = staged(every.select("id", *KEY), "rows")
+    unstage(every)
     histogram = classes.groupBy("n").count().where(F.col("n") <= 2 * MAX_LIGHT).collect()  # at most 2 * MAX_LIGHT rows
     b = boundary([(r["n"], r["count"]) for r in histogram], percent)
-    lists = staged(_lists(classes.where(F.col("n") >= least_overlap(b + 1, percent)), percent), "lists")
-    crowd = lists.groupBy("token").count().where("count > 1").select("token")
-    lists = staged(lists.join(crowd, "token"), "lists")
+    listed_ = staged(_lists(classes.where(F.col("n") >= least_overlap(b + 1, percent)), percent), "lists")
+    crowd = listed_.groupBy("token").count().where("count > 1").select("token")
+    lists = staged(listed_.join(crowd, "token"), "lists")
     wanted = classes.where(F.col("n") <= b).select("node").unionByName(lists.select("node")).distinct()
     sets = staged(_full_sets(docs, id_col, text_col, k, classes.join(wanted, "node").select("node", "id", *KEY)), "sets")
-    edges = _heavy_edges(lists, sets, staged(_light_edges(sets, b, percent), "light"), percent)
-    joined = _with_component(classes.select("node", "id", *KEY), components(edges))
+    light = staged(_light_edges(sets, b, percent), "light")
+    edges = _heavy_edges(lists, sets, light, percent)
+    found = components(edges)
+    joined = _with_component(classes.select("node", "id", *KEY), found)
     least = joined.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = joined.join(least, "component").select(*KEY, "component_id")
-    out = every.select("id", *KEY).join(named, KEY, "left")
+    named = staged(joined.join(least, "component").select(*KEY, "component_id"), "named")
+    unstage(classes, listed_, lists, sets, light, edges, found)
+    out = rows.join(named, KEY, "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
 
