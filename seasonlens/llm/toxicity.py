@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier with counterfactual regularisation.
 
 **Features.**  The distinct words of a text (runs of letters, lower case) and their character 3- to 6-grams with word-edge marks, each present or
-absent.  Counts over the training rows pick the most telling ones.
+absent.  Counts over the sampled training rows pick the most telling ones; one Aho-Corasick pass over a text's distinct words finds those it holds.
 
 **Counterfactual term.**  Labelled sentences that name a group are rewritten with another group's
 term in its place, and the classifier is penalised by the square of the change of its score.  A score is additive over the distinct features,
@@ -18,11 +18,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,9 +41,6 @@ L1, L2, COUNTERFACTUAL, STEPS = 2e-4, 1e-5, 0.1, 250
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
-MEMO_WORDS = 100_000
-MEMO_CHARS = 48
-
 # Terms that name groups; terms of a row stand for each other in a swap.
 GROUPS = (
     ("women", "men", "girls", "boys", "female", "male", "transgender"),
@@ -56,50 +55,39 @@ GROUPS = (
 )
 
 
-def word_features(word: str) -> np.ndarray:
-    """Distinct 64-bit hashes of a word and its character n-grams."""
-    marked = f"<{word}>"
-    grams = {marked[i:i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)} | {marked}
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(g) for g in grams), np.uint64, len(grams)).astype(np.int64))
-
-
-class _Words:
-    """Features of words, kept for the words seen last."""
-
-    def __init__(self, of=word_features):
-        self.of, self.memo = of, {}
-
-    def __call__(self, word: str):
-        found = self.memo.get(word)
-        if found is None:
-            found = self.of(word)
-            if len(word) <= MEMO_CHARS:
-                if len(self.memo) >= MEMO_WORDS:
-                    self.memo.clear()
-                self.memo[word] = found
-        return found
+def word_features(word: str) -> set[str]:
+    """A word and its character n-grams; a space marks the word's edges."""
+    marked = f" {word} "
+    return {marked[i:i + n] for n in (3, 4, 5, 6) for i in range(len(marked) - n + 1)} | {marked}
 
 
 def words_of(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
+def finder(features: Iterable[str]) -> Callable[[set[str]], set[int]]:
+    """Function from a text's words to the places of the features it holds."""
+    automaton = ahocorasick.Automaton()
+    for i, feature in enumerate(features):
+        automaton.add_word(feature, i)
+    automaton.make_automaton()
+    if not len(automaton):
+        return lambda words: set()
+    return lambda words: {i for _, i in automaton.iter(f" {' '.join(words)} ")}
+
+
 @dataclass
 class Model:
-    """Weights by feature hash, and the intercept."""
+    """Weights of the features, and the intercept."""
 
     bias: float
-    weights: dict[int, float] = field(default_factory=dict)
+    weights: dict[str, float] = field(default_factory=dict)
 
-    def scorer(self):
-        weights = self.weights
-        hits = _Words(lambda word: tuple(h for h in word_features(word).tolist() if h in weights))
+    def scorer(self) -> Callable[[str], float]:
+        find, weights = finder(self.weights), list(self.weights.values())
 
         def score(text: str) -> float:
-            found: set[int] = set()
-            for word in words_of(text):
-                found.update(hits(word))
-            z = self.bias + math.fsum(weights[h] for h in found)
+            z = self.bias + math.fsum(weights[i] for i in find(words_of(text)))
             return 1 / (1 + math.exp(-z)) if z >= 0 else math.exp(z) / (1 + math.exp(z))
 
         return score
@@ -122,37 +110,34 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
 
 
 def _feature_counts(rows: DataFrame) -> DataFrame:
-    """(feature, pos, neg): sampled documents with the feature, by label; each task adds up its own first."""
+    """(feature, pos, neg): sampled documents with the feature, by label; each batch adds up its own first."""
     def run(batches):
-        of = _Words()
         for batch in batches:
-            parts: list[list[np.ndarray]] = [[], []]
+            counts = (Counter(), Counter())
             for y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if words := words_of(text):
-                    parts[y].append(np.unique(np.concatenate([of(w) for w in words])))
-            made = [np.unique(np.concatenate(p), return_counts=True) if p else (np.empty(0, np.int64), np.empty(0, np.int64)) for p in parts]
-            for y, (feature, n) in enumerate(made):
-                zero = np.zeros_like(n)
-                yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(n if y else zero), pa.array(zero if y else n)], ["feature", "pos", "neg"])
+                counts[y].update(set().union(*map(word_features, words_of(text))))
+            every = list(counts[0].keys() | counts[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *(pa.array([c[f] for f in every], pa.int64()) for c in (counts[1], counts[0]))],
+                                             ["feature", "pos", "neg"])
 
-    return rows.mapInArrow(run, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return rows.mapInArrow(run, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def _most_telling(counts: DataFrame, n_pos: int, n_neg: int, k: int) -> np.ndarray:
+def _most_telling(counts: DataFrame, n_pos: int, n_neg: int, k: int) -> list[str]:
     """The k features with the largest log odds ratio in standard errors."""
     p, q = F.col("pos") + 0.5, F.col("neg") + 0.5
     ratio = F.log(p / (n_pos + 1 - p)) - F.log(q / (n_neg + 1 - q))
     top = counts.where(F.col("pos") + F.col("neg") >= MIN_DOCS).withColumn("z", F.abs(ratio) / F.sqrt(1 / p + 1 / q)) \
         .orderBy(F.desc("z"), "feature").limit(k)
-    return np.sort(np.array([r["feature"] for r in top.select("feature").collect()], dtype=np.int64))
+    return sorted(r["feature"] for r in top.select("feature").collect())
 
 
-def _examples(rows: DataFrame, features: np.ndarray) -> list:
-    """(toxic, places of the features the text holds, (term, sentences that hold it) of the group terms) of the sampled rows."""
+def _examples(rows: DataFrame, features: list[str]) -> list:
+    """(toxic, places of the features the text holds as 32-bit numbers, (term, sentences that hold it) of the group terms) of the sampled rows."""
     terms = [t for group in GROUPS for t in group]
 
     def run(batches):
-        of = _Words(lambda w: np.flatnonzero(np.isin(features, word_features(w), assume_unique=True)))
+        find = finder(features)
         for batch in batches:
             toxic, held, named = [], [], []
             for y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -160,24 +145,24 @@ def _examples(rows: DataFrame, features: np.ndarray) -> list:
                 present = [i for i, t in enumerate(terms) if t in words]
                 sentences = [words_of(s) for s in SENTENCE.findall(text)] if present else []
                 toxic.append(y)
-                held.append(np.unique(np.concatenate([of(w) for w in words])).tolist() if words else [])
+                held.append(np.array(sorted(find(words)), dtype="<i4").tobytes())
                 named.append([{"term": i, "sentences": sum(terms[i] in s for s in sentences)} for i in present])
-            kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.struct([("term", pa.int64()), ("sentences", pa.int64())])))
+            kinds = (pa.int32(), pa.binary(), pa.list_(pa.struct([("term", pa.int64()), ("sentences", pa.int64())])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((toxic, held, named), kinds, strict=True)], ["toxic", "held", "named"])
 
-    return rows.mapInArrow(run, "toxic int, held array<long>, named array<struct<term:long,sentences:long>>").collect()
+    return rows.mapInArrow(run, "toxic int, held binary, named array<struct<term:long,sentences:long>>").collect()
 
 
-def _swaps(features: np.ndarray, sentences: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+def _swaps(features: list[str], sentences: np.ndarray) -> list[tuple[list[int], list[int], float]]:
     """(places gained, places lost, weight) of every swap of two terms of a group that moves the score."""
+    place = {f: i for i, f in enumerate(features)}
     at, out = 0, []
     for group in GROUPS:
-        held = [np.flatnonzero(np.isin(features, word_features(t), assume_unique=True)) for t in group]
+        held = [{place[f] for f in word_features(t) if f in place} for t in group]
         for i in range(len(group)):
             for j in range(i + 1, len(group)):
-                gained, lost = np.setdiff1d(held[j], held[i]), np.setdiff1d(held[i], held[j])
-                if len(gained) or len(lost):
-                    out.append((gained, lost, 1.0 + sentences[at + i] + sentences[at + j]))
+                if held[i] != held[j]:
+                    out.append((sorted(held[j] - held[i]), sorted(held[i] - held[j]), 1.0 + sentences[at + i] + sentences[at + j]))
         at += len(group)
     return out
 
@@ -239,8 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             sentences[s["term"]] += s["sentences"]
     share = {label: counts[label] / total / max(1.0, float((y == label).sum())) for label in (0, 1)}
     weight = np.where(y == 1, share[1], share[0])
-    w, b = _optimise(y, [np.array(r["held"], dtype=np.int64) for r in examples], weight, len(features), _swaps(features, sentences))
-    return Model(float(b), {int(features[i]): float(w[i]) for i in np.flatnonzero(w)})
+    w, b = _optimise(y, [np.frombuffer(r["held"], "<i4") for r in examples], weight, len(features), _swaps(features, sentences))
+    return Model(float(b), {features[i]: float(w[i]) for i in np.flatnonzero(w)})
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,10 +244,8 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows whose score is below ``threshold``, with all their columns."""
     @F.pandas_udf("double")
-    def scored(batches):
-        score = model.scorer()
-        for text in batches:
-            yield text.fillna("").map(score).astype("float64")
+    def scored(text):
+        return text.fillna("").map(model.scorer()).astype("float64")
 
     name = fresh("score")
     return docs.withColumn(name, scored(F.col(f"`{text_col}`"))).where(F.col(name) < threshold).drop(name)
