@@ -73,10 +73,15 @@ class Codes:
         self.projection = np.concatenate(parts, axis=1)[:, :bits * tables]
         self.cut = np.median(x @ self.projection, axis=0)
 
-    def keys(self, units: np.ndarray) -> np.ndarray:
-        """(rows, tables) substring values."""
-        on = ((units - self.mean) @ self.projection > self.cut).reshape(len(units), self.tables, self.bits)
-        return on @ (1 << np.arange(self.bits, dtype=np.int64))
+    def pack(self, units: np.ndarray) -> list[bytes]:
+        """The code of every row, eight bits a byte."""
+        return [row.tobytes() for row in np.packbits((units - self.mean) @ self.projection > self.cut, axis=1)]
+
+    def keys(self, packed: list[bytes]) -> np.ndarray:
+        """(rows, tables) substring values of packed codes."""
+        size = self.bits * self.tables
+        on = np.unpackbits(np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1), axis=1, count=size)
+        return on.reshape(len(packed), self.tables, self.bits) @ (1 << np.arange(self.bits, dtype=np.int64))
 
 
 def unit_rows(vectors: list[bytes], kind: str) -> np.ndarray:
@@ -90,18 +95,30 @@ def _able(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _block_rows(nodes: DataFrame, codes: Codes, kind: str) -> tuple[DataFrame, DataFrame]:
-    """Staged keys, and (table, key, left, right, side, node, weight, vector): every member of every bucket of two or more, once for each block it is in."""
+def _coded(nodes: DataFrame, codes: Codes, kind: str) -> DataFrame:
+    """(node, weight, vector, code): a code is computed once, so that a bit at its cut is the same wherever it is read."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                packed = codes.pack(unit_rows(part.column(2).to_pylist(), kind))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(packed, pa.binary())], ["node", "weight", "vector", "code"])
+
+    return staged(nodes.select("node", "weight", "vector").mapInArrow(run, "node long, weight long, vector binary, code binary"), "codes")
+
+
+def _block_rows(nodes: DataFrame, codes: Codes) -> tuple[DataFrame, DataFrame]:
+    """Staged keys, and (table, key, left, right, side, node, weight, vector, code): every member of every bucket of two or more, once for each block it is in."""
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
-                keys = codes.keys(unit_rows(part.column(1).to_pylist(), kind))
+                keys = codes.keys(part.column(1).to_pylist())
                 n, m = keys.shape
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(m, dtype=np.int32), n)), pa.array(keys.reshape(-1)),
                                                   part.column(0).take(pa.array(np.repeat(np.arange(n), m)))], ["table", "key", "node"])
 
-    keys = staged(nodes.select("node", "vector").mapInArrow(keyed, "table int, key long, node long"), "keys")
+    keys = staged(nodes.select("node", "code").mapInArrow(keyed, "table int, key long, node long"), "keys")
     crowds = keys.groupBy("table", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     chunks = F.ceil(F.col("size") / BLOCK).cast("int")
     chunk = F.when(chunks > 1, F.pmod(F.xxhash64("node"), chunks).cast("int")).otherwise(0)
@@ -109,14 +126,14 @@ def _block_rows(nodes: DataFrame, codes: Codes, kind: str) -> tuple[DataFrame, D
     each = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = each.select("table", "key", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
                          (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
-    return keys, blocks.join(nodes, "node").select("table", "key", "left", "right", "side", "node", "weight", "vector")
+    return keys, blocks.join(nodes, "node").select("table", "key", "left", "right", "side", "node", "weight", "vector", "code")
 
 
 def _score_blocks(blocks: DataFrame, codes: Codes, kind: str, least: float) -> DataFrame:
     """(node, links, root) of every vector with a link in a block; a pair counts in the first table it meets in."""
-    columns = ["table", "key", "left", "right", "side", "node", "weight", "vector"]
+    columns = ["table", "key", "left", "right", "side", "node", "weight", "vector", "code"]
 
-    def score(table: int, cross: bool, side: np.ndarray, node: np.ndarray, weight: np.ndarray, vectors: list[bytes]):
+    def score(table: int, cross: bool, side: np.ndarray, node: np.ndarray, weight: np.ndarray, vectors: list[bytes], packed: list[bytes]):
         u = unit_rows(vectors, kind)
         linked = u @ u.T >= least
         np.fill_diagonal(linked, False)
@@ -126,7 +143,7 @@ def _score_blocks(blocks: DataFrame, codes: Codes, kind: str, least: float) -> D
             return None
         busy = np.flatnonzero(linked.any(axis=1))
         linked, node, weight = linked[np.ix_(busy, busy)], node[busy], weight[busy]
-        keys = codes.keys(u[busy])
+        keys = codes.keys([packed[i] for i in busy])
         for t in range(table):
             linked &= keys[:, None, t] != keys[None, :, t]
         busy = linked.any(axis=1)
@@ -150,8 +167,8 @@ def _score_blocks(blocks: DataFrame, codes: Codes, kind: str, least: float) -> D
             edge = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
             bounds = [0, *edge.tolist(), *([len(ids)] if last else [])]
             side, node, weight = (rows.column(c).to_numpy() for c in ("side", "node", "weight"))
-            vectors = rows.column("vector").to_pylist()
-            found = [score(int(ids[a, 0]), bool(ids[a, 2] != ids[a, 3]), side[a:b], node[a:b], weight[a:b], vectors[a:b])
+            vectors, packed = rows.column("vector").to_pylist(), rows.column("code").to_pylist()
+            found = [score(int(ids[a, 0]), bool(ids[a, 2] != ids[a, 3]), side[a:b], node[a:b], weight[a:b], vectors[a:b], packed[a:b])
                      for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b - a > 1]
             return [f for f in found if f], rows.slice(bounds[-1])
 
@@ -201,9 +218,10 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     n = nodes.count()
     sample = nodes.orderBy(F.xxhash64("vector"), "node").limit(sample_rows).select("vector").collect()  # at most sample_rows vectors
     codes = Codes(unit_rows([bytes(r["vector"]) for r in sample], kind), *plan_tables(n, least, recall))
-    keys, blocks = _block_rows(nodes, codes, kind)
+    coded = _coded(nodes, codes, kind)
+    keys, blocks = _block_rows(coded, codes)
     scored = staged(_score_blocks(blocks, codes, kind, least), "links")
-    unstage(keys)
+    unstage(keys, coded)
     links = scored.groupBy("node").agg(F.sum("links").alias("links"))
     found = components(scored.select(F.col("node").alias("a"), F.col("root").alias("b")))
     joined = nodes.join(found, "node", "left") \
