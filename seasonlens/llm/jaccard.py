@@ -16,10 +16,11 @@ elements of a single set, most of them, never enter a list.
 **Boundary**: the cost of the light side (subsets) and of the heavy side (list entries, each with
 its share of the check) is summed over the histogram of set sizes, and the cheapest boundary is taken.
 
-**Hot lists**: the pairs of a short list are checked.  A longer list's members are first all checked against one pivot (a star), which joins a large group of near copies in
-linear work.  The check also tells what each member shares with the pivot and which of its other elements no other member of the
-pivot's group has; both bound what two members can share, and members that can reach nobody drop out.  Only lists whose members are then still in different components go
-on: further pivots while many pairs remain, at last the pairs across components that these bounds, size and place allow.  Nothing is capped; every
+**Hot lists**: the pairs of a list of ordinary length are candidates where size and place allow a link.  The members of a longer list form
+the group of a pivot and are all checked against it (a star), which joins a large group of near copies in linear work.
+The check also tells what each member shares with the pivot and which of its other elements no other member of the
+group has; both bound what two members can share.  Members that can reach nobody drop out; of the others, only pairs that the bounds allow and that no pivot joins are
+checked (while a group still holds many, a member that no pivot has joined becomes a further pivot).  Nothing is capped; every
 candidate is checked on the full sets.
 
 Shingles are 63-bit hashes of word hashes, and a set's identity is its size with two 63-bit sums over its shingles.
@@ -48,11 +49,11 @@ COUNTED = 1.5
 ENTRY_COST = 8
 # Largest boundary that is considered.
 MAX_LIGHT = 40
-# Pivot rounds before the remaining pairs are compared; they end early when few comparisons remain (as a multiple of the list entries).
-ROUNDS = 4
+# Further pivots of a group; they end early when few comparisons remain (as a multiple of the group's members).
+ROUNDS = 3
 FEW = 50
-# Longest list whose pairs are all candidates.
-SHORT = 8
+# Longest list whose pairs are candidates themselves.
+SHORT = 64
 # Share of the hash range in which a set far from its pivot shows the elements it has besides the pivot's.
 SHOWN = 0.25
 # Words whose hashes a task keeps.
@@ -254,60 +255,50 @@ def _reaches(found: DataFrame, percent: int) -> DataFrame:
 
 
 def _heavy_edges(lists: DataFrame, sets: DataFrame, light: DataFrame, percent: int) -> DataFrame:
-    """Edges of the heavy side and ``light``, the edges already known."""
+    """Edges of the heavy side and ``light``, the edges already known; staged."""
     links = _fits(F.col("n"), F.col("m"), F.col("shared"), percent)
-    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("alone", "n", "node", "place")).alias("p"))
-    # one pivot a long list: the set with the fewest elements of its own
-    first = staged(sizes.where(F.col("size") > SHORT).select("token", "p"), "pivots")
-    short = lists.join(sizes.where(F.col("size") <= SHORT).select("token"), "token", "left_semi")
-    lists = staged(lists.join(first.select("token"), "token", "left_semi"), "long")
-    budget = FEW * lists.count()
-    x, y = short.alias("x"), short.alias("y")
+    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("alone", "n", "node")).alias("p"))
+    # the pivot of a long list: the set with the fewest elements of its own
+    long = staged(sizes.where(F.col("size") > SHORT).select("token", F.col("p.node").alias("pivot")), "pivots")
+    x, y = (lists.join(sizes.where(F.col("size") <= SHORT).select("token"), "token", "left_semi").alias(i) for i in "xy")
     direct = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & _may_link(percent, "x", "y")) \
         .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    star = lists.join(first, "token").where(F.col("node") != F.col("p.node")).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
+    group = staged(lists.join(long, "token").select("pivot", "node", "n", "alone").distinct(), "groups")
+    star = group.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     found = staged(_checked(direct.unionByName(star).distinct(), sets), "checked")
-    reaches = staged(_reaches(found.join(first.select(F.col("p.node").alias("a")).distinct(), "a", "left_semi"), percent), "reaches")
+    reaches = _reaches(found.join(long.select(F.col("pivot").alias("a")).distinct(), "a", "left_semi"), percent)
     edges = [light, found.where(links).select("a", "b")]
-    tries = [found.select("a", "b")]
-    joined = components(_union(edges))
-    pivots = first.select("token", F.col("p.node").alias("pivot"))
-    known = lists.join(pivots, "token").join(reaches, ["pivot", "node"], "left") \
-        .withColumns({"common": F.coalesce("common", "n"), "rest": F.coalesce("rest", F.lit(0))})  # a pivot shares all it has with itself
-    known = staged(known.where(F.least("n", F.col("common") + F.col("rest")) * 100 >= F.col("n") * percent), "known")
-    spent = [first, lists, found, reaches, known]
-    for turn in range(ROUNDS + 1):
-        main = _with_component(first.select("token", "p.node"), joined).select("token", F.col("component").alias("main"))
-        now = _with_component(known, joined).join(main, "token")
-        state = now.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size"),
-                                         F.sum((F.col("component") != F.col("main")).cast("long")).alias("out")).where("lo <> hi")
-        members = staged(now.join(state.select("token"), "token", "left_semi"), "members")
-        rest = state.agg(F.sum(F.col("size").cast("double") * F.col("out"))).first()[0]
-        spent += [members, joined]
-        if rest is None:
+    tried = [found.select("a", "b")]
+    joined = found.where(links).select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.lit(0).alias("by"))
+    reach = F.least("n", F.col("common") + F.col("rest"))
+    members = group.join(reaches, ["pivot", "node"], "left").join(joined, ["pivot", "node"], "left").withColumns({
+        "common": F.coalesce("common", "n"), "rest": F.coalesce("rest", F.lit(0)),  # a pivot shares all it has with itself
+        "by": F.when(F.col("node") == F.col("pivot"), 0).otherwise(F.col("by"))})
+    members = staged(members.where(reach * 100 >= F.col("n") * percent), "members")
+    spent = [long, group, found, members]
+    for turn in range(1, ROUNDS + 1):
+        left = members.groupBy("pivot").agg(F.count(F.lit(1)).cast("double").alias("all"), F.count(F.when(F.col("by").isNull() | (F.col("by") > 0), 1)).alias("out"))
+        state = left.agg(F.sum(F.col("all") * F.col("out")).alias("comparisons"), F.sum("all").alias("members")).first()
+        if (state["comparisons"] or 0) <= FEW * (state["members"] or 0):
             break
-        if rest <= budget or turn == ROUNDS:
-            x, y = members.where("component <> main").alias("x"), members.alias("y")
-            apart = (F.col("y.component") == F.col("y.main")) | (F.col("x.component") < F.col("y.component"))
-            most = F.least("x.common", "y.common") + F.least("x.rest", "y.rest")
-            pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & _fits(F.col("x.n"), F.col("y.n"), most, percent) & _may_link(percent, "x", "y")) \
-                .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-            tried = _union(tries)
-            pairs = pairs.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-            edges.append(_checked(pairs, sets).where(links).select("a", "b"))
-            break
-        # the next pivot comes from outside the components of the list's pivots so far
-        had = _with_component(pivots.withColumnRenamed("pivot", "node"), joined).select("token", "component").distinct()
-        outside = members.join(had, ["token", "component"], "left_anti").groupBy("token").agg(F.min(F.struct("alone", "n", "node", "place")).alias("p"))
-        outside = staged(outside, "pivots")
-        met = members.join(outside, "token").where((F.col("node") != F.col("p.node"))).select(F.col("p").alias("x"), F.struct("node", "n", "place").alias("y")) \
-            .where(_may_link(percent, "x", "y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        found = staged(_checked(met.join(_union(tries), ["a", "b"], "left_anti"), sets).drop("extra"), "checked")
-        spent += [found, outside]
-        pivots = pivots.unionByName(outside.select("token", F.col("p.node").alias("pivot")))
+        next_ = members.where("by is null").groupBy("pivot").agg(F.min(F.struct("alone", "n", "node"))["node"].alias("a"))
+        pairs = members.where("by is null").join(next_, "pivot").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+        found = staged(_checked(pairs.join(_union(tried), ["a", "b"], "left_anti"), sets).drop("extra"), "checked")
         edges.append(found.where(links).select("a", "b"))
-        tries.append(found.select("a", "b"))
-        joined = components(_union(edges))
+        tried.append(found.select("a", "b"))
+        mine = next_.join(found.where(links).select("a", F.col("b").alias("node")), "a").select("pivot", "node") \
+            .unionByName(next_.select("pivot", F.col("a").alias("node"))).distinct().withColumn("now", F.lit(turn))
+        members = staged(members.join(mine, ["pivot", "node"], "left").withColumn("by", F.coalesce("by", "now")).drop("now"), "members")
+        spent += [found, members]
+    x, y = members.where("by is null or by > 0").alias("x"), members.alias("y")
+    once = F.col("y.by").eqNullSafe(F.lit(0)) | (F.col("x.node") < F.col("y.node"))
+    apart = F.col("x.by").isNull() | F.col("y.by").isNull() | (F.col("x.by") != F.col("y.by"))
+    most = F.least("x.common", "y.common") + F.least("x.rest", "y.rest")
+    rest = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & once & apart & _fits(F.col("x.n"), F.col("y.n"), most, percent)) \
+        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).where("a < b").distinct()
+    done = _union(tried)
+    rest = rest.join(done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
+    edges.append(_checked(rest, sets).where(links).select("a", "b"))
     out = staged(_union(edges).distinct(), "links")
     unstage(*spent)
     return out

@@ -132,7 +132,8 @@ def near_copies(seed, n=160):
 
 @pytest.mark.parametrize(("k", "percent", "seed", "few"), [(3, 90, 1, 2), (5, 80, 2, 2), (3, 80, 3, 0), (2, 50, 4, 0)])
 def test_jaccard_equals_brute_force(spark, monkeypatch, k, percent, seed, few):
-    monkeypatch.setattr(jaccard, "FEW", few)  # 0: every pivot round, then what is left
+    monkeypatch.setattr(jaccard, "FEW", few)  # 0: every further pivot, then what is left
+    monkeypatch.setattr(jaccard, "SHORT", 2 if few else 3)
     rows = near_copies(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, rows).repartition(3), k=k, percent=percent).collect()}
     want = jaccard_by_force(rows, k, percent)
