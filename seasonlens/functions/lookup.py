@@ -1,8 +1,8 @@
 """Id -> name lookups (D1-D5) as joins against small dimensions.
 
 The reference closes Python dictionaries into row-at-a-time UDFs; here a
-dimension is a DataFrame ``(id, name)`` and the lookup is a left join that
-Spark broadcasts once its size has been checked.  Two fallback rules exist:
+dimension is a DataFrame ``(id, name)`` and the lookup is a left join; Spark
+broadcasts it by its size in bytes (``autoBroadcastJoinThreshold``, or at run time by AQE) and shuffles otherwise.  Two fallback rules exist:
 
 * ``empty_is_missing=False`` (runes, spells, queue modes): a matched id keeps
   its stored name, even an empty one; an unmatched id becomes its own text.
@@ -18,21 +18,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seasonlens.session import MAX_BROADCAST_ROWS
-
-# Size checks already made, per dimension DataFrame (one count job each).
-_SIZE_CHECKED: dict[int, tuple[DataFrame, bool]] = {}
-
-
-def _fits(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> bool:
-    """Row-count check behind every broadcast, made once per dimension."""
-    hit = _SIZE_CHECKED.get(id(dim))
-    if hit is not None and hit[0] is dim:
-        return hit[1]
-    ok = dim.limit(max_rows + 1).count() <= max_rows
-    _SIZE_CHECKED[id(dim)] = (dim, ok)
-    return ok
-
 
 def lookup(
     df: DataFrame,
@@ -43,20 +28,13 @@ def lookup(
     empty_is_missing: bool = False,
     key: str = "id",
     name: str = "name",
-    broadcastable: bool | None = None,
 ) -> DataFrame:
-    """Left-join ``dim`` on ``id_expr`` and add ``out_col`` with the fallback rule.
-
-    ``broadcastable=None`` decides by the memoised row-count check.
-    """
+    """Left-join ``dim`` on ``id_expr`` and add ``out_col`` with the fallback rule."""
     ident = F.col(id_expr) if isinstance(id_expr, str) else id_expr
     tag = out_col.replace(".", "_")
     k, n, hit = f"_lk_{tag}_id", f"_lk_{tag}_name", f"_lk_{tag}_hit"
     base = dim.select(F.col(key).cast("long").alias(k), F.col(name).alias(n), F.lit(True).alias(hit))
-    if broadcastable is None:
-        broadcastable = _fits(dim)
-    small = F.broadcast(base) if broadcastable else base
-    joined = df.join(small, ident.cast("long") == F.col(k), "left")
+    joined = df.join(base, ident.cast("long") == F.col(k), "left")
     as_text = ident.cast("string")
     if empty_is_missing:
         value = F.coalesce(F.nullif(F.col(n), F.lit("")), as_text)

@@ -17,14 +17,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
-from seasonlens import schema
 from seasonlens.functions.features import add_features
 from seasonlens.functions.lookup import Dimensions, merge_item_versions
 from seasonlens.operators import ingest
 from seasonlens.operators.document import build_documents, write_documents
-from seasonlens.session import apply_sql_conf
+from seasonlens.session import apply_sql_conf, path_exists
 from seasonlens.sources import dims as D
-from seasonlens.sources.matches import read_player_matches, scoped, write_player_matches
+from seasonlens.sources.matches import read_date_path_documents, read_player_matches, scoped, write_player_matches
 
 
 def load_dimensions(spark: SparkSession, folder: str) -> Dimensions:
@@ -41,24 +40,27 @@ def ingest_job(spark: SparkSession, raw: str, table: str, year: int | None = Non
                quarantine: str | None = None) -> None:
     """B1-B11 + A4: extract player rows, quarantine malformed ones, append only unseen matches."""
     apply_sql_conf(spark)
-    rows = ingest.extract_player_rows(spark.read.schema(schema.RAW_MATCH).json(raw), puuid)
+    matches, broken = ingest.read_raw_matches(spark, raw)
+    # malformed rows are split off first: a row without a start time belongs to no year
+    valid, bad = ingest.split_malformed(ingest.extract_player_rows(matches, puuid))
     if year is not None:
-        rows = ingest.in_year(rows, year)
-    valid, bad = ingest.split_malformed(rows)
-    valid = valid.drop("gameStartTimestamp")
-    if os.path.exists(table):
+        valid = ingest.in_year(valid, year)
+    valid = ingest.one_per_match(valid.drop("gameStartTimestamp"))
+    if path_exists(spark, table):
         valid = ingest.new_matches(valid, read_player_matches(spark, table).select(*ingest.MATCH_KEYS))
-    write_player_matches(valid.dropDuplicates(list(ingest.MATCH_KEYS)), table, mode="append")
+    write_player_matches(valid, table, mode="append")
     if quarantine:
-        bad.write.mode("append").parquet(quarantine)
+        bad.unionByName(broken).write.mode("append").parquet(quarantine)
 
 
 def summary_job(spark: SparkSession, table: str, dims_folder: str, out: str, year: int | None = None,
-                puuid: str | None = None) -> None:
+                puuid: str | None = None, date_path: bool = False) -> None:
     """E1-E26 + A9-A11: documents for every (player, year) in scope."""
     apply_sql_conf(spark)
     dims = load_dimensions(spark, dims_folder)
-    feat = dims.mode(add_features(scoped(read_player_matches(spark, table), puuid, year)))
+    # the stored layout is either partitioned parquet or one JSON document a file under a date path
+    stored = read_date_path_documents(spark, table)[0] if date_path else read_player_matches(spark, table)
+    feat = dims.mode(add_features(scoped(stored, puuid, year)))
     write_documents(build_documents(feat, dims), out)
 
 
@@ -73,6 +75,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     b.add_argument("--table", required=True)
     b.add_argument("--dims", required=True)
     b.add_argument("--out", required=True)
+    b.add_argument("--date-path", action="store_true", help="one JSON document a file under {puuid}/stats/Y/MM/DD/")
     for p in (a, b):
         p.add_argument("--year", type=int)
         p.add_argument("--puuid")
@@ -81,7 +84,7 @@ def main(argv: Sequence[str] | None = None) -> None:
     if args.job == "ingest":
         ingest_job(spark, args.raw, args.table, args.year, args.puuid, args.quarantine)
     else:
-        summary_job(spark, args.table, args.dims, args.out, args.year, args.puuid)
+        summary_job(spark, args.table, args.dims, args.out, args.year, args.puuid, args.date_path)
 
 
 if __name__ == "__main__":

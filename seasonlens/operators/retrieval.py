@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seasonlens.functions.text import tokens
-from seasonlens.session import broadcast_if_small
 
 # Fixed values of the reference's index: 300-token chunks, 20 % overlap.
 CHUNK_TOKENS = 300
@@ -60,11 +59,13 @@ def _as_double(v: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(_as_double(a), _as_double(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    """Inner product of two double vectors."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def with_norm(df: DataFrame, vec: str, out: str, norm: str) -> DataFrame:
+    """``vec`` as doubles in ``out`` and its length in ``norm``: once a row, before any join."""
+    return df.withColumn(out, _as_double(F.col(vec))).withColumn(norm, F.sqrt(dot(F.col(out), F.col(out))))
 
 
 def centroids(df: DataFrame, key: str, vec: str) -> DataFrame:
@@ -92,9 +93,10 @@ def vector_topk(
     Cosine similarity; ties go to the smaller document id.  With
     ``rank_digits`` the ranking uses the score rounded to that many places.
     """
-    q = broadcast_if_small(queries.select(query_id, *keys, query_vec))
-    pairs = corpus.select(doc_id, *keys, doc_vec).join(q, list(keys))
-    scored = pairs.select(query_id, *keys, doc_id, cosine(F.col(query_vec), F.col(doc_vec)).alias("score"))
+    q = with_norm(queries, query_vec, "_q", "_qn").select(query_id, *keys, "_q", "_qn")
+    d = with_norm(corpus, doc_vec, "_d", "_dn").select(doc_id, *keys, "_d", "_dn")
+    score = F.try_divide(dot(F.col("_q"), F.col("_d")), F.col("_qn") * F.col("_dn"))
+    scored = d.join(q, list(keys)).select(query_id, *keys, doc_id, score.alias("score"))
     order_score = F.round(F.col("score") + F.lit(1e-9), rank_digits) if rank_digits is not None else F.col("score")
     w = Window.partitionBy(query_id).orderBy(order_score.desc_nulls_last(), F.col(doc_id).asc())
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

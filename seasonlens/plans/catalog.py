@@ -49,15 +49,8 @@ def secs(c: str | Column) -> Column:
     return F.unix_seconds(F.col(c) if isinstance(c, str) else c)
 
 
-_DIMS: dict[tuple[int, str], object] = {}
-
-
 def _dims(spark: SparkSession, sf_dir: str):
-    """Dimensions per (session, input): their size checks run once."""
-    key = (id(spark), sf_dir)
-    if key not in _DIMS:
-        _DIMS[key] = binding.dimensions(spark, sf_dir)
-    return _DIMS[key]
+    return binding.dimensions(spark, sf_dir)
 
 
 def _setup(spark: SparkSession, sf_dir: str):
@@ -501,26 +494,38 @@ def dimension_docs_query(spark, sf_dir):
 def document_sink_query(spark, sf_dir):
     """A9-A11 then A14: documents + sidecar written as JSON lines, read back as text."""
     from seasonlens.session import scratch_path
-    from seasonlens.sources.matches import read_text_documents
 
     dims, feat = _setup(spark, sf_dir)
     path = scratch_path(spark, "documents")
     doc.write_documents(doc.build_documents(feat, dims, stage_input=True), path)
-    texts = read_text_documents(spark, f"{path}/documents")
-    meta = spark.read.text(f"{path}/metadata").select(
-        F.get_json_object("value", "$.metadataAttributes.puuid").cast("long").alias("puuid"),
-        F.get_json_object("value", "$.metadataAttributes.year").cast("int").alias("year"),
-        F.get_json_object("value", "$.doc_key").alias("docKey"),
-    )
+    return _stored_documents(spark, path)
+
+
+def _stored_documents(spark, path):
+    """Stored documents with their sidecar, as plain columns."""
     j = F.get_json_object
-    docs = texts.select(
-        j("value", "$.playerPUUID").cast("long").alias("puuid"), "year",
+    return doc.read_documents(spark, path).select(
+        j("value", "$.playerPUUID").cast("long").alias("puuid"), j("meta", "$.metadataAttributes.year").cast("int").alias("year"),
+        j("meta", "$.doc_key").alias("docKey"),
         j("value", "$.summary.global.totalGames").cast("long").alias("totalGames"),
         F.json_array_length(j("value", "$.summary.champions")).cast("long").alias("nChampions"),
         j("value", "$.summary.global.longestWinStreak.length").cast("long").alias("winLength"),
         j("value", "$.summary.global.longestWinStreak.startDate").alias("winStart"),
     )
-    return docs.join(meta, ["puuid", "year"], "left")
+
+
+@register("a09_scoped_rerun")
+def scoped_rerun_query(spark, sf_dir):
+    """All documents written, a third of the players written again from their games since June only;
+    every other player-year must still be stored."""
+    from seasonlens.session import scratch_path
+
+    dims, feat = _setup(spark, sf_dir)
+    path = scratch_path(spark, "documents")
+    doc.write_documents(doc.build_documents(feat, dims, stage_input=True), path)
+    some = feat.where((F.col("puuid") % 3 == 0) & (F.col("month") >= 6))
+    doc.write_documents(doc.build_documents(some, dims, stage_input=True), path)
+    return _stored_documents(spark, path).select("puuid", "year", "docKey", "totalGames", "nChampions")
 
 
 # ---------------------------------------------------------------- F5-F7
@@ -564,7 +569,7 @@ def facts_roundtrip_query(spark, sf_dir):
     path = scratch_path(spark, "facts")
     nested = nest_facts(_facts(spark, sf_dir))
     write_facts(nested, path)
-    finished = nested.select("puuid", "year").where(F.col("puuid") % 4 == 0)
+    finished = spark.read.parquet(path).select("puuid", "year").where(F.col("puuid") % 4 == 0)
     back = read_facts(spark, path, finished, puuid_type=T.LongType())
     return back.select(
         "puuid", "year", F.size("facts").cast("long").alias("nFacts"),
@@ -572,6 +577,24 @@ def facts_roundtrip_query(spark, sf_dir):
     )
 
 
+@register("a12_scoped_rerun")
+def facts_rerun_query(spark, sf_dir):
+    """All facts written, a third of the players written again with their first fact only;
+    every key is read back."""
+    from pyspark.sql import types as T
+
+    from seasonlens.operators.facts import nest_facts
+    from seasonlens.session import scratch_path
+    from seasonlens.sources.sinks import read_facts, write_facts
+
+    path = scratch_path(spark, "facts")
+    write_facts(nest_facts(_facts(spark, sf_dir)), path)
+    again = read_facts(spark, path, puuid_type=T.LongType()).where(F.col("puuid") % 3 == 0)
+    write_facts(again.select("puuid", "year", F.slice("facts", 1, 1).alias("facts")), path)
+    return read_facts(spark, path, puuid_type=T.LongType()).select(
+        "puuid", "year", F.size("facts").cast("long").alias("nFacts"), F.col("facts")[0]["correct_answer"].alias("firstAnswer"))
+
+
 # ---------------------------------------------------------------- streams
 @register("g01_progress_stream")
 def progress_stream_query(spark, sf_dir):
@@ -598,25 +621,30 @@ def progress_stream_query(spark, sf_dir):
 
 @register("g06_duplicate_guard_stream")
 def guard_stream_query(spark, sf_dir):
-    """Requests (one per event: user, year) streamed in daily files; a
-    repeat of a (user, year) within 30 minutes of event time is dropped."""
+    """Requests (one per event: user, year) arriving in time order, slice by slice; a repeat of a
+    (user, year) within 30 minutes of the last accepted one is refused."""
+    return _guarded(spark, sf_dir, slices=3)
+
+
+def _guarded(spark, sf_dir, slices):
+    """The log arrives in ``slices`` appends; the stream takes up what is new after each and resumes from its checkpoint."""
     from seasonlens.session import scratch_path
     from seasonlens.streaming.runners import guarded_requests
 
     src, out, ck = (scratch_path(spark, n) for n in ("guard_src", "guard_out", "guard_ck"))
     req = binding.table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("puuid"), F.year("ts").alias("year"), F.col("ts").cast("timestamp").alias("ts"),
-        "event_id", F.to_date("ts").alias("day"),
-    )
-    req.write.partitionBy("day").parquet(src)
-    stream = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (
-        guarded_requests(stream.drop("day"))
-        .writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
-        .trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
-    return spark.read.parquet(out).select("puuid", "year", "event_id")
+        F.col("user_id").alias("puuid"), F.year("ts").alias("year"), F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    span = req.agg(F.min(F.unix_micros("ts")).alias("lo"), F.max(F.unix_micros("ts")).alias("hi")).first()
+    lo, width = span["lo"] or 0, ((span["hi"] or 0) - (span["lo"] or 0)) // slices + 1
+    for i in range(slices):
+        us = F.unix_micros("ts")
+        req.where((us >= lo + i * width) & (us < lo + (i + 1) * width)).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(req.schema).parquet(src)
+        (
+            guarded_requests(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", ck)
+            .trigger(availableNow=True).start().awaitTermination()
+        )
+    return spark.read.schema(req.schema).parquet(out).select("puuid", "year", "event_id")
 
 
 @register("g07_incremental_refresh")

@@ -595,6 +595,32 @@ SELECT puuid, year, count(*) AS nFacts, max(CASE WHEN kind_no = 1 THEN correctAn
 FROM allk WHERE puuid % 4 = 0 GROUP BY puuid, year"""
 
 
+ORACLE["a09_scoped_rerun"] = with_base() + """
+SELECT puuid, year, count(*) AS totalGames, cast(count(DISTINCT (champion, game_mode)) AS BIGINT) AS nChampions,
+  'summary/' || puuid || '/final_summary_' || year || '.json' AS docKey
+FROM (SELECT *, puuid % 3 = 0 AND max(month) OVER (PARTITION BY puuid, year) >= 6 AS again FROM f)
+WHERE NOT again OR month >= 6 GROUP BY puuid, year"""
+
+ORACLE["a12_scoped_rerun"] = with_base(*_FACT_CTES) + """
+SELECT puuid, year, CASE WHEN puuid % 3 = 0 THEN 1 ELSE count(*) END AS nFacts,
+  max(CASE WHEN kind_no = 1 THEN correctAnswer END) AS firstAnswer
+FROM allk GROUP BY puuid, year"""
+
+# A request is accepted when its key had no accepted one in the 30 minutes before; a refused one changes nothing.
+ORACLE["g06_duplicate_guard_stream"] = """
+WITH RECURSIVE r AS (
+  SELECT user_id AS puuid, cast(year(ts) AS INTEGER) AS year, ts, event_id,
+         row_number() OVER (PARTITION BY user_id, year(ts) ORDER BY ts, event_id) AS i FROM events
+), g AS (
+  SELECT puuid, year, event_id, i, ts AS accepted_at, true AS accepted FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.puuid, r.year, r.event_id, r.i,
+         CASE WHEN r.ts >= g.accepted_at + INTERVAL 30 MINUTE THEN r.ts ELSE g.accepted_at END,
+         r.ts >= g.accepted_at + INTERVAL 30 MINUTE
+  FROM g JOIN r ON r.puuid = g.puuid AND r.year = g.year AND r.i = g.i + 1
+)
+SELECT puuid, year, event_id FROM g WHERE accepted"""
+
 # Streaming forms return the same rows as their batch forms.
 ORACLE["g01_progress_stream"] = ORACLE["g01_g02_progress_fold"]
 ORACLE["g07_incremental_refresh"] = ORACLE["e25_e26_documents"]

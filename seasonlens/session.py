@@ -1,8 +1,8 @@
-"""Session settings, shared scratch storage and the size-checked broadcast.
+"""Session settings, shared scratch storage and staging.
 
 Nothing here tunes Spark internals: these are the public configuration keys
 a Spark user sets, plus the helpers the operator modules share (shared
-checkpoint folder, scratch paths, staging, size-checked broadcast).
+checkpoint folder, scratch paths, staged copies).
 """
 
 from __future__ import annotations
@@ -24,12 +24,6 @@ SQL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
-# Largest dimension (rows) that is broadcast.  Game catalogues (items,
-# spells, rune styles, queues) hold a few hundred rows; the check exists so a
-# dimension that grows with the data falls back to a shuffled join.
-MAX_BROADCAST_ROWS = 2_000_000
-
-
 def build_session(
     master: str | None = None,
     shuffle_partitions: int = 8,
@@ -66,37 +60,35 @@ def apply_sql_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; that value always wins.
-    Only when nothing is configured (local tests) a private folder is made.
+    A cluster names it in ``spark.checkpoint.dir``.  Only a local master may
+    run without that setting: its driver and executors are one machine, so a
+    private folder serves all of them.  Anywhere else a missing setting is an error.
     """
     try:
         sc = spark.sparkContext
     except Exception:  # noqa: BLE001 - a remote (Connect) session has no context
-        return _connect_checkpoint_dir(spark)
+        return _configured(spark) or _missing()
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        try:
-            configured = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - key absent on this session
-            configured = None
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="seasonlens-ckpt-")
-    sc.setCheckpointDir(configured)
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or _configured(spark)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="seasonlens-ckpt-") if is_local(sc.master) else _missing()
+    sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
-def _connect_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder on a remote session: the configured one, else a temp folder (local only)."""
-    try:
-        configured = spark.conf.get("spark.checkpoint.dir")
-    except Exception:  # noqa: BLE001
-        configured = None
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="seasonlens-ckpt-")
-    return configured
+def is_local(master: str) -> bool:
+    """Whether driver and executors share one process (``local``, ``local[N]``)."""
+    return master == "local" or master.startswith("local[")
+
+
+def _configured(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
+def _missing() -> str:
+    raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -105,14 +97,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "tables", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only behind a row-count check.
-
-    The count is one cheap job over the dimension; above the bound the plain
-    DataFrame is returned and Spark/AQE choose a shuffled join instead.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists in the file system its scheme names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -121,8 +109,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Used where several aggregations read the same derived rows: they then
     scan a compact, column-prunable parquet copy instead of recomputing the
     upstream joins, and the lineage is cut (a lost executor does not send
-    the recomputation back to the raw inputs).
+    the recomputation back to the raw inputs).  Whoever stages a copy drops it with ``unstage`` once
+    its readers are done.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    copy = df.sparkSession.read.schema(df.schema).parquet(path)
+    copy.staged_path = path
+    return copy
+
+
+def unstage(*copies: DataFrame) -> None:
+    """Remove staged copies that nothing reads any more."""
+    for copy in copies:
+        spark = copy.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(copy.staged_path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

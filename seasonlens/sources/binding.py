@@ -19,24 +19,8 @@ from seasonlens.functions.lookup import Dimensions, merge_item_versions
 from seasonlens.sources.dims import queues_to_modes
 
 
-# Plans (not data) built once per (session, input folder): DataFrames are
-# immutable lazy plans, so handing out the same object again only saves the
-# footer reads and expression parsing; every query still executes in full.
-_PLANS: dict[tuple, DataFrame] = {}
-
-
-def _memo(spark: SparkSession, *key):
-    def wrap(build):
-        k = (id(spark), *key)
-        if k not in _PLANS:
-            _PLANS[k] = build()
-        return _PLANS[k]
-
-    return wrap
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _memo(spark, sf_dir, "table", name)(lambda: spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 # Fixed values of the binding (FIXTURES B.1): integer mixing constants.
@@ -92,29 +76,22 @@ def lineitem_orders_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    # lineitem x orders is a fact-to-fact join: at scale neither side can be
-    # broadcast, so it is declared as a shuffled hash join on the order key
-    # (no sort of either side; AQE still splits skewed partitions); part is
-    # a dimension and is left to the size-based choice.
-    return li.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")).join(
+    # Both joins are left to Spark's size-based choice: lineitem x orders is
+    # shuffled at scale and may spill, part is broadcast while it is small.
+    return li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         part, F.col("l_partkey") == F.col("p_partkey")
     )
 
 
 def player_matches_with_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``m`` keeping the start timestamp (ingest operators need it)."""
-    def build():
-        rows = lineitem_orders_part(spark, sf_dir).select(
-            *[F.expr(e).alias(k) for k, e in _PLAYER_MATCH_EXPRS.items()]
-        )
-        return date_path_parts(rows)
-
-    return _memo(spark, sf_dir, "m_start")(build)
+    rows = lineitem_orders_part(spark, sf_dir).select(*[F.expr(e).alias(k) for k, e in _PLAYER_MATCH_EXPRS.items()])
+    return date_path_parts(rows)
 
 
 def player_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """View ``m``: one stored player-match row per line item, with date keys."""
-    return _memo(spark, sf_dir, "m")(lambda: player_matches_with_start(spark, sf_dir).drop("gameStartTimestamp"))
+    return player_matches_with_start(spark, sf_dir).drop("gameStartTimestamp")
 
 
 def literal_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
@@ -165,7 +142,7 @@ def dimensions(spark: SparkSession, sf_dir: str) -> Dimensions:
 def features(spark: SparkSession, sf_dir: str, dims: Dimensions | None = None) -> DataFrame:
     """Feature table: ``m`` + C1-C9 + the gameMode label."""
     dims = dims or dimensions(spark, sf_dir)
-    return _memo(spark, sf_dir, "features", id(dims))(lambda: dims.mode(add_features(player_matches(spark, sf_dir))))
+    return dims.mode(add_features(player_matches(spark, sf_dir)))
 
 
 # ------------------------------------------------------------ raw matches

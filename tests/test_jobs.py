@@ -43,3 +43,52 @@ def test_ingest_then_summary(spark, tmp_dir):
     assert docs["a"]["summary"]["global"]["totalGames"] == 3
     assert docs["a"]["summary"]["global"]["modes"][0]["gameMode"] == "Map X: Ranked"
     assert docs["b"]["summary"]["global"]["totalGames"] == 2
+
+
+def test_rerun_for_one_player_keeps_the_others(spark, tmp_dir):
+    from helpers import dims, rows
+    from seasonlens.operators.document import build_documents, read_documents, write_documents
+    from seasonlens.sources.sinks import read_facts, write_facts
+
+    d = dims(spark)
+    from seasonlens.functions.features import add_features
+
+    feat = d.mode(add_features(rows(spark, {"puuid": "a"}, {"puuid": "b"}, {"puuid": "a", "year": 2023}, {"puuid": "a"})))
+    path = "file://" + os.path.join(tmp_dir, "docs")  # a URI: the stored rows are found through the file system it names
+    write_documents(build_documents(feat, d), path)
+    write_documents(build_documents(feat.where("puuid = 'a' and year = 2024").limit(1), d), path)
+    got = {(r.puuid, r.year): (json.loads(r.value)["summary"]["global"]["totalGames"], json.loads(r.meta)["metadataAttributes"]["puuid"])
+           for r in read_documents(spark, path).collect()}
+    assert got == {("a", 2024): (1, "a"), ("b", 2024): (1, "b"), ("a", 2023): (1, "a")}
+    facts = spark.createDataFrame([("a", 2024, []), ("b", 2024, [])], "puuid string, year int, facts array<struct<fact:string,context:string,question:string,choices:array<string>,correct_answer:string>>")
+    write_facts(facts, path + "-facts")
+    write_facts(facts.where("puuid = 'b'"), path + "-facts")
+    assert sorted(r.puuid for r in read_facts(spark, path + "-facts").collect()) == ["a", "b"]
+
+
+def test_ingest_on_a_uri_with_broken_input(spark, tmp_dir):
+    from seasonlens.jobs import ingest_job
+
+    raw, table, bad = ("file://" + os.path.join(tmp_dir, n) for n in ("raw", "table", "bad"))
+    os.makedirs(os.path.join(tmp_dir, "raw"))
+    info = {"gameCreation": 1_704_067_200_000, "gameStartTimestamp": 1_704_067_260_000, "gameDuration": 1800, "gameMode": "CLASSIC", "queueId": 1}
+    nobody = {**_participant("x", "Ahri"), "puuid": None}
+    lines = [json.dumps({"metadata": {"matchId": "M1"}, "info": {**info, "participants": [nobody, _participant("a", "Ahri"), nobody, _participant("b", "Zed")]}}),
+             json.dumps({"metadata": {"matchId": "M2"}, "info": {**info, "gameStartTimestamp": None, "participants": [_participant("a", "Ahri")]}}),
+             json.dumps({"metadata": {"matchId": "M3"}, "info": {**info, "participants": []}}), "{broken",
+             json.dumps({"metadata": {"matchId": "M4"}, "info": {**info, "participants": [_participant("a", "Ahri")]}}),
+             json.dumps({"metadata": {"matchId": "M4"}, "info": {**info, "gameCreation": 1_704_067_200_001, "participants": [_participant("a", "Zed")]}})]
+    with open(os.path.join(tmp_dir, "raw", "m.json"), "w") as fh:
+        fh.write("\n".join(lines) + "\n")
+    for _ in range(2):
+        ingest_job(spark, raw, table, year=2024, quarantine=bad)
+    got = sorted((r.puuid, r.matchId, r.championName) for r in spark.read.parquet(table).collect())
+    assert got == [("a", "M1", "Ahri"), ("a", "M4", "Zed"), ("b", "M1", "Zed")]
+    reasons = sorted((r.matchId or "", r.reason) for r in spark.read.parquet(bad).distinct().collect())
+    assert reasons == [("", "broken document"), ("M1", "missing puuid"), ("M2", "missing start time"), ("M3", "missing participants")]
+
+
+def test_shared_folder_is_required_off_a_local_master():
+    from seasonlens import session
+
+    assert session.is_local("local[4]") and session.is_local("local") and not session.is_local("local-cluster[2,1,1024]") and not session.is_local("yarn")

@@ -51,18 +51,17 @@ def test_document_simple_sections_share_one_expand(spark):
     assert text.count("Expand") >= 2  # simple sections + combo fine sums
 
 
-def test_big_dimension_is_not_broadcast(spark):
-    from seasonlens.functions.lookup import _fits, lookup
+def test_dimension_join_is_left_to_its_size(spark):
+    from seasonlens.functions.lookup import lookup
 
     dim = spark.range(10).select(F.col("id"), F.col("id").cast("string").alias("name"))
-    assert _fits(dim, max_rows=100) and not _fits(spark.range(200).select("id"), max_rows=100)
     ids = spark.range(5).select(F.col("id").alias("i"))
+    assert "BroadcastExchange" in plan(lookup(ids, "i", dim, "n"))
     prev = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        shuffled = lookup(ids, "i", dim, "n", broadcastable=False)
+        shuffled = lookup(ids, "i", dim, "n")
         assert "BroadcastExchange" not in plan(shuffled)
-        assert "BroadcastExchange" in plan(lookup(ids, "i", dim, "n", broadcastable=True))
         assert sorted(r.n for r in shuffled.collect()) == ["0", "1", "2", "3", "4"]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
