@@ -36,56 +36,6 @@ def _seed(keys: Sequence[str], kind: str) -> Column:
     return F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(kind))
 
 
-def _finish(df: DataFrame, keys, kind_no: int, kind: str, fact: Column, context: str, question: Column,
-            choices: Column, answer: Column, shuffle: bool = True) -> DataFrame:
-    return df.select(
-        *keys,
-        F.lit(kind_no).alias("kind_no"),
-        F.lit(kind).alias("kind"),
-        fact.alias("fact"),
-        F.lit(context).alias("context"),
-        question.alias("question"),
-        (shuffled(choices, _seed(keys, kind)) if shuffle else choices).alias("choices"),
-        answer.alias("correct_answer"),
-    )
-
-
-def _top4(grouped: DataFrame, keys, label: Column, order: list[Column], value: Column) -> DataFrame:
-    """Top four labels per key by ``order``: answer first, then distractors."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = grouped.select(*keys, label.alias("_label"), value.alias("_value"), F.row_number().over(w).alias("_r"))
-    return ranked.where(F.col("_r") <= 4).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("_r", "_label", "_value"))).alias("_top")
-    )
-
-
-def _categorical(counts: DataFrame, keys, kind_no, kind, col: str, fact_fmt, context, question: Column):
-    """Most frequent value of ``col`` (ties: smaller value) and the next three."""
-    top = _top4(counts, keys, F.col(col).cast("string"), [F.desc("_n"), F.asc(col)], F.col("_n"))
-    first = F.col("_top")[0]
-    return _finish(
-        top, keys, kind_no, kind,
-        F.format_string(fact_fmt, first["_label"], first["_value"]), context, question,
-        F.transform("_top", lambda t: t["_label"]), first["_label"],
-    )
-
-
-def _numeric(df, keys, kind_no, kind, value: Column, offsets: list[Column], fact_fmt, context, question: Column):
-    """A number fact: the answer plus three distractors derived from it."""
-    v = df.select(*keys, value.alias("_v")).where(F.col("_v").isNotNull())
-    ans = F.col("_v").cast("string")
-    choices = F.array(ans, *[o.cast("string") for o in offsets])
-    return _finish(v, keys, kind_no, kind, F.format_string(fact_fmt, F.col("_v")), context, question, choices, ans)
-
-
-def _true_false(df, keys, kind_no, kind, truth: Column, fact: Column, context, question: str):
-    tf = df.select(*keys, F.when(truth, F.lit("True")).otherwise(F.lit("False")).alias("_a"), fact.alias("_fact"))
-    return _finish(
-        tf, keys, kind_no, kind, F.col("_fact"), context, F.lit(question),
-        F.array(F.lit("True"), F.lit("False")), F.col("_a"), shuffle=False,
-    )
-
-
 # Grouping columns (besides the keys) of the count-based fact kinds.
 _FACT_SETS = {
     "champion": ("championName",),
@@ -96,12 +46,13 @@ _FACT_SETS = {
 }
 
 
-def fact_counts(feat: DataFrame, keys: Sequence[str] = KEYS) -> dict[str, DataFrame]:
-    """Everything the count-based kinds need, in ONE GROUPING SETS pass.
+def fact_numbers(feat: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Everything the count-based kinds need, one row per key.
 
-    Per (key, champion / role / month / mode): games and wins; per key:
-    games, best vision, assists, fastest win, night games.  Each set is its
-    slice by ``grouping_id``.
+    One GROUPING SETS pass counts games and wins per champion, role, month and mode, and the key's own
+    numbers; one window ranks the labels of every set; one aggregation collects the leaders of each set (``champion``,
+    ``role``, ``month``, ``mode``, ``best``: at most four of (rank, label, value)) beside ``key``.
+    The sets are never split into branches, so the pass is not repeated.
     """
     keys = list(keys)
     role = F.when(F.col("teamPosition") == "", F.lit("UNASSIGNED")).otherwise(F.col("teamPosition"))
@@ -119,71 +70,95 @@ def fact_counts(feat: DataFrame, keys: Sequence[str] = KEYS) -> dict[str, DataFr
         F.count(F.when((F.col("hour") >= 22) | (F.col("hour") < 4), F.lit(1))).alias("night"),
         F.grouping_id().alias("_gid"),
     )
-    out = {}
-    for name, cs in _FACT_SETS.items():
-        gid = sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in (*keys, *cs))
-        out[name] = agg.where(F.col("_gid") == gid).select(
-            *keys, *cs, "_n", "_w", "vision", "assists", "fastest", "night"
-        )
-    return out
+    gid = {n: sum(1 << (len(cols) - 1 - i) for i, c in enumerate(cols) if c not in (*keys, *cs)) for n, cs in _FACT_SETS.items()}
+    of = {n: F.col("_gid") == g for n, g in gid.items()}
+    label = F.coalesce("championName", "_role", F.col("month").cast("string"), "gameMode")
+    pct = (F.col("_w") * 100 / F.col("_n")).cast("long")
+    each = Window.partitionBy(*keys, "_gid")
+    # Only one label column is set in a set's rows; months rank by number, the others by text.
+    ranked = agg.withColumns({"_label": label, "_pct": pct}).withColumns({
+        "_r": F.row_number().over(each.orderBy(F.desc("_n"), F.asc("month"), F.asc("_label"))),
+        "_b": F.row_number().over(each.orderBy(F.desc(F.col("_n") >= BEST_GAMES), F.desc("_pct"), F.desc("_n"), F.asc("_label"))),
+    }).where((F.col("_r") <= 4) | (F.col("_b") <= 4))
+    leaders = lambda cond, rank, value: F.array_sort(F.collect_list(
+        F.when(cond & (F.col(rank) <= 4), F.struct(F.col(rank).alias("_r"), "_label", F.col(value).alias("_value")))))
+    best = of["champion"] & (F.col("_n") >= BEST_GAMES)
+    return ranked.groupBy(*keys).agg(
+        *[leaders(of[n], "_r", "_n").alias(n) for n in ("champion", "role", "month", "mode")],
+        leaders(best, "_b", "_pct").alias("best"),
+        F.first(F.when(of["key"], F.struct(F.col("_n").alias("games"), "vision", "assists", "fastest", "night")), ignorenulls=True).alias("key"),
+    )
+
+
+# A champion needs this many games to be the best one.
+BEST_GAMES = 3
+
+
+def _fact(keys, kind_no: int, kind: str, fact: Column, context: str, question: Column, choices: Column, answer: Column,
+          given: Column, shuffle: bool = True) -> Column:
+    """One fact as a struct, NULL where the key has no data for it (``given``)."""
+    return F.when(given, F.struct(
+        F.lit(kind_no).alias("kind_no"), F.lit(kind).alias("kind"), fact.alias("fact"), F.lit(context).alias("context"),
+        question.alias("question"), (shuffled(choices, _seed(keys, kind)) if shuffle else choices).alias("choices"),
+        answer.alias("correct_answer")))
+
+
+def _leader(keys, kind_no, kind, col: str, fact_fmt: str, context: str, question: Column) -> Column:
+    """The first of a set's leaders, the next three as distractors."""
+    first = F.get(F.col(col), F.lit(0))
+    return _fact(keys, kind_no, kind, F.format_string(fact_fmt, first["_label"], first["_value"]), context, question,
+                 F.transform(col, lambda t: t["_label"]), first["_label"], F.size(col) > 0)
+
+
+def _number(keys, kind_no, kind, value: Column, offsets, fact_fmt: str, context: str, question: Column) -> Column:
+    """A number, three distractors derived from it."""
+    answer = value.cast("string")
+    choices = F.array(answer, *[o(value).cast("string") for o in offsets])
+    return _fact(keys, kind_no, kind, F.format_string(fact_fmt, value), context, question, choices, answer, value.isNotNull())
+
+
+def _true_false(keys, kind_no, kind, truth: Column, fact: Column, context: str, question: str, given: Column) -> Column:
+    answer = F.when(truth, F.lit("True")).otherwise(F.lit("False"))
+    return _fact(keys, kind_no, kind, fact, context, F.lit(question), F.array(F.lit("True"), F.lit("False")), answer, given, shuffle=False)
 
 
 def fact_candidates(feat: DataFrame, longest: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """One row per (key, fact kind), kinds in a fixed order."""
+    """One row per (key, fact kind), kinds in a fixed order; all kinds are built in one projection."""
     keys = list(keys)
     year = F.col(keys[1])
-    c = fact_counts(feat, keys)
-    kinds = [
-        _categorical(c["champion"], keys, 1, "most_played_champion", "championName",
-                     "You played %s more than any other champion: %d games.", "Comfort picks win games.",
-                     F.format_string("Which champion did you play the most in %d?", year)),
-        _categorical(c["role"], keys, 2, "favourite_role", "_role",
-                     "Your favourite role was %s with %d games.", "Everyone has a home on the map.",
-                     F.lit("Which role did you play the most?")),
-        _categorical(c["month"], keys, 3, "busiest_month", "month",
-                     "Your busiest month was month %s with %d games.", "Some months the queue just calls.",
-                     F.lit("In which month did you play the most games?")),
-        _categorical(c["mode"], keys, 4, "most_played_mode", "gameMode",
-                     "Your most played mode was %s with %d games.", "You know what you like.",
-                     F.lit("Which game mode did you play the most?")),
+    rows = fact_numbers(feat, keys).join(longest.select(*keys, F.col("longestWinStreak.length").alias("_streak")), keys, "left")
+    key, streak = F.col("key"), F.col("_streak")
+    night, games = key["night"], key["games"]
+    shift = lambda n: lambda v: v + n
+    facts = [
+        _leader(keys, 1, "most_played_champion", "champion", "You played %s more than any other champion: %d games.",
+                "Comfort picks win games.", F.format_string("Which champion did you play the most in %d?", year)),
+        _leader(keys, 2, "favourite_role", "role", "Your favourite role was %s with %d games.",
+                "Everyone has a home on the map.", F.lit("Which role did you play the most?")),
+        _leader(keys, 3, "busiest_month", "month", "Your busiest month was month %s with %d games.",
+                "Some months the queue just calls.", F.lit("In which month did you play the most games?")),
+        _leader(keys, 4, "most_played_mode", "mode", "Your most played mode was %s with %d games.",
+                "You know what you like.", F.lit("Which game mode did you play the most?")),
+        _leader(keys, 5, "best_champion", "best", "Your best champion was %s with a %d%% win rate.",
+                "Numbers do not lie.", F.lit("Which champion (3+ games) had your best win rate?")),
+        _true_false(keys, 6, "longest_win_streak", streak >= 5, F.format_string("Your longest win streak was %d games.", streak),
+                    "Momentum is real.", "True or false: your longest win streak was at least 5 games.", streak.isNotNull()),
+        _number(keys, 7, "highest_vision", key["vision"], [shift(7), shift(14), shift(21)],
+                "Your highest vision score in one game was %d.", "Wards win wars.",
+                F.lit("What was your highest vision score in a single game?")),
+        _number(keys, 8, "total_assists", key["assists"],
+                [lambda a: a + F.floor(a / 4).cast("long") + 1, lambda a: a + F.floor(a / 2).cast("long") + 2, lambda a: a * 2 + 3],
+                "You made %d assists this year.", "A true team player.",
+                F.format_string("How many assists did you make in %d?", year)),
+        _number(keys, 9, "fastest_win", F.floor(key["fastest"] / 60).cast("long"), [shift(3), shift(6), shift(9)],
+                "Your fastest win took %d minutes.", "Quick and clean.", F.lit("How many minutes did your fastest win last?")),
+        _true_false(keys, 10, "night_owl", night * 4 > games,
+                    F.format_string("%d of your %d games started between 22:00 and 04:00.", night, games),
+                    "Late games, bright screens.",
+                    "True or false: more than a quarter of your games started between 22:00 and 04:00.", games.isNotNull()),
     ]
-    # Best champion: highest win rate among champions with at least 3 games.
-    champ = c["champion"].where(F.col("_n") >= 3)
-    pct = (F.col("_w") * 100 / F.col("_n")).cast("long")
-    top = _top4(champ.withColumn("_pct", pct), keys, F.col("championName"),
-                [F.desc("_pct"), F.desc("_n"), F.asc("championName")], F.col("_pct"))
-    first = F.col("_top")[0]
-    kinds.append(_finish(
-        top, keys, 5, "best_champion",
-        F.format_string("Your best champion was %s with a %d%% win rate.", first["_label"], first["_value"]),
-        "Numbers do not lie.", F.lit("Which champion (3+ games) had your best win rate?"),
-        F.transform("_top", lambda t: t["_label"]), first["_label"],
-    ))
-    streak = F.col("longestWinStreak.length")
-    kinds.append(_true_false(
-        longest, keys, 6, "longest_win_streak", streak >= 5,
-        F.format_string("Your longest win streak was %d games.", streak), "Momentum is real.",
-        "True or false: your longest win streak was at least 5 games.",
-    ))
-    per_key = c["key"].withColumnRenamed("_n", "games")
-    v, a = F.col("_v"), F.col("_v")
-    kinds.append(_numeric(per_key, keys, 7, "highest_vision", F.col("vision"),
-                          [v + 7, v + 14, v + 21], "Your highest vision score in one game was %d.",
-                          "Wards win wars.", F.lit("What was your highest vision score in a single game?")))
-    kinds.append(_numeric(per_key, keys, 8, "total_assists", F.col("assists"),
-                          [a + F.floor(a / 4).cast("long") + 1, a + F.floor(a / 2).cast("long") + 2, a * 2 + 3],
-                          "You made %d assists this year.", "A true team player.",
-                          F.format_string("How many assists did you make in %d?", year)))
-    kinds.append(_numeric(per_key, keys, 9, "fastest_win", F.floor(F.col("fastest") / 60).cast("long"),
-                          [v + 3, v + 6, v + 9], "Your fastest win took %d minutes.", "Quick and clean.",
-                          F.lit("How many minutes did your fastest win last?")))
-    kinds.append(_true_false(
-        per_key, keys, 10, "night_owl", F.col("night") * 4 > F.col("games"),
-        F.format_string("%d of your %d games started between 22:00 and 04:00.", F.col("night"), F.col("games")),
-        "Late games, bright screens.",
-        "True or false: more than a quarter of your games started between 22:00 and 04:00.",
-    ))
-    return reduce(lambda x, y: x.unionByName(y), kinds)
+    made = rows.select(*keys, F.explode(F.filter(F.array(*facts), lambda f: f.isNotNull())).alias("_f"))
+    return made.select(*keys, *[F.col(f"_f.{c}").alias(c) for c in OUT])
 
 
 def nest_facts(candidates: DataFrame, keys: Sequence[str] = KEYS, limit: int = FACTS_PER_PLAYER) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 import contextlib
 import io
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -48,7 +49,16 @@ def test_document_simple_sections_share_one_expand(spark):
     d = dims(spark)
     f = d.mode(add_features(rows(spark, {}, {"win": False})))
     text = plan(build_documents(f, d))
-    assert text.count("Expand") >= 2  # simple sections + combo fine sums
+    assert len(re.findall(r"\(\d+\) Expand\b", text)) == 2  # simple sections, combo sums: each pass once
+
+
+def test_facts_share_one_expand(spark):
+    from helpers import dims, rows
+    from seasonlens.functions.features import add_features
+    from seasonlens.operators.facts import fact_numbers
+
+    f = dims(spark).mode(add_features(rows(spark, {}, {"win": False})))
+    assert len(re.findall(r"\(\d+\) Expand\b", plan(fact_numbers(f)))) == 1
 
 
 def test_dimension_join_is_left_to_its_size(spark):
