@@ -55,7 +55,7 @@ FEW = 50
 # Longest list whose pairs are candidates themselves.
 SHORT = 64
 # Share of the hash range in which a set far from its pivot shows the elements it has besides the pivot's.
-SHOWN = 0.25
+SHOWN = 0.6
 # Words whose hashes a task keeps.
 MEMO_WORDS = 400_000
 # What tells one set from another: its size and two sums over its elements.
