@@ -20,16 +20,20 @@ def extract_json_array(text: str | Column, element: T.DataType) -> Column:
     """parse a JSON array out of free text.
 
     The whole text is tried first; otherwise the span from the first ``[``
-    to the last ``]`` (dot matches newlines).  Returns
+    to the last ``]`` (dot matches newlines).  A text that is a JSON object is no array.  Returns
     ``struct<value: array<element>, status: string>`` where status is
     ``whole``, ``extracted``, ``no_array`` (no bracket span: the "not found"
-    error) or ``bad_array`` (a span that does not parse).
+    error) or ``bad_array`` (a span that does not parse, or an array with an element that is NULL or not of the wanted
+    type); the value is NULL in the last two.
     """
     t = F.col(text) if isinstance(text, str) else text
     schema = T.ArrayType(element)
-    whole = F.from_json(t, schema)
+    def sound(array: Column) -> Column:
+        return F.when(~F.exists(array, lambda x: x.isNull()), array)
+
+    whole = sound(F.when(F.ltrim(t).startswith("["), F.from_json(t, schema)))
     span = F.regexp_extract(t, r"(?s)\[.*\]", 0)
-    inner = F.from_json(span, schema)
+    inner = sound(F.from_json(span, schema))
     status = (
         F.when(whole.isNotNull(), F.lit("whole"))
         .when(span == F.lit(""), F.lit("no_array"))

@@ -12,6 +12,7 @@ reference's per-player job) and ``--year`` to one year (partition pruning).
 from __future__ import annotations
 
 import argparse
+import datetime as dt
 import os
 from collections.abc import Sequence
 
@@ -77,7 +78,8 @@ def main(argv: Sequence[str] | None = None) -> None:
     b.add_argument("--out", required=True)
     b.add_argument("--date-path", action="store_true", help="one JSON document a file under {puuid}/stats/Y/MM/DD/")
     for p in (a, b):
-        p.add_argument("--year", type=int)
+        p.add_argument("--year", type=lambda y: dt.datetime.now(dt.timezone.utc).year - 1 if y == "last" else int(y),
+                       help="a calendar year, or 'last' for the one before the current (UTC)")
         p.add_argument("--puuid")
     args, _ = parser.parse_known_args(argv)
     spark = SparkSession.builder.appName(f"seasonlens-{args.job}").getOrCreate()

@@ -94,11 +94,11 @@ def parse_requests(req: DataFrame, riot_id: str = "riotId", summoner_name: str =
     )
 
 
-def default_year(year: int | None = None) -> Column:
-    """The requested year, by default the previous UTC calendar year."""
+def default_year(year: int | None = None, as_of: Column | None = None) -> Column:
+    """The requested year, by default the calendar year (UTC) before ``as_of``, which is today unless given."""
     if year is not None:
         return F.lit(year)
-    return F.year(F.current_date()) - F.lit(1)
+    return F.year(F.current_date() if as_of is None else as_of) - F.lit(1)
 
 
 def work_flags(keys: DataFrame, summaries: DataFrame, finals: DataFrame, on: Sequence[str] = ("puuid", "year")) -> DataFrame:

@@ -33,19 +33,16 @@ def chunk_documents(
 ) -> DataFrame:
     """F1-F2: fixed-size token windows with overlap; filter keys carried along.
 
-    Windows start at 0, stride, 2*stride, ... and stop once a window reaches
-    the last token; a text with no tokens gives no chunk.
+    Windows start at 0, stride, 2*stride, ... up to the last token; a text with no tokens gives no chunk.
     """
     stride = size - size * overlap_percent // 100
     words = tokens(text_col)
     n = F.size(F.col("_words"))
-    count = F.when(n <= size, F.lit(1)).otherwise(
-        F.floor((n - F.lit(size) + F.lit(stride - 1)) / F.lit(stride)).cast("int") + 1
-    )
-    starts = F.sequence(F.lit(0), (count - 1) * F.lit(stride), F.lit(stride))
-    w = docs.select(id_col, *keep, words.alias("_words")).where(F.size("_words") > 0)
-    c = w.select(id_col, *keep, "_words", F.posexplode(starts).alias("chunkNo", "_start"))
-    piece = F.slice(F.col("_words"), F.col("_start") + 1, F.lit(size))
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+    w = docs.select(id_col, *keep, words.alias("_words"))
+    pieces = F.transform(starts, lambda s: F.slice(F.col("_words"), s + 1, F.lit(size)))
+    c = w.select(id_col, *keep, F.posexplode(pieces).alias("chunkNo", "_piece"))
+    piece = F.col("_piece")
     return c.select(
         F.concat_ws("-", F.col(id_col).cast("string"), F.col("chunkNo").cast("string")).alias("chunk_id"),
         id_col, *keep, "chunkNo",

@@ -321,7 +321,7 @@ def progress_query(spark, sf_dir):
 
     msgs = binding.progress_messages(spark, sf_dir)
     return progress_fold(msgs, "job", "seq").select(
-        F.col("job").alias("user_id"), "state", "count", "total", "percent", "messages"
+        F.col("job").alias("user_id"), "state", "count", "total", "percent", "label", "messages"
     )
 
 
@@ -359,9 +359,61 @@ def extract_query(spark, sf_dir):
 
 @register("b05_quarantine")
 def quarantine_query(spark, sf_dir):
-    """Malformed participant rows with the reason."""
-    _, bad = _extracted(spark, sf_dir)
-    return bad
+    """Every kind of malformed input, from raw JSON lines: broken lines, matches without id, participants or
+    start time, participants without their rune styles; each with its reason."""
+    from seasonlens.operators import ingest
+
+    matches, broken = ingest.read_raw_matches(spark, _raw_lines(spark, sf_dir))
+    _, bad = ingest.split_malformed(ingest.extract_player_rows(matches))
+    return bad.unionByName(broken)
+
+
+def _raw_lines(spark, sf_dir):
+    """The raw matches as JSON lines, some spoilt by their order key, and one broken line for each event type."""
+    from seasonlens.session import scratch_path
+
+    path = scratch_path(spark, "raw_matches")
+    raw = binding.raw_matches(spark, sf_dir)
+    k = F.substring("metadata.matchId", 2, 20).cast("long")
+    info = F.col("info")
+    spoilt = raw.select(
+        F.struct(F.when(k % 11 != 0, F.col("metadata.matchId")).alias("matchId")).alias("metadata"),
+        info.withField("participants", F.when(k % 13 != 1, info["participants"]))
+        .withField("gameStartTimestamp", F.when(k % 17 != 2, info["gameStartTimestamp"])).alias("info"))
+    broken = binding.table(spark, sf_dir, "events").select(F.concat(F.lit("{broken "), "event_type").alias("value")).distinct()
+    spoilt.select(F.to_json(F.struct("metadata", "info")).alias("value")).unionByName(broken).write.text(path)
+    return path
+
+
+@register("b08_b10_ingest_rerun")
+def ingest_rerun_query(spark, sf_dir):
+    """The ingest job run twice on the same raw lines; the table holds every valid player row once."""
+    from seasonlens.jobs import ingest_job
+    from seasonlens.session import scratch_path
+    from seasonlens.sources.matches import read_player_matches
+
+    raw, table = _raw_lines(spark, sf_dir), scratch_path(spark, "ingested")
+    for _ in range(2):
+        ingest_job(spark, raw, table, year=1997)
+    return read_player_matches(spark, table).select("puuid", "matchId", "championName", "kills", "win", "year", "month_part", "day_part")
+
+
+@register("b07_stored_ids")
+def stored_ids_query(spark, sf_dir):
+    """Ids of stored matches out of their object paths, distinct."""
+    from seasonlens.operators import ingest
+
+    m = binding.stored_match_keys(spark, sf_dir)
+    path = F.format_string("store/history/%s/stats/%d/%02d/%02d/%s.json", F.col("puuid").cast("string"), "year", "month_part", "day_part", "matchId")
+    return ingest.stored_ids_from_paths(m.select(path.alias("path")))
+
+
+@register("b20_default_year")
+def default_year_query(spark, sf_dir):
+    """The year a request without one asks for, as of the request's time."""
+    from seasonlens.operators.requests import default_year
+
+    return binding.table(spark, sf_dir, "events").select("event_id", default_year(as_of=F.col("ts")).alias("year"))
 
 
 @register("b06_b11_year_window")
@@ -551,10 +603,19 @@ def facts_query(spark, sf_dir):
 
 @register("f05_fact_validation")
 def facts_validation_query(spark, sf_dir):
-    """fact arrays per player-year checked (10 facts, answer among choices)."""
+    """fact arrays per player-year checked (10 facts, answer among choices); some are broken first:
+    by player, a wrong answer, a missing fact, no choices, a missing question."""
     from seasonlens.operators.facts import nest_facts, validate_facts
 
-    return validate_facts(nest_facts(_facts(spark, sf_dir))).select("puuid", "year", "nFacts", "nValid", "ok")
+    p = F.col("puuid") % 6
+    first = F.col("facts")[0]
+    spoilt = (
+        F.when(p == 1, first.withField("correct_answer", F.lit("nobody")))
+        .when(p == 3, first.withField("choices", F.array().cast("array<string>")))
+        .when(p == 4, first.withField("question", F.lit(None).cast("string"))).otherwise(first))
+    rest = F.slice("facts", 2, F.when(p == 2, F.size("facts") - 2).otherwise(F.size("facts") - 1))
+    broken = nest_facts(_facts(spark, sf_dir)).withColumn("facts", F.concat(F.array(spoilt), rest))
+    return validate_facts(broken).select("puuid", "year", "nFacts", "nValid", "ok")
 
 
 @register("a12_a13_facts_roundtrip")
@@ -615,7 +676,7 @@ def progress_stream_query(spark, sf_dir):
     for q in progress_stream(spark, src, out, bad, ck, seq_type=seq_type):
         q.awaitTermination()
     return spark.read.parquet(out).select(
-        F.col("job").alias("user_id"), "state", "count", "total", "percent", "messages"
+        F.col("job").alias("user_id"), "state", "count", "total", "percent", "label", "messages"
     )
 
 

@@ -277,7 +277,7 @@ WITH w AS (
 c AS (SELECT doc_id, lang, words, len(words) AS n FROM w WHERE len(words) > 0),
 s AS (
   SELECT doc_id, lang, words,
-         unnest(range(0, CASE WHEN n <= 300 THEN 1 ELSE (n - 300 + 239) // 240 + 1 END)) AS chunk_no
+         unnest(range(0, (n + 239) // 240)) AS chunk_no
   FROM c)
 SELECT doc_id || '-' || chunk_no AS chunk_id, doc_id, lang, cast(chunk_no AS INTEGER) AS chunkNo,
   cast(len(list_slice(words, chunk_no*240 + 1, chunk_no*240 + 300)) AS INTEGER) AS nTokens,
@@ -302,9 +302,11 @@ SELECT label, cast(rn AS INTEGER) AS rank, vec_id, round(score, {R}) AS score FR
 ORACLE["f04_json_extract"] = r"""
 WITH t AS (
   SELECT event_id,
-    CASE event_id % 4 WHEN 0 THEN '[' || props || ']'
+    CASE event_id % 6 WHEN 0 THEN '[' || props || ']'
                       WHEN 1 THEN 'Here: [' || props || '] done'
                       WHEN 2 THEN 'No list, only ' || props
+                      WHEN 3 THEN props
+                      WHEN 4 THEN '[1, ' || props || ']'
                       ELSE 'Here: [' || props || '; ] done' END AS text
   FROM events),
 p AS (
@@ -314,9 +316,9 @@ p AS (
 q AS (SELECT *, coalesce(CASE WHEN json_valid(span) THEN json_type(span) = 'ARRAY' END, false) AS span_ok FROM p),
 s AS (
   SELECT event_id,
-    CASE WHEN whole_ok THEN 'whole' WHEN span = '' THEN 'no_array' WHEN span_ok THEN 'extracted'
+    CASE WHEN event_id % 6 = 4 THEN 'bad_array' WHEN whole_ok THEN 'whole' WHEN span = '' THEN 'no_array' WHEN span_ok THEN 'extracted'
          ELSE 'bad_array' END AS status,
-    CASE WHEN whole_ok THEN text WHEN span_ok THEN span END AS js
+    CASE WHEN event_id % 6 = 4 THEN NULL WHEN whole_ok THEN text WHEN span_ok THEN span END AS js
   FROM q)
 SELECT event_id, status, cast(json_array_length(js) AS BIGINT) AS nElements,
   cast(json_extract(js, '$[0].k') AS BIGINT) AS firstK
@@ -349,6 +351,10 @@ SELECT job AS user_id, state, cnt AS count, cast(used_total AS BIGINT) AS total,
   cast(CASE state WHEN 'RETRIEVING_MATCH' THEN least(5 + floor(cnt / used_total * 70 + 0.5), 75)
                   WHEN 'START_RETRIEVE_MATCH' THEN 5 WHEN 'PROCESSING_MATCH' THEN 75
                   WHEN 'GENERATING_FACTS' THEN 90 WHEN 'COMPLETE' THEN 100 ELSE 0 END AS BIGINT) AS percent,
+  CASE state WHEN 'RETRIEVING_MATCH' THEN 'Collecting shards: ' || coalesce(cast(cast(cnt AS BIGINT) AS VARCHAR), '') || ' / ' || cast(used_total AS BIGINT)
+             WHEN 'START_RETRIEVE_MATCH' THEN 'Peering into ' || cast(used_total AS BIGINT) || ' echoes...'
+             WHEN 'PROCESSING_MATCH' THEN 'Distilling patterns from the chaos...'
+             WHEN 'GENERATING_FACTS' THEN 'Assembling enchanted trivia...' WHEN 'COMPLETE' THEN 'Finalizing your chronicle...' END AS label,
   messages
 FROM j"""
 
@@ -386,9 +392,32 @@ SELECT cast(l_suppkey AS VARCHAR) AS puuid, 'M' || o_orderkey AS matchId, create
   cast(day(epoch_ms(created + 60000)) AS INTEGER) AS day_part
 FROM li WHERE rn = 1 AND l_linenumber <> 7"""
 
-ORACLE["b05_quarantine"] = "WITH " + _RAW + """
-SELECT cast(l_suppkey AS VARCHAR) AS puuid, 'M' || o_orderkey AS matchId, 'missing rune styles' AS reason
-FROM li WHERE rn = 1 AND l_linenumber = 7"""
+_SPOILT = _RAW + """,
+sp AS (SELECT *, CASE WHEN o_orderkey % 11 <> 0 THEN 'M' || o_orderkey END AS match_id,
+         CASE WHEN o_orderkey % 11 = 0 THEN 'missing matchId' WHEN l_linenumber = 7 THEN 'missing rune styles'
+              WHEN o_orderkey % 17 = 2 THEN 'missing start time' END AS reason
+       FROM li WHERE rn = 1 AND o_orderkey % 13 <> 1)"""
+
+ORACLE["b05_quarantine"] = "WITH " + _SPOILT + """
+SELECT cast(l_suppkey AS VARCHAR) AS puuid, match_id AS matchId, reason FROM sp WHERE reason IS NOT NULL
+UNION ALL
+SELECT DISTINCT NULL, CASE WHEN o_orderkey % 11 <> 0 THEN 'M' || o_orderkey END, 'missing participants' FROM (SELECT DISTINCT o_orderkey FROM li)
+WHERE o_orderkey % 13 = 1 AND o_orderkey % 11 <> 0
+UNION ALL
+SELECT NULL, NULL, 'missing participants' FROM (SELECT DISTINCT o_orderkey FROM li) WHERE o_orderkey % 13 = 1 AND o_orderkey % 11 = 0
+UNION ALL
+SELECT NULL, NULL, 'broken document' FROM (SELECT DISTINCT event_type FROM events)"""
+
+ORACLE["b08_b10_ingest_rerun"] = "WITH " + _SPOILT + """
+SELECT cast(l_suppkey AS VARCHAR) AS puuid, match_id AS matchId, p_brand AS championName, l_partkey % 15 AS kills, l_quantity >= 20 AS win,
+  cast(year(epoch_ms(created + 60000)) AS INTEGER) AS year, cast(month(epoch_ms(created + 60000)) AS INTEGER) AS month_part,
+  cast(day(epoch_ms(created + 60000)) AS INTEGER) AS day_part
+FROM sp WHERE reason IS NULL AND year(epoch_ms(created + 60000)) = 1997"""
+
+ORACLE["b07_stored_ids"] = with_base() + """
+SELECT DISTINCT cast(puuid AS VARCHAR) AS puuid, match_id AS matchId FROM m WHERE l_partkey % 2 = 0"""
+
+ORACLE["b20_default_year"] = "SELECT event_id, cast(year(ts) - 1 AS INTEGER) AS year FROM events"
 
 ORACLE["b06_b11_year_window"] = with_base() + """
 SELECT puuid, match_id AS matchId, cast(year(epoch_ms(game_start)) AS INTEGER) AS year,
@@ -422,10 +451,23 @@ def _values(d: dict[str, str]) -> str:
     return ", ".join(f"('{k}', '{v}')" for k, v in d.items())
 
 
-def _requests_sql() -> str:
-    from seasonlens.operators.requests import ERR_FORMAT, ERR_REQUIRED, REGION_LABELS, ROUTING
-    from seasonlens.sources.binding import REGION_CODES
+# Fixed values, written out here so that a wrong value in the engine shows.
+ROUTING = {
+    "na1": "americas", "br1": "americas", "la1": "americas", "la2": "americas",
+    "euw1": "europe", "eun1": "europe", "tr1": "europe", "ru": "europe",
+    "kr": "asia", "jp1": "asia",
+    "oc1": "sea", "sg2": "sea", "tw2": "sea", "vn2": "sea",
+}
+REGION_LABELS = {
+    "na1": "NA", "euw1": "EUW", "eun1": "EUNE", "kr": "KR", "br1": "BR", "la1": "LAN", "la2": "LAS",
+    "oc1": "OCE", "tr1": "TR", "ru": "RU", "jp1": "JP", "sg2": "SG", "tw2": "TW", "vn2": "VN",
+}
+ERR_REQUIRED = 'Riot ID is required (e.g., GameName#TAG)'
+ERR_FORMAT = 'Please use Riot ID format: GameName#TAG (e.g., Hide on bush#KR1)'
+REGION_CODES = ['na1', 'euw1', 'eun1', 'KR', 'br1', ' la1', 'la2', 'oc1', 'tr1', 'ru', 'jp1', 'sg2', 'tw2', 'ph2', 'th2', '']
+
 
+def _requests_sql() -> str:
     codes = "[" + ", ".join(f"'{c}'" for c in REGION_CODES) + "]"
     return f"""
 WITH c AS (SELECT c_custkey, c_name, c_nationkey, c_custkey % 10 AS v FROM customer),
@@ -588,7 +630,10 @@ ORACLE["f06_f07_fact_candidates"] = with_base(*_FACT_CTES) + """
 SELECT puuid, year, kind, question, fact, correctAnswer, choicesText FROM allk"""
 
 ORACLE["f05_fact_validation"] = with_base(*_FACT_CTES) + """
-SELECT puuid, year, count(*) AS nFacts, count(*) AS nValid, count(*) = 10 AS ok FROM allk GROUP BY puuid, year"""
+SELECT puuid, year, nFacts, nValid, nFacts = 10 AND nValid = 10 AS ok
+FROM (SELECT puuid, year, count(*) - CASE WHEN puuid % 6 = 2 THEN 1 ELSE 0 END AS nFacts,
+             count(*) - CASE WHEN puuid % 6 IN (1, 2, 3, 4) THEN 1 ELSE 0 END AS nValid
+      FROM allk GROUP BY puuid, year)"""
 
 ORACLE["a12_a13_facts_roundtrip"] = with_base(*_FACT_CTES) + """
 SELECT puuid, year, count(*) AS nFacts, max(CASE WHEN kind_no = 1 THEN correctAnswer END) AS firstAnswer

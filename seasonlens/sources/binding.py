@@ -262,13 +262,15 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F4 input: model replies around the event props, four shapes by id % 4."""
+    """F4 input: model replies around the event props, six shapes by id % 6."""
     ev = table(spark, sf_dir, "events").select("event_id", "props")
-    v = F.col("event_id") % 4
+    v = F.col("event_id") % 6
     text = (
         F.when(v == 0, F.concat(F.lit("["), F.col("props"), F.lit("]")))
         .when(v == 1, F.concat(F.lit("Here: ["), F.col("props"), F.lit("] done")))
         .when(v == 2, F.concat(F.lit("No list, only "), F.col("props")))
+        .when(v == 3, F.col("props"))
+        .when(v == 4, F.concat(F.lit("[1, "), F.col("props"), F.lit("]")))
         .otherwise(F.concat(F.lit("Here: ["), F.col("props"), F.lit("; ] done")))
     )
     return ev.select("event_id", text.alias("text"))

@@ -21,6 +21,16 @@ COMPLETE = "COMPLETE"
 BUSY = "BUSY"
 FAIL = "FAIL"
 FIXED_PERCENT = {START: 5, PROCESSING: 75, GENERATING: 90, COMPLETE: 100, BUSY: 0, FAIL: 0}
+# The text shown for each state ({total} and {count} are filled in).
+LABELS = {
+    BUSY: "Another seeker is already weaving this tale... ⌛",
+    FAIL: "The arcane process has faltered... ❌",
+    START: "Peering into {total} echoes...",
+    RETRIEVING: "Collecting shards: {count} / {total}",
+    PROCESSING: "Distilling patterns from the chaos...",
+    GENERATING: "Assembling enchanted trivia...",
+    COMPLETE: "Finalizing your chronicle...",
+}
 KNOWN_STATES = (BUSY, FAIL, START, RETRIEVING, PROCESSING, GENERATING, COMPLETE)
 
 
@@ -56,12 +66,20 @@ def percent_of(state: Column, count: Column, total: Column) -> Column:
     return out.cast("long")
 
 
+def label_of(state: Column, count: Column, total: Column) -> Column:
+    """G1: text shown for a message."""
+    template = F.try_element_at(F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv]), state)
+    filled = F.replace(template, F.lit("{total}"), F.coalesce(total.cast("string"), F.lit("")))
+    return F.replace(filled, F.lit("{count}"), F.coalesce(count.cast("string"), F.lit("")))
+
+
 def progress_fold(messages: DataFrame, job: str = "job", seq: str = "seq") -> DataFrame:
     """G1: the display state of every job after all its messages.
 
     The last known message decides the state.  RETRIEVING divides by the
     total of the latest START message (falling back to the message's own
     total, then 1; a zero counts as missing).  Unknown states are ignored.
+    ``result`` is the payload of the last COMPLETE message, where messages carry one.
     """
     known = messages.where(F.col("state").isin(*KNOWN_STATES))
     start_seq = F.when(F.col("state") == F.lit(START), F.col(seq))
@@ -69,6 +87,7 @@ def progress_fold(messages: DataFrame, job: str = "job", seq: str = "seq") -> Da
         F.max_by(F.struct("state", "count", "total"), F.col(seq)).alias("_last"),
         F.max_by(F.col("total"), start_seq).alias("_start_total"),
         F.count(F.lit(1)).alias("messages"),
+        *([F.max_by("result", F.when(F.col("state") == COMPLETE, F.col(seq))).alias("result")] if "result" in messages.columns else []),
     )
     total = F.coalesce(
         F.nullif(F.col("_start_total"), F.lit(0)), F.nullif(F.col("_last.total"), F.lit(0)), F.lit(1)
@@ -79,5 +98,7 @@ def progress_fold(messages: DataFrame, job: str = "job", seq: str = "seq") -> Da
         F.col("_last.count").alias("count"),
         total.alias("total"),
         percent_of(F.col("_last.state"), F.col("_last.count"), total).alias("percent"),
+        label_of(F.col("_last.state"), F.col("_last.count"), total).alias("label"),
         "messages",
+        *(["result"] if "result" in messages.columns else []),
     )

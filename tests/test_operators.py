@@ -105,7 +105,7 @@ def test_extract_json_array_matches_python(spark):
 def test_chunk_boundaries(spark):
     from seasonlens.operators.retrieval import chunk_documents
 
-    sizes = [0, 1, 300, 301, 540, 541, 1000]
+    sizes = [0, 1, 300, 301, 480, 481, 1000]
     docs = spark.createDataFrame([(n, "  " + " ".join(f"w{i}" for i in range(n)) + "\n") for n in sizes],
                                  "id bigint, text string")
     got = {}
@@ -113,10 +113,10 @@ def test_chunk_boundaries(spark):
         got.setdefault(r.id, []).append((r.chunkNo, r.nTokens, r.text.split(" ")[0]))
     assert 0 not in got
     assert got[1] == [(0, 1, "w0")]
-    assert got[300] == [(0, 300, "w0")]
+    assert got[300] == [(0, 300, "w0"), (1, 60, "w240")]  # a window starts every 240 tokens, up to the last one
     assert got[301] == [(0, 300, "w0"), (1, 61, "w240")]
-    assert [c[0] for c in got[540]] == [0, 1] and [c[0] for c in got[541]] == [0, 1, 2]
-    assert sorted(got[1000])[-1][1] == 1000 - 720
+    assert [c[0] for c in got[480]] == [0, 1] and [c[0] for c in got[481]] == [0, 1, 2]
+    assert sorted(got[1000])[-1][1] == 1000 - 960
 
 
 def test_vector_topk_filters_and_ranks(spark):
