@@ -512,6 +512,27 @@ def scoped_read_query(spark, sf_dir):
     )
 
 
+@register("a05_item_catalogue")
+def item_catalogue_query(spark, sf_dir):
+    """Both item catalogue versions written as documents ``{"data": {"<id>": {"name": ...}}}`` of at most 1000
+    items each, read back and merged, latest first."""
+    from seasonlens.functions.lookup import merge_item_versions
+    from seasonlens.session import scratch_path
+    from seasonlens.sources import dims as D
+
+    part = binding.table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    versions = {
+        "latest": part.where("p_partkey % 3 <> 0").withColumn("p_name", F.expr("case when p_partkey % 50 = 0 then '' else p_name end")),
+        "first": part.where("p_partkey % 5 <> 0"),
+    }
+    base = scratch_path(spark, "item_docs")
+    for name, items in versions.items():
+        entry = F.struct(F.col("p_partkey").cast("string"), F.struct(F.col("p_name").alias("name")))
+        docs = items.groupBy(F.expr("p_partkey div 1000").alias("part_no")).agg(F.map_from_entries(F.collect_list(entry)).alias("data"))
+        docs.repartition("part_no").write.partitionBy("part_no").json(f"{base}/{name}")
+    return merge_item_versions(D.read_items(spark, f"{base}/latest"), D.read_items(spark, f"{base}/first"))
+
+
 @register("a06_a08_dimension_docs")
 def dimension_docs_query(spark, sf_dir):
     """Spell / rune-style / queue documents written in the published
@@ -659,8 +680,23 @@ def facts_rerun_query(spark, sf_dir):
 # ---------------------------------------------------------------- streams
 @register("g01_progress_stream")
 def progress_stream_query(spark, sf_dir):
-    """G1-G2 streamed: messages as JSON text files, folded by a streaming
-    aggregation (availableNow), malformed lines quarantined; returns the sink."""
+    """G1-G2 streamed: messages as JSON text files (availableNow), each batch's partial fold appended; returns
+    the merged display states."""
+    from seasonlens.streaming.runners import read_progress
+
+    return read_progress(spark, _progress_streams(spark, sf_dir)[0]).select(
+        F.col("job").alias("user_id"), "state", "count", "total", "percent", "label", "messages"
+    )
+
+
+@register("g02_quarantine_stream")
+def progress_quarantine_query(spark, sf_dir):
+    """G2 streamed: the malformed lines that the progress stream set aside."""
+    return spark.read.parquet(_progress_streams(spark, sf_dir)[1]).select("value")
+
+
+def _progress_streams(spark, sf_dir):
+    """Runs both progress streams over all messages and a broken line of each event type; (partial rows, quarantine)."""
     from pyspark.sql import types as T
 
     from seasonlens.session import scratch_path
@@ -675,9 +711,7 @@ def progress_stream_query(spark, sf_dir):
     seq_type = T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("event_id", T.LongType())])
     for q in progress_stream(spark, src, out, bad, ck, seq_type=seq_type):
         q.awaitTermination()
-    return spark.read.parquet(out).select(
-        F.col("job").alias("user_id"), "state", "count", "total", "percent", "label", "messages"
-    )
+    return out, bad
 
 
 @register("g06_duplicate_guard_stream")

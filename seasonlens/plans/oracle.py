@@ -104,6 +104,9 @@ FROM f"""
 ORACLE["d01_item_names"] = with_base() + """
 SELECT p_partkey AS itemId, """ + item_name("p_partkey") + """ AS itemName FROM part"""
 
+ORACLE["a05_item_catalogue"] = with_base() + """
+SELECT id, name FROM idim"""
+
 ORACLE["d02_d04_names"] = with_base() + f"""
 SELECT match_id AS matchId, {spell_name('spell1')} AS spell1Name, {spell_name('spell2')} AS spell2Name,
   {rune_name('rune1')} AS primaryStyle, {rune_name('rune2')} AS subStyle, game_mode AS gameMode
@@ -668,6 +671,7 @@ SELECT puuid, year, event_id FROM g WHERE accepted"""
 
 # Streaming forms return the same rows as their batch forms.
 ORACLE["g01_progress_stream"] = ORACLE["g01_g02_progress_fold"]
+ORACLE["g02_quarantine_stream"] = "SELECT DISTINCT '{broken ' || event_type AS value FROM events"
 ORACLE["g07_incremental_refresh"] = ORACLE["e25_e26_documents"]
 
 

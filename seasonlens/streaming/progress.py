@@ -1,8 +1,8 @@
 """Progress messages (G1-G3): parse, fold to (state, percent) per job.
 
-``progress_fold`` is a plain grouped aggregation (``max_by`` per job), so
-the same code runs as a batch query or as a Structured Streaming query in
-update / complete mode: the state kept is one small row per job.
+The fold is mergeable: ``partial_progress`` reduces any set of messages to one small row per job and
+``merged_progress`` folds such rows.  A batch query runs both; the stream appends the partial rows of each
+micro-batch and readers merge them, so the stream itself keeps no state.
 """
 
 from __future__ import annotations
@@ -73,32 +73,45 @@ def label_of(state: Column, count: Column, total: Column) -> Column:
     return F.replace(filled, F.lit("{count}"), F.coalesce(count.cast("string"), F.lit("")))
 
 
-def progress_fold(messages: DataFrame, job: str = "job", seq: str = "seq") -> DataFrame:
-    """G1: the display state of every job after all its messages.
+def partial_progress(messages: DataFrame, job: str = "job", seq: str = "seq") -> DataFrame:
+    """G1, first half: what one set of messages says about each job, mergeable with other sets.
 
-    The last known message decides the state.  RETRIEVING divides by the
-    total of the latest START message (falling back to the message's own
-    total, then 1; a zero counts as missing).  Unknown states are ignored.
-    ``result`` is the payload of the last COMPLETE message, where messages carry one.
+    (job, last, start, done, messages): the last known message, the last START message's total and the last
+    COMPLETE message's result, each with its sequence, and the number of known messages.
     """
     known = messages.where(F.col("state").isin(*KNOWN_STATES))
-    start_seq = F.when(F.col("state") == F.lit(START), F.col(seq))
-    folded = known.groupBy(job).agg(
-        F.max_by(F.struct("state", "count", "total"), F.col(seq)).alias("_last"),
-        F.max_by(F.col("total"), start_seq).alias("_start_total"),
+    if "result" not in messages.columns:
+        known = known.withColumn("result", F.lit(None).cast(schema.FACT_ARRAY))
+    latest = lambda cond, *cols: F.max_by(F.struct(F.col(seq).alias("seq"), *cols), F.when(cond, F.col(seq)))
+    return known.groupBy(job).agg(
+        latest(F.lit(True), "state", "count", "total").alias("last"),
+        latest(F.col("state") == START, "total").alias("start"),
+        latest(F.col("state") == COMPLETE, "result").alias("done"),
         F.count(F.lit(1)).alias("messages"),
-        *([F.max_by("result", F.when(F.col("state") == COMPLETE, F.col(seq))).alias("result")] if "result" in messages.columns else []),
     )
+
+
+def merged_progress(partials: DataFrame, job: str = "job") -> DataFrame:
+    """G1, second half: the display state of every job out of the partial rows of any number of message sets."""
+    latest = lambda c: F.max_by(c, F.col(f"{c}.seq")).alias(c)
+    folded = partials.groupBy(job).agg(latest("last"), latest("start"), latest("done"), F.sum("messages").alias("messages"))
     total = F.coalesce(
-        F.nullif(F.col("_start_total"), F.lit(0)), F.nullif(F.col("_last.total"), F.lit(0)), F.lit(1)
+        F.nullif(F.col("start.total"), F.lit(0)), F.nullif(F.col("last.total"), F.lit(0)), F.lit(1)
     ).cast("long")
+    state, count = F.col("last.state"), F.col("last.count")
     return folded.select(
-        job,
-        F.col("_last.state").alias("state"),
-        F.col("_last.count").alias("count"),
-        total.alias("total"),
-        percent_of(F.col("_last.state"), F.col("_last.count"), total).alias("percent"),
-        label_of(F.col("_last.state"), F.col("_last.count"), total).alias("label"),
-        "messages",
-        *(["result"] if "result" in messages.columns else []),
+        job, state.alias("state"), count.alias("count"), total.alias("total"),
+        percent_of(state, count, total).alias("percent"), label_of(state, count, total).alias("label"),
+        "messages", F.col("done.result").alias("result"),
     )
+
+
+def progress_fold(messages: DataFrame, job: str = "job", seq: str = "seq") -> DataFrame:
+    """G1: the display state of every job after all its messages.
+
+    The last known message decides the state.  RETRIEVING divides by the
+    total of the latest START message (falling back to the message's own
+    total, then 1; a zero counts as missing).  Unknown states are ignored.
+    ``result`` is the payload of the last COMPLETE message, where messages carry one.
+    """
+    return merged_progress(partial_progress(messages, job, seq), job)
