@@ -16,7 +16,10 @@ elements of a single set, most of them, never enter a list.
 **Boundary**: the cost of the light side (subsets) and of the heavy side (list entries, each with
 its share of the check) is summed over the histogram of set sizes, and the cheapest boundary is taken.
 
-**Hot lists**: the pairs of a list of ordinary length are candidates where size and place allow a link.  The members of a longer list form
+**Candidates**: the pairs of a list of ordinary length, where size and place allow a link and where what both hold of the counted
+share leaves enough to be shared outside it; this rules out nearly all unrelated pairs before full sets are read.
+
+**Hot lists**: the members of a longer list form
 the group of a pivot and are all checked against it (a star), which joins a large group of near copies in linear work.
 The check also tells what each member shares with the pivot and which of its other elements no other member of the
 group has; both bound what two members can share.  Members that can reach nobody drop out; of the others, only pairs that the bounds allow and that no pivot joins are
@@ -44,7 +47,7 @@ from seasonlens.llm.components import components
 K = 5
 PERCENT = 80
 # Share of the element universe that is counted exactly, as a multiple of the listed share.
-COUNTED = 1.5
+COUNTED = 2.0
 # Cost of a list entry against that of a subset key: it is counted, ordered, listed, and may be checked.
 ENTRY_COST = 8
 # Largest boundary that is considered.
@@ -54,8 +57,6 @@ ROUNDS = 3
 FEW = 50
 # Longest list whose pairs are candidates themselves.
 SHORT = 64
-# Share of the hash range in which a set far from its pivot shows the elements it has besides the pivot's.
-SHOWN = 0.6
 # Words whose hashes a task keeps.
 MEMO_WORDS = 400_000
 # What tells one set from another: its size and two sums over its elements.
@@ -239,34 +240,54 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _reaches(found: DataFrame, percent: int) -> DataFrame:
     """(pivot, node, common, rest): elements a node shares with its pivot, and how many others it may share with a node of the pivot's group.
 
-    ``rest`` leaves out the elements that no other node of the group has.  A node that shares much with the pivot shows all its extra
-    elements; one that shares little shows those in a fixed part of the hash range.  A node's elements outside that part are only
-    counted as its own if it shares so much that it can't be linked with one that hides some.
+    ``rest`` leaves out the elements that no other node of the group has.  To tell these, nodes show their extra elements: all
+    of them, or, the less they share with the pivot, only those in a smaller part of the hash range.  A node counts as
+    its own only what it has in the part that every node shows with which it could be linked: two nodes can't be linked when the one's
+    share of the pivot and the other's share of extra elements are too little together.
     """
     even = percent / (100 + percent)  # share of two linked sets' elements, both counted, that they have in common
-    share = F.col("shared") / F.col("m")
-    low = F.col("e") < int(SHOWN * 2**63)
-    shown = found.select("a", "b", share.alias("share"), F.explode("extra").alias("e")).where(low | (F.col("share") >= even - 0.01))
+    far, mid = min(1.0, (100 - percent) / 40), min(1.0, max(0.6, (100 - percent) / 29))
+    # shares of the pivot this far apart rule out a link, whatever the two sizes (which differ by percent at most)
+    apart = (100 - percent) / 100 + 0.02
+
+    def part(share: Column) -> Column:
+        return F.when(share >= even - 0.01, 1.0).when(share >= 0.3, mid).otherwise(far)
+
+    place = F.col("e") / float(2**63)
+    shown = found.select("a", "b", (F.col("shared") / F.col("m")).alias("share"),
+                         F.explode(F.filter("extra", lambda e: e / float(2**63) < part(F.col("shared") / F.col("m")))).alias("e"))
     own = shown.groupBy("a", "e").agg(F.count(F.lit(1)).alias("held"), F.min("b").alias("b"), F.min("share").alias("share")) \
-        .where("held = 1").where(low | (F.col("share") >= 1.01 - even)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("own"))
+        .where((F.col("held") == 1) & (place < part(F.col("share") - apart))) \
+        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("own"))
     rest = F.col("m") - F.col("shared") - F.coalesce("own", F.lit(0))
     return found.select("a", "b", "m", "shared").join(own, ["a", "b"], "left") \
         .select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("shared").alias("common"), rest.alias("rest"))
 
 
-def _heavy_edges(lists: DataFrame, sets: DataFrame, light: DataFrame, percent: int) -> DataFrame:
-    """Edges of the heavy side and ``light``, the edges already known; staged."""
-    links = _fits(F.col("n"), F.col("m"), F.col("shared"), percent)
-    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("alone", "n", "node")).alias("p"))
-    # the pivot of a long list: the set with the fewest elements of its own
-    long = staged(sizes.where(F.col("size") > SHORT).select("token", F.col("p.node").alias("pivot")), "pivots")
+def _candidates(lists: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Staged (a, b): pairs of short lists that may link; staged (pivot, node, n, alone): members of the long lists."""
+    sizes = staged(lists.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("alone", "n", "node"))["node"].alias("pivot")), "list-sizes")
     x, y = (lists.join(sizes.where(F.col("size") <= SHORT).select("token"), "token", "left_semi").alias(i) for i in "xy")
-    direct = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & _may_link(percent, "x", "y")) \
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & _may_link(percent, "x", "y")) \
+        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    known = classes.select("node", "n", F.slice("head", F.lit(1), F.col("counted").cast("int")).alias("head"))
+    one, two = (known.select(*(F.col(c).alias(f"{i}_{c}") for c in known.columns)) for i in "ab")
+    met = met.join(two, F.col("b") == F.col("b_node")).join(one, F.col("a") == F.col("a_node"))
+    unseen = F.least(F.col("a_n") - F.size("a_head"), F.col("b_n") - F.size("b_head"))
+    most = F.size(F.array_intersect("a_head", "b_head")) + unseen
+    direct = staged(met.where(_fits(F.col("a_n"), F.col("b_n"), most, percent)).select("a", "b"), "direct")
+    long = sizes.where(F.col("size") > SHORT).select("token", "pivot")
     group = staged(lists.join(long, "token").select("pivot", "node", "n", "alone").distinct(), "groups")
+    unstage(sizes)
+    return direct, group
+
+
+def _heavy_edges(direct: DataFrame, group: DataFrame, sets: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """Edges of the heavy side and ``light``, the edges already known; staged."""
+    links = _fits(F.col("n"), F.col("m"), F.col("shared"), percent)
     star = group.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     found = staged(_checked(direct.unionByName(star).distinct(), sets), "checked")
-    reaches = _reaches(found.join(long.select(F.col("pivot").alias("a")).distinct(), "a", "left_semi"), percent)
+    reaches = _reaches(found.join(group.select(F.col("pivot").alias("a")).distinct(), "a", "left_semi"), percent)
     edges = [light, found.where(links).select("a", "b")]
     tried = [found.select("a", "b")]
     joined = found.where(links).select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.lit(0).alias("by"))
@@ -275,7 +296,7 @@ def _heavy_edges(lists: DataFrame, sets: DataFrame, light: DataFrame, percent: i
         "common": F.coalesce("common", "n"), "rest": F.coalesce("rest", F.lit(0)),  # a pivot shares all it has with itself
         "by": F.when(F.col("node") == F.col("pivot"), 0).otherwise(F.col("by"))})
     members = staged(members.where(reach * 100 >= F.col("n") * percent), "members")
-    spent = [long, group, found, members]
+    spent = [found, members]
     for turn in range(1, ROUNDS + 1):
         left = members.groupBy("pivot").agg(F.count(F.lit(1)).cast("double").alias("all"), F.count(F.when(F.col("by").isNull() | (F.col("by") > 0), 1)).alias("out"))
         state = left.agg(F.sum(F.col("all") * F.col("out")).alias("comparisons"), F.sum("all").alias("members")).first()
@@ -334,15 +355,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     listed_ = staged(_lists(classes.where(F.col("n") >= least_overlap(b + 1, percent)), percent), "lists")
     crowd = listed_.groupBy("token").count().where("count > 1").select("token")
     lists = staged(listed_.join(crowd, "token"), "lists")
-    wanted = classes.where(F.col("n") <= b).select("node").unionByName(lists.select("node")).distinct()
+    direct, group = _candidates(lists, classes, percent)
+    nodes = [classes.where(F.col("n") <= b).select("node"), group.select("node"), *(direct.select(F.col(c).alias("node")) for c in "ab")]
+    wanted = _union(nodes).distinct()
     sets = staged(_full_sets(docs, id_col, text_col, k, classes.join(wanted, "node").select("node", "id", *KEY)), "sets")
     light = staged(_light_edges(sets, b, percent), "light")
-    edges = _heavy_edges(lists, sets, light, percent)
+    edges = _heavy_edges(direct, group, sets, light, percent)
     found = components(edges)
     joined = _with_component(classes.select("node", "id", *KEY), found)
     least = joined.groupBy("component").agg(F.min("id").alias("component_id"))
     named = staged(joined.join(least, "component").select(*KEY, "component_id"), "named")
-    unstage(classes, listed_, lists, sets, light, edges, found)
+    unstage(classes, listed_, lists, direct, group, sets, light, edges, found)
     out = rows.join(named, KEY, "left")
     own = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
