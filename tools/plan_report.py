@@ -24,6 +24,7 @@ PATTERNS = {
     "hash agg": r"^\(\d+\) HashAggregate\b",
     "obj agg": r"^\(\d+\) ObjectHashAggregate\b",
     "sort agg": r"^\(\d+\) SortAggregate\b",
+    "expands": r"^\(\d+\) Expand\b",
     "windows": r"^\(\d+\) Window\b",
     "group limit": r"^\(\d+\) WindowGroupLimit\b",
     "scans": r"^\(\d+\) Scan ",
@@ -32,7 +33,7 @@ PATTERNS = {
 
 def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    import __spark_entry__ as entry
+    from seasonlens.plans.catalog import QUERIES
     from seasonlens.session import build_session
 
     spark = build_session("local[8]")
@@ -42,8 +43,8 @@ def main() -> None:
     cols = list(PATTERNS) + ["pushed filters", "pruned read"]
     print("| query | " + " | ".join(cols) + " |")
     print("| --- | " + " | ".join("---" for _ in cols) + " |")
-    for name, fn in entry.queries().items():
-        if name.startswith(("a0", "a1", "g06", "g07", "g01_progress_stream")):
+    for name, fn in QUERIES.items():
+        if name.startswith(("a0", "a1", "b05", "b08_b10", "g02", "g06", "g07", "g01_progress_stream")):
             print(f"| {name} | " + " | ".join("(writes)" if i == 0 else "" for i in range(len(cols))) + " |")
             continue
         buf = io.StringIO()
