@@ -287,6 +287,7 @@ def _heavy_edges(direct: DataFrame, group: DataFrame, sets: DataFrame, light: Da
     links = _fits(F.col("n"), F.col("m"), F.col("shared"), percent)
     star = group.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     found = staged(_checked(direct.unionByName(star).distinct(), sets), "checked")
+    first = found
     reaches = _reaches(found.join(group.select(F.col("pivot").alias("a")).distinct(), "a", "left_semi"), percent)
     edges = [light, found.where(links).select("a", "b")]
     tried = [found.select("a", "b")]
@@ -320,7 +321,13 @@ def _heavy_edges(direct: DataFrame, group: DataFrame, sets: DataFrame, light: Da
     done = _union(tried)
     rest = rest.join(done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
     edges.append(_checked(rest, sets).where(links).select("a", "b"))
-    out = staged(_union(edges).distinct(), "links")
+    # every node hangs on one partner of the first check, and the other links are between these partners
+    hung = first.where(links).groupBy("b").agg(F.min("a").alias("on")).select(F.col("b").alias("node"), "on")
+    moved = _union(edges)
+    for end in "ab":
+        moved = moved.join(hung.select(F.col("node").alias(end), F.col("on").alias(f"{end}_on")), end, "left")
+    moved = moved.select(F.coalesce("a_on", "a").alias("a"), F.coalesce("b_on", "b").alias("b")).where("a <> b")
+    out = staged(moved.unionByName(hung.select(F.col("node").alias("a"), F.col("on").alias("b"))).distinct(), "links")
     unstage(*spent)
     return out
 
