@@ -7,8 +7,11 @@ rotations, from different starts, give as many bits as the tables need.
 
 **Tables.**  The code is cut into substrings of ``bits`` bits, one hash table each (multi-index hashing); every vector is in every
 table, and vectors that share a substring meet.  ``bits`` follows the number of vectors, so a bucket holds about one
-unrelated vector at any size; the number of tables follows from the chance that a pair at the threshold's angle agrees on a
-substring, so that the expected recall at the threshold is at least ``recall`` (pairs above it are found more surely).
+unrelated vector at any size.  The number of tables is at least what follows from the chance that a pair at the threshold's angle agrees on a
+substring.  Centring and cuts lower that chance where vectors share a direction or a loose group is large, so it is also measured, under
+the real centring and cuts: tables are added until every kind of sampled pair at the threshold (random partners, partners towards
+other vectors, linked pairs of the sample by row and by pair) meets with at least ``recall``.  Where this takes more than the angle says, the
+length of a substring is chosen by cost; shorter ones need fewer tables, and with no bits all pairs meet.
 
 **Rerank.**  The vectors of a bucket are compared by cosine in double precision with matrix products.  A pair
 is counted in the first table it meets in, so nothing is counted twice and no list of pairs is made: a block of a bucket gives each vector's number
@@ -40,6 +43,14 @@ ROUNDS = 30
 # Vectors of a bucket that are compared at once.
 BLOCK = 256
 MAX_BITS = 28
+# Sampled pairs of a kind, and sampled vectors whose links are sought.
+PAIRS = 2000
+LEFT_ROWS = 1000
+# Fewer linked pairs in the sample than these tell nothing about a share of 0.96.
+LEAST_PAIRS = 25
+# Rotations and code bits that are tried for long substrings; shorter ones need fewer.
+MAX_PARTS = 128
+MAX_COLUMNS = 8192
 
 
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -55,23 +66,106 @@ def learn_rotation(x: np.ndarray, seed: int, rounds: int = ROUNDS) -> np.ndarray
 
 
 def plan_tables(n: int, least: float, recall: float) -> tuple[int, int]:
-    """(bits of a substring, tables) for n vectors and a threshold."""
+    """(bits of a substring, tables) for n vectors and a threshold, by its angle alone."""
     bits = min(MAX_BITS, max(4, math.ceil(math.log2(max(n, 2)))))
+    return bits, angle_tables(bits, least, recall)
+
+
+def angle_tables(bits: int, least: float, recall: float) -> int:
+    """Tables by the threshold's angle alone."""
     agree = (1 - math.acos(least) / math.pi) ** bits
-    return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
+
+
+def threshold_pairs(u: np.ndarray, least: float, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Kinds of pairs of unit vectors at the threshold: random partners, partners towards other rows, linked pairs of the rows by pair and by row."""
+    rng = np.random.default_rng(seed)
+    n, d = u.shape
+
+    def partners(left: np.ndarray, towards: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        away = towards - (towards * left).sum(axis=1, keepdims=True) * left
+        norm = np.linalg.norm(away, axis=1, keepdims=True)
+        fine = norm[:, 0] > 1e-6
+        left = left[fine]
+        return left, least * left + math.sqrt(max(0.0, 1 - least * least)) * away[fine] / norm[fine]
+
+    left = u[rng.integers(0, n, PAIRS)]
+    kinds = [partners(left, rng.standard_normal((PAIRS, d))), partners(left, u[rng.integers(0, n, PAIRS)])]
+    rows = rng.permutation(n)[:LEFT_ROWS]
+    # linked pairs in the lowest quarter above the threshold; those above agree more often
+    found = []
+    for at in range(0, len(rows), BLOCK):
+        cosine = u[rows[at:at + BLOCK]] @ u.T
+        i, j = np.nonzero((cosine >= least) & (cosine <= least + (1 - least) / 4))
+        found.append(np.stack([rows[at + i], j]).astype(np.int32))
+    i, j = np.concatenate(found, axis=1)
+    if len(i) >= LEAST_PAIRS:
+        mixed = rng.permutation(len(i))
+        i, j = i[mixed], j[mixed]
+        each = np.unique(i, return_index=True)[1]
+        kinds += [(u[i[:PAIRS]], u[j[:PAIRS]]), (u[i[each]], u[j[each]])]
+    return [k for k in kinds if len(k[0])]
 
 
 class Codes:
-    """Substrings of vectors."""
+    """Substrings of vectors, planned for ``n`` vectors of which ``sample`` holds some unit rows."""
 
-    def __init__(self, sample: np.ndarray, bits: int, tables: int, seed: int = 7):
-        self.bits, self.tables = bits, tables
+    def __init__(self, sample: np.ndarray, n: int, least: float, recall: float, seed: int = 7):
         d = sample.shape[1]
         self.mean = sample.mean(axis=0)
         x = sample - self.mean
-        parts = [learn_rotation(x, seed + i) for i in range(-(-bits * tables // d))]
+        kinds = threshold_pairs(sample, least, seed)
+        parts: list[np.ndarray] = []
+        cuts: list[np.ndarray] = []
+        same: list[np.ndarray] = []  # whether the pairs agree on the bits of a part
+
+        def grow(columns: int) -> None:
+            while len(parts) * d < columns:
+                part = learn_rotation(x, seed + len(parts))
+                parts.append(part)
+                cuts.append(np.median(x @ part, axis=0))
+                on = [((v - self.mean) @ part > cuts[-1]) for kind in kinds for v in kind]
+                same.append(np.concatenate([a == b for a, b in zip(on[::2], on[1::2], strict=True)]) if on else np.empty((0, d), bool))
+
+        def needed(bits: int) -> int | None:
+            """Tables of the bits so far with which every kind of pair meets often enough."""
+            if not bits or not kinds:
+                return 1
+            tables = len(parts) * d // bits
+            if not tables:
+                return None
+            agree = np.concatenate(same, axis=1)[:, :tables * bits].reshape(-1, tables, bits).all(axis=2)
+            met = np.logical_or.accumulate(agree, axis=1)
+            edge = np.cumsum([0, *(len(k[0]) for k in kinds)])
+            enough = np.min([met[a:b].mean(axis=0) for a, b in zip(edge[:-1], edge[1:], strict=True)], axis=0) >= recall
+            return int(enough.argmax()) + 1 if enough[-1] else None
+
+        def cost(bits: int, tables: int) -> float:
+            """Comparisons a vector; taking a vector to a bucket costs about as much as ``BLOCK`` of them."""
+            if not bits:
+                return BLOCK + n
+            sizes = []
+            for t in range(min(8, tables)):
+                picked = np.concatenate([(x @ parts[c // d][:, c % d] > cuts[c // d][c % d])[:, None] for c in range(t * bits, (t + 1) * bits)], axis=1)
+                count = np.unique(np.packbits(picked, axis=1), axis=0, return_counts=True)[1].astype(float)
+                sizes.append((count * (count - 1)).sum() / max(1, len(x) * (len(x) - 1)))
+            return tables * (BLOCK + n * float(np.mean(sizes)))
+
+        bits, tables = plan_tables(n, least, recall)
+        grow(bits * tables)
+        most = needed(bits)
+        if most is None or most > tables:
+            limit = min(MAX_COLUMNS, MAX_PARTS * d)
+            while needed(bits) is None and len(parts) * d < limit:
+                grow(min(limit, 2 * len(parts) * d))
+            plans = [(b, t) for b in range(bits + 1) if (t := needed(b)) is not None]
+            bits, tables = min(plans, key=lambda p: cost(*p))
+            if bits:
+                tables = max(tables, angle_tables(bits, least, recall))
+            grow(bits * tables)
+        self.bits, self.tables = bits, tables
         self.projection = np.concatenate(parts, axis=1)[:, :bits * tables]
-        self.cut = np.median(x @ self.projection, axis=0)
+        self.cut = np.concatenate(cuts)[:bits * tables]
 
     def pack(self, units: np.ndarray) -> list[bytes]:
         """The code of every row, eight bits a byte."""
@@ -217,7 +311,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     nodes = staged(same.withColumn("node", F.monotonically_increasing_id()), "vectors")
     n = nodes.count()
     sample = nodes.orderBy(F.xxhash64("vector"), "node").limit(sample_rows).select("vector").collect()  # at most sample_rows vectors
-    codes = Codes(unit_rows([bytes(r["vector"]) for r in sample], kind), *plan_tables(n, least, recall))
+    codes = Codes(unit_rows([bytes(r["vector"]) for r in sample], kind), n, least, recall)
     coded = _coded(nodes, codes, kind)
     keys, blocks = _block_rows(coded, codes)
     scored = staged(_score_blocks(blocks, codes, kind, least), "links")

@@ -212,6 +212,31 @@ def test_itq_edge_rows(spark):
         assert itq.near_duplicates(df.where("vec_id = 3")).collect()[0].component_id == 3
 
 
+@pytest.mark.parametrize("shape", ["off-centre", "loose group"])
+def test_itq_recall_where_the_cuts_run_through_the_pairs(spark, shape):
+    rng = np.random.default_rng(3)
+
+    def unit(x):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    common = unit(rng.standard_normal((1, 64)))
+    base = unit(rng.standard_normal((800, 64)))
+    if shape == "off-centre":  # vectors that share a direction, and a partner at 0.905 for each
+        base = unit(base + 1.2 * common)
+        away = rng.standard_normal(base.shape)
+        away -= (away * base).sum(axis=1, keepdims=True) * base
+        x = np.concatenate([base, 0.905 * base + (1 - 0.905 ** 2) ** 0.5 * unit(away)])
+    else:  # a third of the rows at pair cosines of about 0.917
+        x = np.concatenate([base, unit(common + 0.3 * unit(rng.standard_normal((400, 64))))])
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in itq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()}
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, 0)
+    degree = (cosine >= 0.9).sum(axis=1)
+    found = np.array([got[i] for i in range(len(rows))])
+    assert (found <= degree).all() and found.sum() >= 0.95 * degree.sum()
+
+
 # --- toxicity
 
 def sentences(rng, n, extra):
