@@ -5,10 +5,12 @@ line.  The text lengths of the lines are summed over sliding windows of ``window
 the sums rise from nothing is a surge point, where they fall back to nothing a dive point, and the text between the
 two is kept.  Scripts, styles, forms, comments and elements that are navigation, headers, footers, sidebars, notices,
 adverts or reader comments (by element, class, id or role) are markup too: they leave no line.  A line of
-links alone, a copyright line, and on pages with an ``article`` or ``main`` element every line outside
-it, weigh nothing: they open no surge and are left out at its ends, but inside the text they stay.
+links alone and a copyright line weigh nothing: they open no surge and are left out at its ends, but inside the text they stay.
 
-Without such an element, a page's heaviest stretch and every stretch of at least ``share`` of it are the main text.
+A page's heaviest stretch and every stretch of at least ``share`` of it are the main text.  Where ``article`` or ``main``
+elements hold most of the page's weight, or no stretch of the lines outside them outweighs them (more than their weight in ``window``
+or more lines with weight, or more than ``ARTICLE`` times their weight in any number of lines), the main text is instead every line
+of the elements that have weight, link-only lines included, and nothing else.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from seasonlens.llm.common import map_texts
 # Lines of a window, and the weight a second stretch needs against the heaviest one.
 WINDOW = 3
 SHARE = 0.25
+# What a stretch of few lines needs against the page's articles.
+ARTICLE = 3
 
 # Elements by what they do to the text.
 DROPPED_RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title")
@@ -77,7 +81,7 @@ class _Lines:
     def __init__(self) -> None:
         self.text: list[str] = []
         self.weight: list[int] = []
-        self.inside: list[bool] = []
+        self.inside: list[int] = []  # number of the outermost article or main element around the line, from 1
         self.parts: list[str] = []
         self.linked = 0
 
@@ -86,7 +90,7 @@ class _Lines:
         if in_link:
             self.linked += len("".join(unescape(raw).split()))
 
-    def end(self, inside: bool) -> None:
+    def end(self, inside: int) -> None:
         if self.parts:
             line = " ".join(unescape("".join(self.parts)).split())
             if line:
@@ -100,10 +104,10 @@ class _Lines:
 def lines_of(html: str) -> _Lines:
     """Strips the markup: one line a block."""
     lines = _Lines()
-    stack: list[tuple[str, bool, bool]] = []  # (element, it or one around it is dropped, it or one around it is an article)
+    stack: list[tuple[str, bool, int]] = []  # (element, it or one around it is dropped, number of the outermost article among it and those around it)
     opened: Counter[str] = Counter()  # open elements by name: what is not open is not looked for
-    dropped = article = in_link = False
-    at = 0
+    dropped = in_link = False
+    at = article = articles = 0
 
     def close_from(i: int) -> None:
         opened.subtract(e[0] for e in stack[i:])
@@ -140,14 +144,17 @@ def lines_of(html: str) -> _Lines:
                         break
                     if stack[i][0] in BLOCKS:
                         break
-            outer_dropped, outer_article = stack[-1][1:] if stack else (False, False)
+            outer_dropped, outer_article = stack[-1][1:] if stack else (False, 0)
             if name not in VOID and not m["attributes"].endswith("/"):
                 own = name in ("article", "main") or "role" in m["attributes"] and 'role="main"' in m["attributes"]
-                side = outer_dropped or _is_side(name, m["attributes"], outer_article)
-                stack.append((name, side, outer_article or own and not side))
+                side = outer_dropped or _is_side(name, m["attributes"], bool(outer_article))
+                if own and not side and not outer_article:
+                    articles += 1
+                    outer_article = articles
+                stack.append((name, side, outer_article))
                 opened[name] += 1
                 in_link = in_link or name == "a"
-        dropped, article = stack[-1][1:] if stack else (False, False)
+        dropped, article = stack[-1][1:] if stack else (False, 0)
     if not dropped and at < len(html):
         lines.add(html[at:], in_link)
     lines.end(article)
@@ -168,16 +175,25 @@ def main_text(html: str, window: int = WINDOW, share: float = SHARE) -> str:
     """Main text of one page: blocks in page order, joined by an empty line."""
     lines = lines_of(html)
     weight = np.array(lines.weight, dtype=np.int64)
-    inside = np.array(lines.inside, dtype=bool)
-    in_article = bool(weight[inside].any()) if len(weight) else False
-    if in_article:
-        weight[~inside] = 0
+    inside = np.array(lines.inside, dtype=np.int64)
+    if _articles_decide(weight, inside, window):
+        return "\n\n".join(lines.text[i] for i in np.flatnonzero((inside > 0) & np.isin(inside, inside[weight > 0])))
     found = stretches(weight, window)
-    if found and not in_article:
-        mass = [int(weight[a:b].sum()) for a, b in found]
-        found = [s for s, w in zip(found, mass, strict=True) if w >= share * max(mass)]
-    keep = [i for a, b in found for i in range(a, b) if inside[i] or not in_article]
-    return "\n\n".join(lines.text[i] for i in keep)
+    mass = [int(weight[a:b].sum()) for a, b in found]
+    return "\n\n".join(lines.text[i] for (a, b), w in zip(found, mass, strict=True) if w >= share * max(mass) for i in range(a, b))
+
+
+def _articles_decide(weight: np.ndarray, inside: np.ndarray, window: int) -> bool:
+    """Whether the lines of articles are the main text whatever the other lines are."""
+    held = int(weight[inside > 0].sum())
+    if 2 * held >= weight.sum():
+        return held > 0
+    outside = np.where(inside > 0, 0, weight)
+    for a, b in stretches(outside, window):
+        mass = int(outside[a:b].sum())
+        if mass > ARTICLE * held or mass > held and np.count_nonzero(outside[a:b]) >= window:
+            return False
+    return held > 0
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str | None = "url") -> DataFrame:

@@ -245,6 +245,21 @@ def test_page_with_article_and_short_blocks():
     assert html_text.main_text(html) == "A&B\n\nBe.\n\nTier.\n\nEnd of it"
 
 
+def test_teaser_article_does_not_hide_the_body():
+    body = [f"Paragraph {i} of the body, which stands in a plain element and is long." for i in range(5)]
+    teaser = '<article class="card"><p>A short teaser of another text.</p></article>'
+    for entry in ("".join(f"<p>{b}</p>" for b in body), "<br>".join(body)):
+        for html in (f'{teaser}<div class="entry">{entry}</div>', f'<div class="entry">{entry}</div>{teaser}'):
+            text = html_text.main_text(html)
+            assert all(b in text for b in body)
+
+
+def test_link_only_lines_of_an_article_stay():
+    html = ("<article><h1><a href=x>Title</a></h1><p>The text of the article.</p><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul>"
+            "<p>More of the text.</p><p><a href=s>Source</a></p></article><article><a href=y>Other page</a></article><p><a href=z>Next</a></p>")
+    assert html_text.main_text(html).split("\n\n") == ["Title", "The text of the article.", "One", "Two", "Three", "More of the text.", "Source"]
+
+
 def test_stretches_equal_window_sums():
     rng = np.random.default_rng(1)
     for _ in range(300):
