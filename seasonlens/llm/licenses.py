@@ -9,7 +9,9 @@ some licence text, and the state that stands for it.  From these:
   the state's suffix links (looked up in a table made once a state);
 * a run that cannot be extended and is long enough is a match with known places in the
   templates; the matches of a template that follow each other in both texts, with small gaps, are chained into a covered template span.  A
-  template's score is the best share of its words that one chain covers; from ``cover`` on it adds its label.
+  template's score is the best share of its words that one chain covers, and from ``cover`` on it adds its label.  A chain counts
+  only if it holds the template's keys, the words that tell it from the other templates; of chains
+  that lie over each other the one with the most covered words wins.
 
 Phrases add their labels wherever they stand and score 1.  Words are runs of ``[0-9a-z]`` and characters from U+0080 on,
 after A-Z are lower-cased.
@@ -18,8 +20,10 @@ after A-Z are lower-cased.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import lru_cache
+from importlib.resources import files
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,28 +37,81 @@ WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MIN_MATCH = 3
 MAX_GAP = 12
 COVER = 0.6
+# The share of a span that may lie in a better one.
+OVERLAP = 0.5
 
 # Phrases and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-# Licence notices as their publishers word them, and their labels.
+# Parts that licences share.
+AS_IS_MIT = (
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY "
+    "CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE "
+    "SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.")
+BSD_CONDITIONS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in "
+    "the documentation and/or other materials provided with the distribution. ")
+AS_IS_BSD = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+    "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+    "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+    "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF "
+    "THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+# Labels, licence notices as their publishers word them, and keys, each of which a chain's words hold.
 TEMPLATES = (
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
             "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
-            "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("mit", "Released under the MIT License"),
+            "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", ("sublicense and or sell",)),
+    ("mit", "Released under the MIT License", ("mit license",)),
     ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the "
-                 "License. You may obtain a copy of the License at"),
-    ("apache-2", "Licensed under the Apache License, Version 2.0"),
+                 "License. You may obtain a copy of the License at", ("apache license version 2 0",)),
+    ("apache-2", "Licensed under the Apache License, Version 2.0", ("apache license version 2 0",)),
     ("gpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
-              "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("gpl-3", "This work is licensed under the GNU General Public License, version 3"),
+              "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", ("gnu general public license", "version 3")),
+    ("gpl-3", "This work is licensed under the GNU General Public License, version 3", ("gnu general public license", "version 3")),
     ("bsd-3", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
-              "conditions are met"),
-    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("cc-by-4", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-sa-4", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
+              "conditions are met", ("redistribution and use in source and binary forms",)),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla public license v 2 0",)),
+    ("cc-by-4", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("attribution 4 0",)),
+    ("cc-by-sa-4", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("attribution sharealike 4 0",)),
+    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", ("attribution noncommercial 4 0",)),
+    ("unlicense", "This is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    ("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+              "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+     ("gnu general public license", "version 2")),
+    ("gpl-2", "This work is licensed under the GNU General Public License, version 2", ("gnu general public license", "version 2")),
+    ("lgpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+               "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+     ("gnu lesser general public license", "version 3")),
+    ("lgpl-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                 "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+     ("gnu lesser general public license", "version 2 1")),
+    ("agpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+               "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+     ("gnu affero general public license", "version 3")),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation "
+            "files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, "
+            "modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+            "furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in "
+            "all copies or substantial portions of the Software. " + AS_IS_MIT, ("sublicense and or sell",)),
+    ("bsd-2", BSD_CONDITIONS + AS_IS_BSD, ("provided with the distribution this software is provided",)),
+    ("bsd-3", BSD_CONDITIONS + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+              "derived from this software without specific prior written permission. " + AS_IS_BSD, ("names of its contributors",)),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+            "the above copyright notice and this permission notice appear in all copies.", ("for any purpose with or without fee",)),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, "
+                  "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
+                  "non-commercial, and by any means.", ("free and unencumbered software",)),
+)
+# Labels, files of full texts beside this module, and keys.
+FULL_TEXTS = (
+    ("apache-2", "Apache-2.0", ("apache license version 2 0",)), ("gpl-2", "GPL-2", ("gnu general public license version 2",)),
+    ("gpl-3", "GPL-3", ("gnu general public license version 3",)), ("lgpl-2.1", "LGPL-2.1", ("gnu lesser general public license version 2 1",)),
+    ("lgpl-3", "LGPL-3", ("gnu lesser general public license version 3",)), ("mpl-2", "MPL-2.0", ("mozilla public license version 2 0",)),
+    ("cc0", "CC0-1.0", ("cc0 1 0 universal",)),
 )
 
 
@@ -124,21 +181,23 @@ class Scan:
 
     n_words: int
     phrases: list[tuple[int, str]] = field(default_factory=list)  # (start word, label)
-    covered: list[tuple[str, int, int, float]] = field(default_factory=list)  # (label, start word, end word, share)
+    covered: list[tuple[str, int, int, float, int]] = field(default_factory=list)  # (label, start word, end word, share, words), of chains that count
+    closed: list[tuple[int, int, int, int]] = field(default_factory=list)  # (template, start word, end word, covered words)
 
 
 class Scanner:
     def __init__(self, phrases=PHRASES, templates=TEMPLATES, min_match: int = MIN_MATCH, max_gap: int = MAX_GAP):
         self.min_match, self.max_gap = min_match, max_gap
-        texts_ = [words_of(p) for p, _ in phrases] + [words_of(t) for _, t in templates]
+        texts_ = [words_of(p) for p, _ in phrases] + [words_of(t) for _, t, _ in templates]
         self.number = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts_ for w in t))}
         self.automaton = SuffixAutomaton([[self.number[w] for w in t] for t in texts_])
         n = len(phrases)
-        self.labels = [label for label, _ in templates]
+        self.labels = [label for label, _, _ in templates]
+        self.keys = [[f" {k} " for k in keys] for _, _, keys in templates]
         self.sizes = [len(t) for t in texts_[n:]]
         # state -> phrases that end wherever the state does, and places of the state in templates
         self.phrases: list[list[tuple[int, str]]] = []
-        self.places: list[list[tuple[int, int]]] = []
+        self.places: list[dict[int, list[int]]] = []
         for state in range(len(self.automaton.size)):
             path, v = set(), state
             while v > 0:
@@ -146,7 +205,12 @@ class Scanner:
                          and self.automaton.size[v] >= len(texts_[s]) > self.automaton.size[self.automaton.link[v]]}
                 v = self.automaton.link[v]
             self.phrases.append([(len(texts_[s]), phrases[s][1]) for s, _ in sorted(path)])
-            self.places.append(sorted((s - n, at) for s, at in self.automaton.ends[state] if s >= n))
+            places: dict[int, list[int]] = {}
+            if self.automaton.size[state] >= min_match:
+                for s, at in sorted(self.automaton.ends[state]):
+                    if s >= n:
+                        places.setdefault(s - n, []).append(at)
+            self.places.append(places)
         self.shortest = min([min_match, *map(len, texts_[:n])])
 
     def scan(self, text: str) -> Scan:
@@ -165,8 +229,15 @@ class Scanner:
             self._run(ids[a:b].tolist(), a, out, chains)
         for template, chain in chains.items():
             self._close(template, chain, out)
+        out.covered = [(self.labels[c[0]], c[1], c[2], min(1.0, c[3] / self.sizes[c[0]]), c[3]) for c in out.closed if self._counts(c, words)]
         return out
 
+    def _counts(self, chain: tuple[int, int, int, int], words: list[str]) -> bool:
+        """Whether a closed chain's words hold its template's keys."""
+        template, first, end, _ = chain
+        span = f" {' '.join(words[first:end])} "
+        return all(k in span for k in self.keys[template])
+
     def _run(self, ids: list[int], at: int, out: Scan, chains: dict[int, list[int]]) -> None:
         state = length = 0
         step, phrases = self.automaton.step, self.phrases
@@ -187,28 +258,44 @@ class Scanner:
         A chain is [first word, last word, last template place, covered words].
         """
         first = last - length + 1
-        for template, end in self.places[state]:
-            begin = end - length + 1
+        for template, ends in self.places[state].items():
             chain = chains.get(template)
             if chain is not None:
-                skipped, moved = first - chain[1] - 1, begin - chain[2] - 1
-                overlap = max(0, -skipped, -moved)
-                if overlap < length and skipped <= self.max_gap and moved <= self.max_gap and last > chain[1] and end > chain[2]:
-                    chain[1], chain[2] = last, end
-                    chain[3] += length - overlap
-                    continue
+                skipped = first - chain[1] - 1
+                if skipped <= self.max_gap and last > chain[1]:
+                    # the place that goes on with the chain, nearest to where its words stand in the text
+                    fits = ends[bisect_right(ends, chain[2]):bisect_right(ends, chain[2] + length + self.max_gap)]
+                    end = min(fits, key=lambda e: abs(e - length - chain[2] - skipped), default=None)
+                    overlap = max(0, -skipped, 0 if end is None else chain[2] + length - end)
+                    if end is not None and overlap < length:
+                        chain[1], chain[2] = last, end
+                        chain[3] += length - overlap
+                        continue
+                    if length < chain[3]:
+                        continue  # a stray match does not end a chain
                 if length <= chain[3] and last <= chain[1]:
                     continue
                 self._close(template, chain, out)
-            chains[template] = [first, last, end, length]
+            chains[template] = [first, last, ends[0], length]
 
     def _close(self, template: int, chain: list[int], out: Scan) -> None:
-        out.covered.append((self.labels[template], chain[0], chain[1] + 1, min(1.0, chain[3] / self.sizes[template])))
+        out.closed.append((template, chain[0], chain[1] + 1, chain[3]))
+
+
+def best_spans(covered: list[tuple[str, int, int, float, int]]) -> list[tuple[str, int, int, float]]:
+    """Covered spans in text order; of those that lie over each other, the one with the most covered words, then the largest share."""
+    kept: list[tuple[str, int, int, float]] = []
+    for label, first, end, share, _ in sorted(covered, key=lambda c: (-c[4], -c[3], c)):
+        if not any(min(end, k[2]) - max(first, k[1]) > OVERLAP * (end - first) for k in kept):
+            kept.append((label, first, end, share))
+    return sorted(kept, key=lambda c: (c[1], c))
 
 
 @lru_cache(maxsize=1)
 def default_scanner() -> Scanner:
-    return Scanner()
+    texts_ = files("seasonlens.llm") / "license_texts"
+    full = tuple((label, (texts_ / f"{name}.txt").read_text("utf-8"), keys) for label, name, keys in FULL_TEXTS)
+    return Scanner(templates=TEMPLATES + full)
 
 
 COVERED = T.ArrayType(T.StructType([
@@ -235,7 +322,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found = scanner.scan(text)
             starts = [s for s, _ in found.phrases]
             base = {label for _, label in found.phrases}
-            spans = sorted(c for c in found.covered if c[3] >= cover)
+            spans = best_spans([c for c in found.covered if c[3] >= cover])
             best = 1.0 if base else max((c[3] for c in found.covered), default=0.0)
             yield (found.n_words, len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
                    ",".join(sorted(base | {c[0] for c in spans})), best,

@@ -151,6 +151,24 @@ def test_license_rows(spark, odd, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_license_labels_need_the_words_that_tell_templates_apart(spark):
+    gpl = "This work is licensed under the GNU General Public License, version "
+    cc = "This work is licensed under a Creative Commons Attribution"
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+    full = {label: text for label, text, _ in licenses.TEMPLATES if label in ("bsd-2", "isc", "bsd-3", "unlicense")}
+    files = {name: (licenses.files("seasonlens.llm") / "license_texts" / f"{name}.txt").read_text() for _, name, _ in licenses.FULL_TEXTS}
+    want = [("the album was released under the name of a friend", ""), ("Released under the Apache License", ""), ("Released under the MIT License.", "mit"),
+            (cc + " 3.0 License", ""), (cc + "-NoDerivatives 4.0 International License", ""), (cc + " 4.0 International License", "cc-by-4"),
+            (cc + "-ShareAlike 4.0 International License", "cc-by-sa-4"), (cc + "-NonCommercial 4.0 International License", "cc-by-nc"),
+            (gpl + "2", "gpl-2"), (gpl + "3", "gpl-3"), (bsd, "bsd-3"), *((text, label) for label, text in full.items()),
+            *((files[name], label) for label, name, _ in licenses.FULL_TEXTS),
+            (files["GPL-3"].replace("convey", "hand over").replace("covered work", "work"), "gpl-3")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert [(t[:60], got[i].labels) for i, (t, _) in enumerate(want)] == [(t[:60], label) for t, label in want]
+    assert got[0].score == got[1].score == 0
+
+
 # --- secrets and personal data
 
 def base_secrets(text: str) -> list[tuple]:
