@@ -9,8 +9,9 @@ found from its ``@``, a numeric one from the start of a run of digits, a phone f
 
 Kinds, in order: ``email``, ``ip``, ``card``, ``phone`` (the base: reported whenever confirmed), then ``iban``
 (reported when mod 97 confirms it) and ``ssn`` (no checksum, so reported only if a context word supports it).
-Within a kind the matches are leftmost and do not overlap, and a match that its validator rejects is
-dropped without a second try inside it.
+Within a kind the matches are leftmost and do not overlap, and a match of a base kind that its validator rejects is
+dropped without a second try inside it.  An IBAN has its country's length; for a country without a known length the longest cut
+at the end of a group that mod 97 confirms is taken.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+IBAN_GROUP = re.compile(r"\x20?(?:[A-Z0-9]{4}|[A-Z0-9]{1,3}(?![A-Za-z0-9]))")
+IBAN_END = re.compile(r"(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
@@ -46,6 +49,12 @@ SUPPORT = {
 WEAKEN = {"email": ("example", "noreply"), "ip": ("version", "release"), "card": ("order", "isbn", "tracking"), "phone": ("555",),
           "iban": (), "ssn": ("order", "part", "invoice")}
 CONTEXT = 40
+# Lengths of IBANs by country, from the registry.
+IBAN_LENGTHS = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in countries.split()}
 STEP = 0.1
 SSN_LEAST = 0.4
 
@@ -82,6 +91,25 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, done))
 
 
+def _ibans(text: str):
+    m = IBAN_START.search(text)
+    while m:
+        start = m.start()
+        length = IBAN_LENGTHS.get(text[start:start + 2])
+        size, at, cuts = 4, m.end(), []
+        while size < (length or 34) and (group := IBAN_GROUP.match(text, at)):
+            size += len(group[0].lstrip(" "))
+            at = group.end()
+            if IBAN_END.match(text, at) and (size == length if length else 15 <= size <= 34):
+                cuts.append(at)
+            if len(group[0].lstrip(" ")) < 4:
+                break
+        end = next((e for e in reversed(cuts) if mod97(text[start:e].replace(" ", ""))), None)
+        if end:
+            yield start, end
+        m = IBAN_START.search(text, end or m.end())
+
+
 def _confirmed(text: str):
     for start, end in _emails(text):
         yield "email", start, end
@@ -94,9 +122,8 @@ def _confirmed(text: str):
     for m in PHONE.finditer(text):
         if 9 <= len(NOT_DIGIT.sub("", m[0])) <= 15:
             yield "phone", *m.span()
-    for m in IBAN.finditer(text):
-        if 15 <= len(iban := m[0].replace(" ", "")) <= 34 and mod97(iban):
-            yield "iban", *m.span()
+    for start, end in _ibans(text):
+        yield "iban", start, end
     for m in SSN.finditer(text):
         if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
             yield "ssn", *m.span()

@@ -222,6 +222,19 @@ def test_iban_and_context():
     assert pii.score("phone", "call +1 222 333 4444 now", 5, 20) > pii.score("phone", "555 +1 222 333 4444 now", 4, 19)
 
 
+@pytest.mark.parametrize("iban", ["ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "AT61 1904 3002 3457 3201", "NO93 8601 1117 947", "DE89 3704 0044 0532 0130 00"])
+@pytest.mark.parametrize("after", [" BIC CAIXESBB", " EUR 50", " SWIFT code", " A 1", ", paid", "", " UND MEHR", " AT61 1904 3002 3457 3201"])
+def test_iban_before_an_upper_case_word(iban, after):
+    found = [s for s in pii.find_spans(f"IBAN {iban}{after}") if s["kind"] == "iban"]
+    assert (found[0]["start"], found[0]["end"]) == (5, 5 + len(iban)) and len(found) == 1 + after.startswith(" AT61")
+
+
+def test_iban_of_a_country_without_a_known_length():
+    body = next(f"{i:02d}" for i in range(2, 99) if pii.mod97(f"ZZ{i:02d}123456789012"))
+    assert [(s["start"], s["end"]) for s in pii.find_spans(f"x ZZ{body} 1234 5678 9012 EUR") if s["kind"] == "iban"] == [(2, 21)]
+    assert not [s for s in pii.find_spans("ES91 2100 0418 4502 0005 1333 BIC") if s["kind"] == "iban"]
+
+
 def test_adversarial_lengths_are_linear():
     for text in ("1" * 200_000, "a" * 200_000, "@" * 200_000, "+" * 200_000, "1." * 100_000, "token " * 30_000, "AKIA" * 50_000, "f" * 200_000):
         secrets.find_spans(text)
