@@ -14,7 +14,8 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 # Distinct 3-word shingles, links at Jaccard 0.9, components by reachability.
 OP9 = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
   FROM documents
 ), shingles AS (
   SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS s
@@ -31,4 +32,41 @@ WITH RECURSIVE words AS (
 SELECT s.doc_id, s.n AS n_shingles, min(r.y) AS component_id FROM sizes s JOIN reach r ON r.x = s.doc_id GROUP BY ALL
 """
 
-ORACLE = {"op6_exact_dedup": OP6, "op9_jaccard": OP9}
+# Five filters by their conditions on words, characters and earlier equal texts; every order of them, step by step.
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS first_id FROM d
+), f AS (
+  SELECT doc_id, part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+         100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d, coalesce(first_id < doc_id, false) AS e FROM w
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), x AS (
+  SELECT part, (CASE WHEN a THEN 'A' ELSE '' END) || (CASE WHEN b THEN 'B' ELSE '' END) || (CASE WHEN c THEN 'C' ELSE '' END)
+         || (CASE WHEN d THEN 'D' ELSE '' END) || (CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+         coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL
+), letters(k) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')), orders AS (
+  SELECT p.k || q.k || r.k || s.k || t.k AS o FROM letters p, letters q, letters r, letters s, letters t
+  WHERE q.k <> p.k AND r.k NOT IN (p.k, q.k) AND s.k NOT IN (p.k, q.k, r.k) AND t.k NOT IN (p.k, q.k, r.k, s.k)
+), steps AS (
+  SELECT o, s.i AS step, substr(o, s.i, 1) AS k, substr(o, 1, s.i - 1) AS before FROM orders, (VALUES (1), (2), (3), (4), (5)) AS s(i)
+), rows AS (
+  SELECT x.part, o, step, k, n, good, toxic, contains(fails, k) AS fails_it, fails = k AS only_it,
+         (before <> '' AND translate(fails, before, '') <> fails) AS gone
+  FROM x, steps
+), sums AS (
+  SELECT part, o AS filter_order, step::INT AS step, k, sum(CASE WHEN NOT gone AND NOT fails_it THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN NOT gone AND fails_it THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN gone AND fails_it THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN only_it THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN NOT gone AND fails_it THEN n * good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN NOT gone AND fails_it THEN n * toxic ELSE 0 END)::BIGINT AS toxic_lost FROM rows GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM sums
+"""
+
+ORACLE = {"op6_exact_dedup": OP6, "op9_jaccard": OP9, "op11_filter_audit": OP11}
