@@ -138,40 +138,31 @@ def _orders() -> Column:
 def interactions(counted: DataFrame) -> DataFrame:
     """Every figure of every order and step, from the counts of ``failures``: one row per part, order and step."""
     every = 1 << len(FILTERS)
-    sums = []
-    for name, value in (("clear", F.col("n")), ("clear_good", F.col("n") * F.col("good")), ("clear_toxic", F.col("n") * F.col("toxic"))):
-        each = [F.sum(F.when(F.col("failed").bitwiseAND(F.lit(s)) == 0, value).otherwise(0)) for s in range(every)]
-        sums.append(F.array(*each).alias(name))
-    parts = counted.groupBy("part").agg(*sums)
-    rows = parts.select("part", "clear", "clear_good", "clear_toxic", F.explode(_orders()).alias("o")).select("part", "clear", "clear_good", "clear_toxic", "o.*")
+    disjoint = (F.col("failed").bitwiseAND(F.col("s")) == 0).cast("long")
+    sums = counted.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(every - 1)))).groupBy("part", "s").agg(
+        F.sum(F.col("n") * disjoint).alias("all"), F.sum(F.col("n") * F.col("good") * disjoint).alias("good"),
+        F.sum(F.col("n") * F.col("toxic") * disjoint).alias("toxic"))
+    # 32 entries a part: clear[s], the documents that fail no filter of s
+    parts = sums.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("s", "all", "good", "toxic"))).alias("clear"))
+    rows = parts.select("part", "clear", F.explode(_orders()).alias("o")).select("part", "clear", "o.*")
     bit = F.call_function("shiftleft", F.lit(1), F.col("bit"))
     after, only = F.col("before") + bit, F.lit(every - 1) - bit
 
-    def lost(array: str) -> Column:
-        return F.get(array, F.col("before")) - F.get(array, after)
+    def clear(s: Column, of: str = "all") -> Column:
+        return F.get("clear", s)[of]
 
-    return rows.select(
-        "part", "filter_order", "step",
-        F.get("clear", after).alias("kept"), lost("clear").alias("removed"),
-        (F.get("clear", F.lit(0)) - F.get("clear", bit) - lost("clear")).alias("redundant"),
-        (F.get("clear", only) - F.get("clear", F.lit(every - 1))).alias("unique_fails"),
-        lost("clear_good").alias("good_lost"), lost("clear_toxic").alias("toxic_lost"), _shapley("clear").alias("shapley"))
+    def lost(of: str) -> Column:
+        return clear(F.col("before"), of) - clear(after, of)
 
-
-def _shapley(array: str) -> Column:
-    """What the row's filter removes, summed over all orders: sets before it, each as often as orders have it there."""
+    # what the filter removes over all orders: sets before it, each as often as orders have it there
     n = len(FILTERS)
-    value = F.lit(None).cast("long")
-    for f in range(n):
-        others = [1 << g for g in range(n) if g != f]
-        total = F.lit(0).cast("long")
-        for size in range(n):
-            times = math.factorial(size) * math.factorial(n - 1 - size)
-            for chosen in itertools.combinations(others, size):
-                before = sum(chosen)
-                total = total + (F.get(array, F.lit(before)) - F.get(array, F.lit(before | 1 << f))) * times
-        value = F.when(F.col("bit") == f, total).otherwise(value)
-    return value
+    times = F.array(*(F.lit(math.factorial(k) * math.factorial(n - 1 - k)) for k in range(n)))
+    shapley = F.aggregate(F.sequence(F.lit(0), F.lit(every - 1)), F.lit(0).cast("long"), lambda total, s: total + F.when(
+        s.bitwiseAND(bit) == 0, (clear(s) - clear(s + bit)) * F.get(times, F.bit_count(s))).otherwise(0))
+    return rows.select("part", "filter_order", "step", clear(after).alias("kept"), lost("all").alias("removed"),
+                       (clear(F.lit(0)) - clear(bit) - lost("all")).alias("redundant"),
+                       (clear(only) - clear(F.lit(every - 1))).alias("unique_fails"),
+                       lost("good").alias("good_lost"), lost("toxic").alias("toxic_lost"), shapley.alias("shapley"))
 
 
 def audit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
