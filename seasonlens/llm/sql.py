@@ -69,4 +69,37 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
        (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley FROM sums
 """
 
-ORACLE = {"op6_exact_dedup": OP6, "op9_jaccard": OP9, "op11_filter_audit": OP11}
+# Line rules, then the share of words that remains; words inside five-word windows found twice or more.
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), spots AS (
+  SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5
+), twice AS (
+  SELECT r, unnest(list(i)) AS i FROM spots GROUP BY r, w[i:i + 4] HAVING count(*) > 1
+), covered AS (
+  SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY r
+), l AS (
+  SELECT r, line, trim(regexp_replace(lower(line), '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')) AS low,
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(line, '[|»›•·]')) AS items,
+         len(regexp_extract_all(line, '[!?！？#*$%&|<>]')) AS marks
+  FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), good AS (
+  SELECT r, count(*) - count(DISTINCT line) AS dup, sum(CASE WHEN
+    (items >= 2 AND items * 4 >= n) OR low IN ('home', 'menu', 'search', 'login', 'log in', 'sign in', 'sign up', 'register', 'next', 'previous', 'back',
+      'back to top', 'share', 'read more', 'more', 'contact', 'contact us', 'about', 'about us', 'sitemap', 'skip to content', 'skip to main content',
+      'print', 'reply')
+    OR (n <= 40 AND regexp_matches(low, 'lorem ipsum|javascript|cookie policy|uses cookies|use cookies|use of cookies|privacy policy|terms of use|terms of service|terms and conditions|all rights reserved|powered by|click here|subscribe to our newsletter|follow us on'))
+    OR NOT regexp_matches(line, '[.!?…。！？؟।]["''“”‘’»」)\]]*[\x20\x09-\x0D]*$') OR (marks >= 3 AND marks * 4 >= n) THEN 0 ELSE n END) AS kept_words
+  FROM l GROUP BY r
+), base AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+         coalesce(kept_words, 0) AS kept_words
+  FROM d LEFT JOIN covered c USING (r) LEFT JOIN good USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * kept_words >= 50 * n_words AS kept, kept_words::BIGINT AS kept_words FROM base
+"""
+
+ORACLE = {"op6_exact_dedup": OP6, "op9_jaccard": OP9, "op11_filter_audit": OP11, "op12_line_quality": OP12}
