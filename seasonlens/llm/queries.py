@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seasonlens.llm import bpe, exact_dedup, filter_audit, html_text, itq, jaccard, licenses, line_quality, packing, pii, secrets, toxicity
+from seasonlens.llm import bpe, exact_dedup, filter_audit, html_text, itq, jaccard, licenses, line_quality, packing, pii, prefix_trie, secrets, toxicity
 from seasonlens.llm.common import table
 from seasonlens.llm.spans import listed, of_kinds
 
@@ -73,6 +73,10 @@ def op12_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_words")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuild(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_licenses, op3_html, op4_bpe, op5_secrets, op6_exact_dedup, op7_toxicity, op8_pii, op9_jaccard, op10_itq,
-    op11_filter_audit, op12_line_quality)}
+    op11_filter_audit, op12_line_quality, op13_prefix_trie)}

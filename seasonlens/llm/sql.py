@@ -102,4 +102,35 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * kept_words >= 50 * n_words AS kept, kept_words::BIGINT AS kept_words FROM base
 """
 
-ORACLE = {"op6_exact_dedup": OP6, "op9_jaccard": OP9, "op11_filter_audit": OP11, "op12_line_quality": OP12}
+# Rebuilt conversations, every distinct prefix of them, and sums over the nodes below it (CRC-32 bit by bit).
+OP13 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS v FROM t GROUP BY conv_id
+), hashed AS (
+  SELECT conv_id, v, conv_id - conv_id % 100 AS base, xor(list_reduce(
+    list_concat([4294967295], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), 4294967295) % 6 AS h FROM own
+), rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.v, [])[1:a.h], a.v[a.h + 1:]) AS p FROM hashed a LEFT JOIN own b ON b.conv_id = a.base
+), members AS (
+  SELECT conv_id, d, p[1:d] AS p, len(p) = d AS ends FROM (SELECT conv_id, p, unnest(range(0, len(p) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM members GROUP BY p, d
+), kids AS (
+  SELECT p[1:d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1
+), valued AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children, CASE WHEN d = 0 THEN 0 ELSE (n_convs - 1) * length(n.p[d].t) END AS saved FROM nodes n LEFT JOIN kids k ON k.p = n.p
+), sums AS (
+  SELECT p[1:e] AS p, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT p, n_children, saved, unnest(range(0, d + 1)) AS e FROM valued) GROUP BY 1
+)
+SELECT v.conv_id, v.d AS depth, CASE WHEN v.d > 0 THEN up.conv_id END AS parent_conv_id, v.n_convs, v.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, v.ends_sha256
+FROM valued v JOIN sums s ON s.p = v.p LEFT JOIN nodes up ON up.p = v.p[1:v.d - 1] AND up.d = v.d - 1
+"""
+
+ORACLE = {"op6_exact_dedup": OP6, "op9_jaccard": OP9, "op11_filter_audit": OP11, "op12_line_quality": OP12,
+          "op13_prefix_trie": OP13}
