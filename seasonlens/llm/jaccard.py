@@ -19,12 +19,21 @@ its share of the check) is summed over the histogram of set sizes, and the cheap
 **Candidates**: the pairs of a list of ordinary length, where size and place allow a link and where what both hold of the counted
 share leaves enough to be shared outside it; this rules out nearly all unrelated pairs before full sets are read.
 
-**Hot lists**: the members of a longer list form
-the group of a pivot and are all checked against it (a star), which joins a large group of near copies in linear work.
-The check also tells what each member shares with the pivot and which of its other elements no other member of the
-group has; both bound what two members can share.  Members that can reach nobody drop out; of the others, only pairs that the bounds allow and that no pivot joins are
-checked (while a group still holds many, a member that no pivot has joined becomes a further pivot).  Nothing is capped; every
-candidate is checked on the full sets.
+**Hot lists**: the members of a longer list form the group of a pivot and are all checked against it (a star), which joins a large group of near copies in
+linear work.  The check also tells what each member shares with the pivot and which of its other elements no other member of the
+group has; members that can reach nobody by these bounds drop out.
+
+**Difference sets** decide the rest of a group exactly.  Members near the pivot are described by their symmetric difference from it, the others by their whole
+set (two linked members are both near, or both not: the symmetric difference is a metric).  From a *centre*, the elements that more than half of a group hold, every
+member has a difference set ``D``, and with ``w = (100 + percent) |D| - (100 - percent) n`` two members link exactly when ``w_a + w_b <= 2 (100 + percent) |D_a & D_b|``.  So:
+
+* a star to the member with the least ``w`` joins what it links with;
+* two members that this star does not join both must share at least ``lo`` elements of ``D`` that two or more members hold, where
+  ``lo`` follows from a member's ``w`` and the least ``w`` of a possible partner; a member that has fewer drops out;
+* the first ``|D| - lo + 1`` of these elements, rare ones first, are listed; short lists give pairs, which ``D`` decides exactly;
+* a long list is a group with a centre of its own, at most half as large, and goes the same way again.  Lists with the same members are one group.
+
+Nothing is capped, and no pair of a long list is formed.
 
 Shingles are 63-bit hashes of word hashes, and a set's identity is its size with two 63-bit sums over its shingles.
 """
@@ -52,9 +61,10 @@ COUNTED = 2.0
 ENTRY_COST = 8
 # Largest boundary that is considered.
 MAX_LIGHT = 40
-# Further pivots of a group; they end early when few comparisons remain (as a multiple of the group's members).
-ROUNDS = 3
-FEW = 50
+# Members within so many link lengths of a pivot are described by their difference from it.
+NEAR = 3
+# Members of a group that meet its centre in one task.
+SHARE = 1000
 # Longest list whose pairs are candidates themselves.
 SHORT = 64
 # Words whose hashes a task keeps.
@@ -282,56 +292,154 @@ def _candidates(lists: DataFrame, classes: DataFrame, percent: int) -> tuple[Dat
     return direct, group
 
 
+def _distance(n: Column, m: Column, shared: Column) -> Column:
+    return n + m - 2 * shared
+
+
+def _starred(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``_checked`` with ``apart``: the symmetric difference, for members that a member near the pivot may link with; else NULL."""
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("all").alias("all_a"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("all").alias("all_b"))
+    met = star.join(two, "b").join(one, "a").withColumn("extra", F.array_except("all_b", "all_a")).withColumn("shared", F.col("m") - F.size("extra"))
+    k = (100 - percent) / (100 + percent)
+    halo = k * (NEAR * F.col("n") + ((NEAR + 1) * 100 / percent + 1) * F.col("m")) + 1
+    apart = F.when(_distance(F.col("n"), F.col("m"), F.col("shared")) <= halo, F.concat(F.array_except("all_a", "all_b"), "extra"))
+    return met.select("a", "b", "n", "m", "shared", "extra", apart.alias("apart"))
+
+
 def _heavy_edges(direct: DataFrame, group: DataFrame, sets: DataFrame, light: DataFrame, percent: int) -> DataFrame:
     """Edges of the heavy side and ``light``, the edges already known; staged."""
     links = _fits(F.col("n"), F.col("m"), F.col("shared"), percent)
     star = group.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    found = staged(_checked(direct.unionByName(star).distinct(), sets), "checked")
-    first = found
-    reaches = _reaches(found.join(group.select(F.col("pivot").alias("a")).distinct(), "a", "left_semi"), percent)
-    edges = [light, found.where(links).select("a", "b")]
-    tried = [found.select("a", "b")]
-    joined = found.where(links).select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.lit(0).alias("by"))
-    reach = F.least("n", F.col("common") + F.col("rest"))
-    members = group.join(reaches, ["pivot", "node"], "left").join(joined, ["pivot", "node"], "left").withColumns({
-        "common": F.coalesce("common", "n"), "rest": F.coalesce("rest", F.lit(0)),  # a pivot shares all it has with itself
-        "by": F.when(F.col("node") == F.col("pivot"), 0).otherwise(F.col("by"))})
-    members = staged(members.where(reach * 100 >= F.col("n") * percent), "members")
-    spent = [found, members]
-    for turn in range(1, ROUNDS + 1):
-        left = members.groupBy("pivot").agg(F.count(F.lit(1)).cast("double").alias("all"), F.count(F.when(F.col("by").isNull() | (F.col("by") > 0), 1)).alias("out"))
-        state = left.agg(F.sum(F.col("all") * F.col("out")).alias("comparisons"), F.sum("all").alias("members")).first()
-        if (state["comparisons"] or 0) <= FEW * (state["members"] or 0):
-            break
-        next_ = members.where("by is null").groupBy("pivot").agg(F.min(F.struct("alone", "n", "node"))["node"].alias("a"))
-        pairs = members.where("by is null").join(next_, "pivot").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-        found = staged(_checked(pairs.join(_union(tried), ["a", "b"], "left_anti"), sets).drop("extra"), "checked")
-        edges.append(found.where(links).select("a", "b"))
-        tried.append(found.select("a", "b"))
-        mine = next_.join(found.where(links).select("a", F.col("b").alias("node")), "a").select("pivot", "node") \
-            .unionByName(next_.select("pivot", F.col("a").alias("node"))).distinct().withColumn("now", F.lit(turn))
-        members = staged(members.join(mine, ["pivot", "node"], "left").withColumn("by", F.coalesce("by", "now")).drop("now"), "members")
-        spent += [found, members]
-    x, y = members.where("by is null or by > 0").alias("x"), members.alias("y")
-    once = F.col("y.by").eqNullSafe(F.lit(0)) | (F.col("x.node") < F.col("y.node"))
-    apart = F.col("x.by").isNull() | F.col("y.by").isNull() | (F.col("x.by") != F.col("y.by"))
-    most = F.least("x.common", "y.common") + F.least("x.rest", "y.rest")
-    rest = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & once & apart & _fits(F.col("x.n"), F.col("y.n"), most, percent)) \
-        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).where("a < b").distinct()
-    done = _union(tried)
-    rest = rest.join(done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-    edges.append(_checked(rest, sets).where(links).select("a", "b"))
+    pairs = staged(_checked(direct.join(star, ["a", "b"], "left_anti"), sets).where(links).select("a", "b"), "linked")
+    found = staged(_starred(star, sets, percent), "starred")
+    joined = staged(found.where(links).select("a", "b"), "joined")
+    reaches = _reaches(found, percent)
+    reach = F.least("m", F.col("common") + F.col("rest"))
+    members = found.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "n", "m", "shared", "apart").join(
+        reaches, ["pivot", "node"]).where(reach * 100 >= F.col("m") * percent)
+    k = (100 - percent) / (100 + percent)
+    members = staged(members.withColumn("far", _distance(F.col("n"), F.col("m"), F.col("shared")) > NEAR * k * (F.col("n") + F.col("m"))), "members")
+    pivots = members.where("apart is not null").select("pivot", "n").distinct()
+    near = members.where("apart is not null").select("pivot", "node", F.col("m").alias("n"), F.col("apart").alias("e")).unionByName(
+        pivots.select("pivot", F.col("pivot").alias("node"), "n", F.array().cast("array<long>").alias("e")))
+    far = members.where("far").select("pivot", "node").join(sets, "node").select("pivot", "node", "n", F.col("all").alias("e"))
+    rows = near.withColumn("far", F.lit(0)).unionByName(far.withColumn("far", F.lit(1)))
+    rows = rows.select(F.xxhash64("pivot", "far").alias("g"), "node", "n", F.size("e").alias("size"), "e")
+    apart = _difference_edges(rows, percent)
     # every node hangs on one partner of the first check, and the other links are between these partners
-    hung = first.where(links).groupBy("b").agg(F.min("a").alias("on")).select(F.col("b").alias("node"), "on")
-    moved = _union(edges)
+    hung = pairs.unionByName(joined).groupBy("b").agg(F.min("a").alias("on")).select(F.col("b").alias("node"), "on")
+    moved = _union([light, pairs, joined, apart])
     for end in "ab":
         moved = moved.join(hung.select(F.col("node").alias(end), F.col("on").alias(f"{end}_on")), end, "left")
     moved = moved.select(F.coalesce("a_on", "a").alias("a"), F.coalesce("b_on", "b").alias("b")).where("a <> b")
     out = staged(moved.unionByName(hung.select(F.col("node").alias("a"), F.col("on").alias("b"))).distinct(), "links")
+    unstage(found, pairs, joined, members, apart)
+    return out
+
+
+def _difference_edges(rows: DataFrame, percent: int) -> DataFrame:
+    """Edges inside groups; ``rows`` has (g, node, n, size, e): a member's set from a common origin, of ``size`` elements in all.
+
+    Staged (a, b), whose components are those of all links between two members of a group.  Each turn of the loop treats the groups at hand and makes
+    those of their long lists, which are at most half as large.
+    """
+    spark = rows.sparkSession
+    parts = [spark.createDataFrame([], "a long, b long")]
+    spent = []
+    rows = staged(rows, "differences")
+    while not rows.isEmpty():
+        centred = staged(_centred(rows, percent), "centred")
+        starred = staged(_least_star(centred, percent), "starred")
+        lists = staged(_difference_lists(starred, percent), "difference-lists")
+        edges = staged(starred.where("linked and node <> m").select(F.col("m").alias("a"), F.col("node").alias("b"))
+                       .unionByName(_list_pairs(lists, starred, percent)).distinct(), "difference-edges")
+        parts.append(edges)
+        next_ = lists.where(F.col("held") > SHORT).join(starred.select("g", "node", "n", "size", "e"), ["g", "node"])
+        next_ = staged(next_.select(F.xxhash64("g", "token").alias("g"), "node", "n", "size", "e"), "differences")
+        unstage(rows, centred, starred, lists)
+        spent.append(edges)
+        rows = next_
+    unstage(rows)
+    out = staged(_union(parts).distinct(), "apart")
     unstage(*spent)
     return out
 
 
+def _in_shares(rows: DataFrame, of_group: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` with its group's row of ``of_group``, which meets the group's members in shares of about SHARE."""
+    shares = members.select("g", F.ceil(F.col("members") / SHARE).cast("int").alias("shares"))
+    spread = of_group.join(shares, "g").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    dealt = rows.join(shares, "g").withColumn("share", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int")).drop("shares")
+    return dealt.join(spread, ["g", "share"], "left").drop("share")
+
+
+def _centred(rows: DataFrame, percent: int) -> DataFrame:
+    """(g, node, n, size, w, e) from the centre of each group; ``e`` keeps the elements that another member has too, rare ones first."""
+    members = rows.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    counts = rows.select("g", F.explode("e").alias("x")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    counts = counts.join(members, "g").withColumn("central", 2 * F.col("held") > F.col("members"))
+    counts = counts.withColumn("now", F.when(F.col("central"), F.col("members") - F.col("held")).otherwise(F.col("held")))
+    centre = counts.where("central").groupBy("g").agg(F.collect_list("x").alias("centre"))  # at most twice a member's mean size
+    met = _in_shares(rows, centre, members)
+    centre_of = F.coalesce("centre", F.array().cast("array<long>"))
+    moved = met.withColumn("moved", F.concat(F.array_except("e", centre_of), F.array_except(centre_of, "e")))
+    moved = moved.select("g", "node", "n", (F.col("size") - F.size("e") + F.size("moved")).alias("size"), F.explode_outer("moved").alias("x"))
+    held = moved.join(counts.where("now > 1").select("g", "x", "now"), ["g", "x"], "left")
+    whole = held.groupBy("g", "node", "n", "size").agg(F.sort_array(F.collect_list(F.when(F.col("now").isNotNull(), F.struct("now", "x")))).alias("e"))
+    w = F.col("size") * (100 + percent) - F.col("n") * (100 - percent)
+    return whole.select("g", "node", "n", "size", w.cast("long").alias("w"), F.transform("e", lambda v: v["x"]).alias("e"))
+
+
+def _least_star(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` with ``m``, the member of least ``w``, ``linked`` (with it, or it), and ``lo``, the least overlap with a partner that matters.
+
+    Members that can link with nobody but through the star have a NULL ``lo``.
+    """
+    unit = 2 * (100 + percent)
+    top = rows.groupBy("g").agg(F.min(F.struct("w", "node")).alias("least"), F.count(F.lit(1)).alias("members"),
+                                F.max(unit * F.size("e") - F.col("w")).alias("reach"))
+    best = rows.join(top.select("g", F.col("least.node").alias("node"), "reach"), ["g", "node"]).select(
+        "g", F.col("node").alias("m"), F.col("w").alias("w_m"), F.col("e").alias("e_m"), "reach")
+    met = _in_shares(rows, best, top)
+    linked = (F.col("node") == F.col("m")) | (F.col("w") + F.col("w_m") <= unit * F.size(F.array_intersect("e", "e_m")))
+    met = met.withColumn("linked", linked)
+    open_ = (F.col("w") <= F.col("reach")) & (unit * F.size("e") - F.col("w") >= F.col("w_m"))
+    met = met.withColumn("open", open_).drop("e_m", "reach")
+    others = met.where("open and not linked").groupBy("g").agg(F.min("w").alias("w_other"))
+    met = _in_shares(met, others, top)
+    partner = F.when(F.col("linked"), F.col("w_other")).otherwise(F.when(F.col("w_other").isNotNull(), F.col("w_m")))
+    lo = F.greatest(F.ceil((F.col("w") + partner) / unit), F.lit(1))
+    return met.withColumn("lo", F.when(F.col("open") & (lo <= F.size("e")), lo)).select("g", "node", "n", "size", "w", "e", "m", "linked", "lo")
+
+
+def _difference_lists(rows: DataFrame, percent: int) -> DataFrame:
+    """(g, token, node, linked, held): listed elements with their members, each set of members once."""
+    first = F.slice("e", F.lit(1), (F.size("e") - F.col("lo") + 1).cast("int"))
+    entries = rows.where("lo is not null").select("g", "node", "linked", F.explode(first).alias("token"))
+    hashes = [F.bit_xor(F.xxhash64(F.col("node"), F.lit(i))).alias(f"h{i}") for i in range(2)]
+    lists = entries.groupBy("g", "token").agg(F.count(F.lit(1)).alias("held"), F.count(F.when(~F.col("linked"), 1)).alias("apart"), *hashes)
+    lists = lists.where("held > 1 and apart > 0").groupBy("g", "held", "h0", "h1").agg(F.min("token").alias("token"))
+    return entries.join(lists.select("g", "token", "held"), ["g", "token"])
+
+
+def _candidate_pairs(lists: DataFrame) -> DataFrame:
+    """(g, a, b): the pairs of short lists that no star joins."""
+    short = lists.where(F.col("held") <= SHORT)
+    x, y = short.alias("x"), short.alias("y")
+    return x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node"))
+                  & ~(F.col("x.linked") & F.col("y.linked"))).select("x.g", F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+
+
+def _list_pairs(lists: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the linked pairs of short lists, decided by their difference sets."""
+    pairs = _candidate_pairs(lists)
+    for end in "ab":
+        pairs = pairs.join(rows.select("g", F.col("node").alias(end), F.col("w").alias(f"w_{end}"), F.col("e").alias(f"e_{end}")), ["g", end])
+    common = F.size(F.array_intersect("e_a", "e_b"))
+    return pairs.where(F.col("w_a") + F.col("w_b") <= 2 * (100 + percent) * common).select("a", "b")
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     whole = parts[0]
     for part in parts[1:]:

@@ -130,10 +130,11 @@ def near_copies(seed, n=160):
     return [(i * 3 + 1, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("k", "percent", "seed", "few"), [(3, 90, 1, 2), (5, 80, 2, 2), (3, 80, 3, 0), (2, 50, 4, 0)])
-def test_jaccard_equals_brute_force(spark, monkeypatch, k, percent, seed, few):
-    monkeypatch.setattr(jaccard, "FEW", few)  # 0: every further pivot, then what is left
-    monkeypatch.setattr(jaccard, "SHORT", 2 if few else 3)
+@pytest.mark.parametrize(("k", "percent", "seed", "short", "near"), [(3, 90, 1, 2, 3), (5, 80, 2, 1, 3), (2, 50, 4, 3, 0)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, k, percent, seed, short, near):
+    monkeypatch.setattr(jaccard, "SHORT", short)  # nearly every list is a group
+    monkeypatch.setattr(jaccard, "NEAR", near)
+    monkeypatch.setattr(jaccard, "SHARE", 7)
     rows = near_copies(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, rows).repartition(3), k=k, percent=percent).collect()}
     want = jaccard_by_force(rows, k, percent)
@@ -141,6 +142,46 @@ def test_jaccard_equals_brute_force(spark, monkeypatch, k, percent, seed, few):
     assert len(set(r for _, r in want.values())) < len(rows)
 
 
+def scattered_edits(members, words=120, changes=4, seed=9):
+    """Copies of one text with 1 to ``changes`` words changed, each in places of its own: many pairs are near the threshold and most are not linked."""
+    rng = random.Random(seed)
+    text = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    rows = []
+    for i in range(members):
+        mine = list(text)
+        for at in rng.sample(range(words), rng.randrange(1, changes + 1)):
+            mine[at] = f"c{rng.randrange(10**9)}"
+        rows.append((i, " ".join(mine)))
+    return rows
+
+
+@pytest.mark.parametrize(("k", "percent", "words", "changes"), [(3, 90, 120, 4), (5, 80, 150, 5)])
+def test_a_group_of_near_copies_costs_linear_work(spark, monkeypatch, k, percent, words, changes):
+    counted = {}
+
+    def counting(name):
+        real = getattr(jaccard, name)
+
+        def call(*args):
+            made = real(*args)
+            counted[name] = counted.get(name, 0) + made.count()
+            return made
+
+        monkeypatch.setattr(jaccard, name, call)
+
+    for name in ("_difference_lists", "_candidate_pairs"):
+        counting(name)
+    made = []
+    for members in (300, 1200):
+        counted.clear()
+        rows = scattered_edits(members, words, changes)
+        found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs_of(spark, rows).repartition(4), k=k, percent=percent).collect()}
+        if members < 1200:
+            assert found == jaccard_by_force(rows, k, percent)
+        made.append(sum(counted.values()) / members)
+    assert made[1] <= 2 * made[0] + 5, made  # a member's share of the work stays the same
+
+
 @pytest.mark.parametrize("light", [0, 30])
 def test_jaccard_boundary_does_not_change_the_result(spark, monkeypatch, light):
     monkeypatch.setattr(jaccard, "boundary", lambda sizes, percent: light)
