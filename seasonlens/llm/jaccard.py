@@ -23,8 +23,8 @@ share leaves enough to be shared outside it; this rules out nearly all unrelated
 linear work.  The check also tells what each member shares with the pivot and which of its other elements no other member of the
 group has; members that can reach nobody by these bounds drop out.
 
-**Difference sets** decide the rest of a group exactly.  Members near the pivot are described by their symmetric difference from it, the others by their whole
-set (two linked members are both near, or both not: the symmetric difference is a metric).  From a *centre*, the elements that more than half of a group hold, every
+**Difference sets** decide the rest of a group exactly.  Members near the pivot are described by their symmetric difference from it; the others get a pivot of their own, and
+after a few rounds their whole set (two linked members are both near, or both far: the symmetric difference is a metric, and members about the border are both).  From a *centre*, the elements that more than half of a group hold, every
 member has a difference set ``D``, and with ``w = (100 + percent) |D| - (100 - percent) n`` two members link exactly when ``w_a + w_b <= 2 (100 + percent) |D_a & D_b|``.  So:
 
 * a star to the member with the least ``w`` joins what it links with;
@@ -63,6 +63,10 @@ ENTRY_COST = 8
 MAX_LIGHT = 40
 # Members within so many link lengths of a pivot are described by their difference from it.
 NEAR = 3
+# Further pivots that members far from theirs are held against before whole sets are used.
+ROUNDS = 3
+# Members of a group from which its first origin is taken.
+LOOK = 64
 # Members of a group that meet its centre in one task.
 SHARE = 1000
 # Longest list whose pairs are candidates themselves.
@@ -248,7 +252,8 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _reaches(found: DataFrame, percent: int) -> DataFrame:
-    """(pivot, node, common, rest): elements a node shares with its pivot, and how many others it may share with a node of the pivot's group.
+    """(pivot, node, common, rest, mine): elements a node shares with its pivot, how many others it may share with a node of the pivot's group,
+    and elements that no node which it could be linked with has.
 
     ``rest`` leaves out the elements that no other node of the group has.  To tell these, nodes show their extra elements: all
     of them, or, the less they share with the pivot, only those in a smaller part of the hash range.  A node counts as
@@ -268,10 +273,10 @@ def _reaches(found: DataFrame, percent: int) -> DataFrame:
                          F.explode(F.filter("extra", lambda e: e / float(2**63) < part(F.col("shared") / F.col("m")))).alias("e"))
     own = shown.groupBy("a", "e").agg(F.count(F.lit(1)).alias("held"), F.min("b").alias("b"), F.min("share").alias("share")) \
         .where((F.col("held") == 1) & (place < part(F.col("share") - apart))) \
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("own"))
+        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("own"), F.collect_list("e").alias("mine"))
     rest = F.col("m") - F.col("shared") - F.coalesce("own", F.lit(0))
     return found.select("a", "b", "m", "shared").join(own, ["a", "b"], "left") \
-        .select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("shared").alias("common"), rest.alias("rest"))
+        .select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("shared").alias("common"), rest.alias("rest"), F.coalesce("mine", F.array().cast("array<long>")).alias("mine"))
 
 
 def _candidates(lists: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -307,34 +312,74 @@ def _starred(star: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b", "n", "m", "shared", "extra", apart.alias("apart"))
 
 
-def _heavy_edges(direct: DataFrame, group: DataFrame, sets: DataFrame, light: DataFrame, percent: int) -> DataFrame:
-    """Edges of the heavy side and ``light``, the edges already known; staged."""
-    links = _fits(F.col("n"), F.col("m"), F.col("shared"), percent)
+def _merged(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``group`` with the groups of pivots near each other as one: a family of near copies has many long lists, but one star then.
+
+    Of two such pivots the one with fewer elements of its own takes the other's members; members that are far from it are told apart later.
+    """
+    pivots = group.where("node = pivot").select("pivot", F.struct("alone", "n", "pivot").alias("order"))
+    met = group.join(pivots.select("pivot", F.col("order").alias("first")), "pivot") \
+        .join(pivots.select(F.col("pivot").alias("node"), "order"), "node").where(F.col("first") < F.col("order"))
+    found = _checked(met.select(F.col("pivot").alias("a"), F.col("node").alias("b")), sets)
+    k = (100 - percent) / (100 + percent)
+    close = found.where(_distance(F.col("n"), F.col("m"), F.col("shared")) <= NEAR * k * (F.col("n") + F.col("m")))
+    into = close.join(pivots.select(F.col("pivot").alias("a"), "order"), "a").groupBy("b").agg(F.min("order")["pivot"].alias("into")).withColumnRenamed("b", "pivot")
+    moved = group.join(into, "pivot", "left").select(F.coalesce("into", "pivot").alias("pivot"), "node", "n", "alone")
+    # the new pivot is a member of its group whether or not it stood in the lists that moved
+    return moved.dropDuplicates(["pivot", "node"])
+
+
+def _around(group: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Staged: edges (a, b) to the pivots of ``group``, members near their pivot (g, node, n, size, e), and the members far from it, as ``group``."""
     star = group.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    pairs = staged(_checked(direct.join(star, ["a", "b"], "left_anti"), sets).where(links).select("a", "b"), "linked")
     found = staged(_starred(star, sets, percent), "starred")
-    joined = staged(found.where(links).select("a", "b"), "joined")
-    reaches = _reaches(found, percent)
+    joined = staged(found.where(_fits(F.col("n"), F.col("m"), F.col("shared"), percent)).select("a", "b"), "joined")
     reach = F.least("m", F.col("common") + F.col("rest"))
-    members = found.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "n", "m", "shared", "apart").join(
-        reaches, ["pivot", "node"]).where(reach * 100 >= F.col("m") * percent)
+    # members near the pivot show all their extra elements if they share enough with it: then what is shown once is held once
     k = (100 - percent) / (100 + percent)
-    members = staged(members.withColumn("far", _distance(F.col("n"), F.col("m"), F.col("shared")) > NEAR * k * (F.col("n") + F.col("m"))), "members")
+    at_border = 1 - k * ((NEAR + 1) * 100 / percent + 1)
+    shown = (at_border / (1 + k * NEAR) * (1 - k * NEAR) + at_border) / 2 >= percent / (100 + percent)
+    members = found.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "n", "m", "shared", "apart").join(
+        _reaches(found, percent), ["pivot", "node"]).where(reach * 100 >= F.col("m") * percent)
+    members = staged(members, "members")
     pivots = members.where("apart is not null").select("pivot", "n").distinct()
-    near = members.where("apart is not null").select("pivot", "node", F.col("m").alias("n"), F.col("apart").alias("e")).unionByName(
-        pivots.select("pivot", F.col("pivot").alias("node"), "n", F.array().cast("array<long>").alias("e")))
-    far = members.where("far").select("pivot", "node").join(sets, "node").select("pivot", "node", "n", F.col("all").alias("e"))
-    rows = near.withColumn("far", F.lit(0)).unionByName(far.withColumn("far", F.lit(1)))
-    rows = rows.select(F.xxhash64("pivot", "far").alias("g"), "node", "n", F.size("e").alias("size"), "e")
-    apart = _difference_edges(rows, percent)
-    # every node hangs on one partner of the first check, and the other links are between these partners
-    hung = pairs.unionByName(joined).groupBy("b").agg(F.min("a").alias("on")).select(F.col("b").alias("node"), "on")
-    moved = _union([light, pairs, joined, apart])
+    none = F.array().cast("array<long>")
+    seen = F.array_except("apart", F.col("mine") if shown else none)
+    near = members.where("apart is not null").select("pivot", "node", F.col("m").alias("n"), F.size("apart").alias("size"), seen.alias("e")).unionByName(
+        pivots.select("pivot", F.col("pivot").alias("node"), "n", F.lit(0).alias("size"), none.alias("e")))
+    far = members.where(_distance(F.col("n"), F.col("m"), F.col("shared")) > NEAR * k * (F.col("n") + F.col("m"))).select("pivot", "node")
+    far = staged(far.join(group, ["pivot", "node"]), "far")
+    rows = staged(near.select(F.xxhash64("pivot").alias("g"), "node", "n", "size", "e"), "near")
+    unstage(found, members)
+    return joined, rows, far
+
+
+def _heavy_edges(direct: DataFrame, group: DataFrame, sets: DataFrame, light: DataFrame, percent: int) -> DataFrame:
+    """Edges of the heavy side and ``light``, the edges already known; staged."""
+    pairs = staged(_checked(direct, sets).where(_fits(F.col("n"), F.col("m"), F.col("shared"), percent)).select("a", "b"), "linked")
+    far = staged(_merged(group, sets, percent), "merged")
+    stars, rows, spent = [pairs], [], [pairs, far]
+    for turn in range(ROUNDS):
+        if turn:  # the member with the fewest elements of its own becomes the pivot
+            next_ = far.groupBy("pivot").agg(F.min(F.struct("alone", "n", "node"))["node"].alias("next"))
+            far = far.join(next_, "pivot").select(F.col("next").alias("pivot"), "node", "n", "alone").dropDuplicates(["pivot", "node"])
+        if far.isEmpty():
+            break
+        joined, near, far = _around(far, sets, percent)
+        stars.append(joined)
+        rows.append(near.withColumn("g", F.xxhash64("g", F.lit(turn))))
+        spent += [joined, near, far]
+    rows.append(far.join(sets.select("node", "all"), "node").select(
+        F.xxhash64("pivot", F.lit(-1)).alias("g"), "node", "n", F.size("all").alias("size"), F.col("all").alias("e")))
+    apart = _difference_edges(_union(rows), percent)
+    # every node hangs on one partner of the first checks, and the other links are between these partners
+    hung = _union(stars).groupBy("b").agg(F.min("a").alias("on")).select(F.col("b").alias("node"), "on")
+    moved = _union([light, *stars, apart])
     for end in "ab":
         moved = moved.join(hung.select(F.col("node").alias(end), F.col("on").alias(f"{end}_on")), end, "left")
     moved = moved.select(F.coalesce("a_on", "a").alias("a"), F.coalesce("b_on", "b").alias("b")).where("a <> b")
     out = staged(moved.unionByName(hung.select(F.col("node").alias("a"), F.col("on").alias("b"))).distinct(), "links")
-    unstage(found, pairs, joined, members, apart)
+    unstage(*spent, apart)
     return out
 
 
@@ -349,9 +394,9 @@ def _difference_edges(rows: DataFrame, percent: int) -> DataFrame:
     spent = []
     rows = staged(rows, "differences")
     while not rows.isEmpty():
-        centred = staged(_centred(rows, percent), "centred")
+        centred = _centred(rows, percent)
         starred = staged(_least_star(centred, percent), "starred")
-        lists = staged(_difference_lists(starred, percent), "difference-lists")
+        lists = _difference_lists(starred, percent)
         edges = staged(starred.where("linked and node <> m").select(F.col("m").alias("a"), F.col("node").alias("b"))
                        .unionByName(_list_pairs(lists, starred, percent)).distinct(), "difference-edges")
         parts.append(edges)
@@ -374,21 +419,41 @@ def _in_shares(rows: DataFrame, of_group: DataFrame, members: DataFrame) -> Data
     return dealt.join(spread, ["g", "share"], "left").drop("share")
 
 
+def _shifted(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` from another origin: the elements that more than half of some LOOK members of the group hold.
+
+    Any origin gives the same links; this one makes the difference sets short before they are counted.
+    """
+    looks = F.pmod(F.xxhash64("node", F.lit(3)), F.ceil(F.col("members") / LOOK).cast("int")) == 0
+    some = rows.join(members, "g").where(looks).select("g", "node", "e")
+    held = some.select("g", F.explode("e").alias("x")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("held"))
+    most = held.join(some.groupBy("g").agg(F.count(F.lit(1)).alias("seen")), "g").where("2 * held > seen")
+    return _from_centre(rows, most.groupBy("g").agg(F.collect_list("x").alias("centre")), members)
+
+
+def _from_centre(rows: DataFrame, centre: DataFrame, members: DataFrame) -> DataFrame:
+    """``rows`` as differences from ``centre`` (g, centre); groups that it does not name stay as they are."""
+    centre_of = F.coalesce("centre", F.array().cast("array<long>"))
+    moved = _in_shares(rows, centre, members).withColumn("moved", F.concat(F.array_except("e", centre_of), F.array_except(centre_of, "e")))
+    return moved.select("g", "node", "n", (F.col("size") - F.size("e") + F.size("moved")).alias("size"), F.col("moved").alias("e"))
+
+
 def _centred(rows: DataFrame, percent: int) -> DataFrame:
-    """(g, node, n, size, w, e) from the centre of each group; ``e`` keeps the elements that another member has too, rare ones first."""
-    members = rows.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    """Staged (g, node, n, size, w, e) from the centre of each group; ``e`` keeps the elements that another member has too, rare ones first."""
+    members = staged(rows.groupBy("g").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "group-sizes")
+    rows = staged(_shifted(rows, members), "shifted")
     counts = rows.select("g", F.explode("e").alias("x")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     counts = counts.join(members, "g").withColumn("central", 2 * F.col("held") > F.col("members"))
     counts = counts.withColumn("now", F.when(F.col("central"), F.col("members") - F.col("held")).otherwise(F.col("held")))
+    counts = staged(counts, "counts")
     centre = counts.where("central").groupBy("g").agg(F.collect_list("x").alias("centre"))  # at most twice a member's mean size
-    met = _in_shares(rows, centre, members)
-    centre_of = F.coalesce("centre", F.array().cast("array<long>"))
-    moved = met.withColumn("moved", F.concat(F.array_except("e", centre_of), F.array_except(centre_of, "e")))
-    moved = moved.select("g", "node", "n", (F.col("size") - F.size("e") + F.size("moved")).alias("size"), F.explode_outer("moved").alias("x"))
+    moved = _from_centre(rows, centre, members).select("g", "node", "n", "size", F.explode_outer("e").alias("x"))
     held = moved.join(counts.where("now > 1").select("g", "x", "now"), ["g", "x"], "left")
     whole = held.groupBy("g", "node", "n", "size").agg(F.sort_array(F.collect_list(F.when(F.col("now").isNotNull(), F.struct("now", "x")))).alias("e"))
     w = F.col("size") * (100 + percent) - F.col("n") * (100 - percent)
-    return whole.select("g", "node", "n", "size", w.cast("long").alias("w"), F.transform("e", lambda v: v["x"]).alias("e"))
+    out = staged(whole.select("g", "node", "n", "size", w.cast("long").alias("w"), F.transform("e", lambda v: v["x"]).alias("e")), "centred")
+    unstage(counts, rows, members)
+    return out
 
 
 def _least_star(rows: DataFrame, percent: int) -> DataFrame:
@@ -414,13 +479,24 @@ def _least_star(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _difference_lists(rows: DataFrame, percent: int) -> DataFrame:
-    """(g, token, node, linked, held): listed elements with their members, each set of members once."""
+    """(g, token, node, linked, held): listed elements with their members, each set of members once.
+
+    A member leaves a list where what it holds from the element on can't make up for the least ``w`` of the list: two members have
+    one element that is the first of those they share, and both have no more in common than what follows it.
+    """
     first = F.slice("e", F.lit(1), (F.size("e") - F.col("lo") + 1).cast("int"))
-    entries = rows.where("lo is not null").select("g", "node", "linked", F.explode(first).alias("token"))
+    entries = rows.where("lo is not null").select("g", "node", "linked", "w", F.size("e").alias("all"), F.posexplode(first).alias("at", "token"))
+    for _ in range(2):
+        least = entries.groupBy("g", "token").agg(F.min("w").alias("any"), F.min(F.when(~F.col("linked"), F.col("w"))).alias("other"))
+        partner = F.when(F.col("linked"), F.col("other")).otherwise(F.col("any"))
+        entries = entries.join(least, ["g", "token"]).where((F.col("all") - F.col("at")) * 2 * (100 + percent) >= F.col("w") + partner).drop("any", "other")
+    entries = staged(entries.select("g", "node", "linked", "token"), "entries")
     hashes = [F.bit_xor(F.xxhash64(F.col("node"), F.lit(i))).alias(f"h{i}") for i in range(2)]
     lists = entries.groupBy("g", "token").agg(F.count(F.lit(1)).alias("held"), F.count(F.when(~F.col("linked"), 1)).alias("apart"), *hashes)
     lists = lists.where("held > 1 and apart > 0").groupBy("g", "held", "h0", "h1").agg(F.min("token").alias("token"))
-    return entries.join(lists.select("g", "token", "held"), ["g", "token"])
+    out = staged(entries.join(lists.select("g", "token", "held"), ["g", "token"]), "difference-lists")
+    unstage(entries)
+    return out
 
 
 def _candidate_pairs(lists: DataFrame) -> DataFrame:
