@@ -13,7 +13,9 @@ again.  ``sequence_id`` is Spark's partition-wise increasing id, which is
 unique however many sequences there are and needs no global count.
 
 Ids come from the ``tiktoken`` library over the tokens of the given vocabulary file;
-the tests hold them against the ``tokenizers`` library (same ids, about three times the speed).
+the tests hold them against the ``tokenizers`` library (same ids, about three times the speed).  That library gives up on a run of about a million
+white-space characters (its pattern's stack ends); such a text is encoded by this package's own encoder instead, to the same ids.
+Texts of any length are packed whole; a task holds one text's ids at a time.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seasonlens.llm.bpe import PATTERN, default_vocabulary, token_bytes
+from seasonlens.llm.bpe import PATTERN, Encoder, default_vocabulary, token_bytes
 from seasonlens.llm.common import map_texts, texts
 
 MAX_TOKENS = 1024
@@ -37,6 +39,19 @@ def tokenizer(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@lru_cache(maxsize=2)
+def _second(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def ids_of(text: str, path: str) -> bytes:
+    """A text's little-endian unsigned 32-bit ids."""
+    try:
+        return tokenizer(path).encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+    except ValueError:  # the pattern's backtracking stack is too small for a very long run of white space
+        return _second(path).encode(text)
+
+
 def piece_lengths(n: int, max_tokens: int = MAX_TOKENS) -> list[int]:
     """Lengths of the pieces of ``n`` ids; ``max_tokens`` is a power of two."""
     full, rest = divmod(n, max_tokens)
@@ -58,10 +73,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_to
     end = int(end_id).to_bytes(4, "little")
 
     def make():
-        encode = tokenizer(path).encode_to_numpy
-
         def each(text: str):
-            ids = encode(text, allowed_special="all").astype("<u4").tobytes() + end
+            ids = ids_of(text, path) + end
             n = len(ids) // 4
             start = 0
             for size in piece_lengths(n, max_tokens):
