@@ -3,8 +3,12 @@
 **Method.**  Markup is stripped so that every block (paragraph, heading, list item, cell ...) becomes one
 line.  The text lengths of the lines are summed over sliding windows of ``window`` lines; where
 the sums rise from nothing is a surge point, where they fall back to nothing a dive point, and the text between the
-two is kept.  Scripts, styles, forms, comments and elements that are navigation, headers, footers, sidebars, notices,
-adverts or reader comments (by element, class, id or role) are markup too: they leave no line.  A line of
+two is kept.  Scripts, styles, form controls, comments and elements that are navigation, headers, footers or sidebars by name are markup too: they leave no line.
+
+**Marked elements** are those whose class, id or role has a *whole* token for navigation, sidebars, notices, adverts, reader comments and the like (``sidebar``,
+``sidebar-left``, but not ``has-sidebar`` or ``comments-open``), and forms.  Their lines go too, unless mass and place speak against it: a marked
+element that holds more than half of the page's text is the page's wrapper, not a side element, when it holds the page's ``h1`` or an ``article`` or ``main``, or when
+the unmarked lines outside come to less than ``share`` of it (for reader comments: to nothing).  A line of
 links alone and a copyright line weigh nothing: they open no surge and are left out at its ends, but inside the text they stay.
 
 A page's heaviest stretch and every stretch of at least ``share`` of it are the main text.  Where ``article`` or ``main``
@@ -34,10 +38,10 @@ ARTICLE = 3
 
 # Elements by what they do to the text.
 DROPPED_RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title")
-DROPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "canvas", "audio", "video", "fieldset", "label", "input"}
+DROPPED = {"head", "nav", "footer", "aside", "button", "select", "dialog", "menu", "canvas", "audio", "video", "label", "input"}
 BLOCKS = {"address", "article", "blockquote", "body", "caption", "center", "dd", "details", "div", "dl", "dt", "figcaption", "figure", "h1", "h2",
           "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot",
-          "th", "thead", "tr", "ul", "hgroup", "search"} | DROPPED
+          "th", "thead", "tr", "ul", "hgroup", "search", "form", "fieldset"} | DROPPED
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # An opening block element ends an open paragraph; these end an open one of their own kind as well.
@@ -48,31 +52,49 @@ SIDE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
               "notice", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login",
               "comment", "comments", "commentlist", "disqus", "respond", "reply", "replies", "share", "sharing", "social", "related",
               "recommended", "widget", "toolbar", "pagination", "pager", "search", "copyright", "complementary", "contentinfo", "dialog", "form", "hidden"}
+COMMENT_WORDS = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies"}
+# Words that may stand beside such a word in one token.
+PLACE_WORDS = {"left", "right", "top", "bottom", "main", "site", "page", "list", "box", "block", "wrap", "wrapper", "container", "section", "area", "bar",
+               "item", "items", "link", "links", "button", "buttons", "slot", "unit", "post", "posts", "inner", "outer", "primary", "secondary", "global", "panel",
+               "content", "form", "nav", "media", "by", "icons", "group"}
 ARTICLE_SIDE_WORDS = {"ad", "ads", "advert", "advertisement", "comment", "comments", "reply", "promo", "sponsored", "related"}
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<raw>" + "|".join(DROPPED_RAW) + r")(?=[\s/>])[^<>]*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
     r"""|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^<>"']|"[^"]*"|'[^']*')*+)>""", re.S | re.I)
 MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-MARK_WORD = re.compile(r"[a-z]+")
+MARK_PARTS = re.compile(r"[^a-z]+")
 COPYRIGHT = re.compile(r"\s*(?:©|\(c\)\s|copyright\b)", re.I)
 
 
-def _is_side(name: str, attributes: str, in_article: bool) -> bool:
-    if name in DROPPED:
+def _side_token(token: str, words: set[str]) -> bool:
+    """Whether one class, id or role token names a side element: such a word alone, or beside words of place and shape only."""
+    parts = [p for p in MARK_PARTS.split(token) if p]
+    return not words.isdisjoint(parts) and all(p in words or p in PLACE_WORDS for p in parts)
+
+
+def _dropped(name: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element goes whatever it holds."""
+    if name in DROPPED or name == "header" and not in_article:
         return True
-    if name == "header":
-        return not in_article
-    if not attributes or name in ("html", "body"):
+    if not attributes or name in ("html", "body", "article", "main"):
         return False
-    words: set[str] = set()
-    for m in MARKS.finditer(attributes):
-        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true":
-            return name not in ("article", "main")
-        if key in ("class", "id", "role"):
-            words.update(MARK_WORD.findall(value))
-    return not words.isdisjoint(ARTICLE_SIDE_WORDS if name in ("article", "main") else SIDE_WORDS)
+    return any(m[1].lower() == "hidden" or m[1].lower() == "aria-hidden" and (m[2] or m[3] or m[4] or "").lower() == "true" for m in MARKS.finditer(attributes))
+
+
+def _marked(name: str, attributes: str) -> str:
+    """"side", "comments" or "": what the element's tokens (or its being a form) say."""
+    if name in ("html", "body"):
+        return ""
+    found = "side" if name == "form" else ""
+    words = ARTICLE_SIDE_WORDS if name in ("article", "main") else SIDE_WORDS
+    for m in MARKS.finditer(attributes) if attributes else ():
+        if m[1].lower() in ("class", "id", "role"):
+            tokens = [t for t in (m[2] or m[3] or m[4] or "").lower().split() if _side_token(t, words)]
+            if any(not COMMENT_WORDS.isdisjoint(MARK_PARTS.split(t)) for t in tokens):
+                return "comments"
+            found = found or ("side" if tokens else "")
+    return found
 
 
 class _Lines:
@@ -82,6 +104,8 @@ class _Lines:
         self.text: list[str] = []
         self.weight: list[int] = []
         self.inside: list[int] = []  # number of the outermost article or main element around the line, from 1
+        self.mark: list[int] = []  # number of the innermost marked element around the line; 0 outside all
+        self.marks: list[list] = [[0, "", False]]  # of each marked element: the one around it, its kind, whether it holds the page's heading or an article
         self.parts: list[str] = []
         self.linked = 0
 
@@ -90,7 +114,7 @@ class _Lines:
         if in_link:
             self.linked += len("".join(unescape(raw).split()))
 
-    def end(self, inside: int) -> None:
+    def end(self, inside: int, mark: int) -> None:
         if self.parts:
             line = " ".join(unescape("".join(self.parts)).split())
             if line:
@@ -98,16 +122,43 @@ class _Lines:
                 self.text.append(line)
                 self.weight.append(0 if plain <= 0 or COPYRIGHT.match(line) else len(line))
                 self.inside.append(inside)
+                self.mark.append(mark)
             self.parts, self.linked = [], 0
 
+    def hold(self, mark: int) -> None:
+        """A heading or article stands inside ``mark`` and the marked elements around it."""
+        while mark and not self.marks[mark][2]:
+            self.marks[mark][2] = True
+            mark = self.marks[mark][0]
+
+    def without_sides(self, share: float) -> None:
+        """Takes out the lines of marked elements, but for those that mass and place show to be the page's wrappers."""
+        if len(self.marks) == 1:
+            return
+        mass = [0] * len(self.marks)
+        for weight, mark in zip(self.weight, self.mark, strict=True):
+            mass[mark] += weight
+        for mark in range(len(mass) - 1, 0, -1):  # an element comes after the one around it
+            if self.marks[mark][0]:
+                mass[self.marks[mark][0]] += mass[mark]
+        unmarked = mass[0]
+        total = unmarked + sum(m for m, (around, _, _) in zip(mass[1:], self.marks[1:], strict=True) if not around)
+        side = [False]
+        for m, (around, kind, holds) in zip(mass[1:], self.marks[1:], strict=True):
+            wrapper = 2 * m > total and (holds and kind == "side" or (unmarked < share * m if kind == "side" else not unmarked))
+            side.append(side[around] or not wrapper)
+        keep = [i for i, mark in enumerate(self.mark) if not side[mark]]
+        self.text, self.weight, self.inside, self.mark = ([of[i] for i in keep] for of in (self.text, self.weight, self.inside, self.mark))
+
 
-def lines_of(html: str) -> _Lines:
+def lines_of(html: str, share: float = SHARE) -> _Lines:
     """Strips the markup: one line a block."""
     lines = _Lines()
-    stack: list[tuple[str, bool, int]] = []  # (element, it or one around it is dropped, number of the outermost article among it and those around it)
+    # (element, it or one around it is dropped, number of the outermost article, and of the innermost marked element, among it and those around it)
+    stack: list[tuple[str, bool, int, int]] = []
     opened: Counter[str] = Counter()  # open elements by name: what is not open is not looked for
     dropped = in_link = False
-    at = article = articles = 0
+    at = article = articles = mark = 0
 
     def close_from(i: int) -> None:
         opened.subtract(e[0] for e in stack[i:])
@@ -122,7 +173,7 @@ def lines_of(html: str) -> _Lines:
             continue
         name = name.lower()
         if name in BLOCKS:
-            lines.end(article)
+            lines.end(article, mark)
             in_link = False
         elif name == "br" or name == "img":
             lines.parts.append(" ")
@@ -144,20 +195,26 @@ def lines_of(html: str) -> _Lines:
                         break
                     if stack[i][0] in BLOCKS:
                         break
-            outer_dropped, outer_article = stack[-1][1:] if stack else (False, 0)
+            outer_dropped, outer_article, outer_mark = stack[-1][1:] if stack else (False, 0, 0)
             if name not in VOID and not m["attributes"].endswith("/"):
                 own = name in ("article", "main") or "role" in m["attributes"] and 'role="main"' in m["attributes"]
-                side = outer_dropped or _is_side(name, m["attributes"], bool(outer_article))
+                side = outer_dropped or _dropped(name, m["attributes"], bool(outer_article))
+                if not side and (kind := _marked(name, m["attributes"])):
+                    lines.marks.append([outer_mark, kind, False])
+                    outer_mark = len(lines.marks) - 1
+                elif not side and (own or name == "h1"):
+                    lines.hold(outer_mark)
                 if own and not side and not outer_article:
                     articles += 1
                     outer_article = articles
-                stack.append((name, side, outer_article))
+                stack.append((name, side, outer_article, outer_mark))
                 opened[name] += 1
                 in_link = in_link or name == "a"
-        dropped, article = stack[-1][1:] if stack else (False, 0)
+        dropped, article, mark = stack[-1][1:] if stack else (False, 0, 0)
     if not dropped and at < len(html):
         lines.add(html[at:], in_link)
-    lines.end(article)
+    lines.end(article, mark)
+    lines.without_sides(share)
     return lines
 
 
@@ -173,7 +230,7 @@ def stretches(weight: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]
 
 def main_text(html: str, window: int = WINDOW, share: float = SHARE) -> str:
     """Main text of one page: blocks in page order, joined by an empty line."""
-    lines = lines_of(html)
+    lines = lines_of(html, share)
     weight = np.array(lines.weight, dtype=np.int64)
     inside = np.array(lines.inside, dtype=np.int64)
     if _articles_decide(weight, inside, window):
@@ -199,7 +256,7 @@ def _articles_decide(weight: np.ndarray, inside: np.ndarray, window: int) -> boo
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str | None = "url") -> DataFrame:
     """(id, url, text, n_chars): the main text of every page and its length in code points.
 
-    A NULL or empty page, or one without main text, has the empty text; a NULL id or url stays; repeated rows give repeated
+    A NULL or empty page, or one without main text, has the empty text; a very long page is read whole; a NULL id or url stays; repeated rows give repeated
     rows; an empty table gives no rows; other columns are not read.  One narrow pass, no shuffle.
     """
     key = F.struct(F.col(f"`{id_col}`").alias("id"), (F.col(f"`{url_col}`") if url_col else F.lit(None).cast("string")).alias("url"))

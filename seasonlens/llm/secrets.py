@@ -4,7 +4,7 @@
 every secret of a kind starts with.  A kind's regular expression is then matched only
 at those places (``match`` at the hit, never a search of the text), and what carries an embedded
 checksum or structure is validated: GitHub and npm tokens end in the base-62 CRC-32 of their body, a JSON
-web token's header is base64url JSON, a private key block holds base64.  A bare run of hex digits has no keyword; its
+web token's header is base64url JSON, a private key block (PEM, with or without headers, or PGP) holds base64.  A bare run of hex digits has no keyword; its
 prefilter is one linear scan for a run that is long enough.
 
 Kinds, in order: ``assign``, ``access`` and ``hex`` (the base; unvalidated, as their patterns state), then
@@ -48,7 +48,11 @@ PATTERNS = {
     "github": re.compile(r"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "jwt": re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    "private_key": re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
+    # a few header lines (Proc-Type, DEK-Info, Version) may precede the body, line feeds may be written out as \n, and the END line may be missing
+    "private_key": re.compile(
+        r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----(?:(?:\s|\\[rn])*+[A-Za-z][A-Za-z0-9-]{0,60}+:(?:(?!-----)[^\r\n\\]){0,500}+){0,16}+"
+        r"(?:(?P<closed>(?:[A-Za-z0-9+/=\s]++|\\[rn])++)-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+        r"|(?P<open>(?:(?:\s|\\[rn])++[A-Za-z0-9+/]{32,}+={0,2})+(?:(?:[\r\n]|\\[rn])++[A-Za-z0-9+/]{2,}+={1,2})?))"),
 }
 HEX = re.compile(r"[0-9a-f]{24,}")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -76,8 +80,13 @@ def _json_header(token: str) -> bool:
         return False
 
 
-def _key_body(block: str) -> bool:
-    body = "".join(block.split())
+def _key_body(m: re.Match) -> bool:
+    """Whether a key block holds base64; an armour checksum (=xxxx) may end it, and an open block may stop within a group of four."""
+    body = re.sub(r"\s|\\[rn]", "", m["closed"] or m["open"])
+    body = re.sub(r"(?<=.)=[A-Za-z0-9+/]{4}$", "", body)
+    if m["open"]:
+        body = body.rstrip("=")
+        body = body[:len(body) // 4 * 4]
     try:
         return len(base64.b64decode(body, validate=True)) >= 16
     except binascii.Error:
@@ -90,7 +99,7 @@ ACCEPT = {
     "github": lambda m: _checksummed(m[0]),
     "npm": lambda m: _checksummed(m[0]),
     "jwt": lambda m: _json_header(m[0]),
-    "private_key": lambda m: _key_body(m[1]),
+    "private_key": _key_body,
 }
 # Confidence of a span: validated kinds are certain.
 SCORES = {"assign": 0.8, "access": 0.8, "hex": 0.5, "github": 1.0, "npm": 1.0, "jwt": 1.0, "private_key": 1.0}
@@ -122,7 +131,7 @@ def find_spans(text: str) -> list[dict]:
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans): the secrets of every whole text.
 
-    A NULL or empty text has no spans; a NULL id stays; repeated rows give repeated rows; an empty table
+    A NULL or empty text has no spans; a very long text is scanned whole, in linear time; a NULL id stays; repeated rows give repeated rows; an empty table
     gives no rows; other columns are not read.  One narrow pass, no shuffle.
     """
     return map_texts(texts(docs, id_col, text_col), id_col, [T.StructField("spans", SPANS)],
