@@ -17,6 +17,7 @@ import os
 from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from seasonlens.functions.features import add_features
 from seasonlens.functions.lookup import Dimensions, merge_item_versions
@@ -51,7 +52,11 @@ def ingest_job(spark: SparkSession, raw: str, table: str, year: int | None = Non
         valid = ingest.new_matches(valid, read_player_matches(spark, table).select(*ingest.MATCH_KEYS))
     write_player_matches(valid, table, mode="append")
     if quarantine:
-        bad.unionByName(broken).write.mode("append").parquet(quarantine)
+        found = bad.unionByName(broken).withColumn("source", F.lit(raw))
+        if path_exists(spark, quarantine):  # a rerun over the same input adds only what it did not put there before
+            stored = spark.read.schema(found.schema).parquet(quarantine).where(F.col("source") == raw)
+            found = found.exceptAll(stored)
+        found.write.mode("append").parquet(quarantine)
 
 
 def summary_job(spark: SparkSession, table: str, dims_folder: str, out: str, year: int | None = None,

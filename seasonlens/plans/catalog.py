@@ -589,15 +589,15 @@ def _stored_documents(spark, path):
 
 @register("a09_scoped_rerun")
 def scoped_rerun_query(spark, sf_dir):
-    """All documents written, a third of the players written again from their games since June only;
-    every other player-year must still be stored."""
+    """All documents written, a third of the players written again from their games since June only, by a run that asks for
+    another number of buckets; every other player-year must still be stored, and each once."""
     from seasonlens.session import scratch_path
 
     dims, feat = _setup(spark, sf_dir)
     path = scratch_path(spark, "documents")
     doc.write_documents(doc.build_documents(feat, dims, stage_input=True), path)
     some = feat.where((F.col("puuid") % 3 == 0) & (F.col("month") >= 6))
-    doc.write_documents(doc.build_documents(some, dims, stage_input=True), path)
+    doc.write_documents(doc.build_documents(some, dims, stage_input=True), path, buckets=8)
     return _stored_documents(spark, path).select("puuid", "year", "docKey", "totalGames", "nChampions")
 
 
@@ -672,7 +672,7 @@ def facts_rerun_query(spark, sf_dir):
     path = scratch_path(spark, "facts")
     write_facts(nest_facts(_facts(spark, sf_dir)), path)
     again = read_facts(spark, path, puuid_type=T.LongType()).where(F.col("puuid") % 3 == 0)
-    write_facts(again.select("puuid", "year", F.slice("facts", 1, 1).alias("facts")), path)
+    write_facts(again.select("puuid", "year", F.slice("facts", 1, 1).alias("facts")), path, buckets=5)
     return read_facts(spark, path, puuid_type=T.LongType()).select(
         "puuid", "year", F.size("facts").cast("long").alias("nFacts"), F.col("facts")[0]["correct_answer"].alias("firstAnswer"))
 
@@ -744,16 +744,24 @@ def _guarded(spark, sf_dir, slices):
 
 @register("g07_incremental_refresh")
 def refresh_query(spark, sf_dir):
-    """The stored table streamed into a foreachBatch refresh of touched
-    player-years; the newest document per key, checked by its section sizes."""
+    """The stored table streamed into a foreachBatch refresh of touched player-years; the newest document per key, checked by its section sizes.
+
+    A fifth of the players are first stored with wrong champions and no items; their matches are then corrected (same games, same times) and refreshed
+    by a stream that has lost its checkpoint, so only the version tells the right document."""
     from seasonlens.session import scratch_path
     from seasonlens.sources.matches import write_player_matches
     from seasonlens.streaming.runners import latest_documents, refresh_stream
 
     table, out, ck = (scratch_path(spark, n) for n in ("refresh_table", "refresh_docs", "refresh_ck"))
     dims = binding.dimensions(spark, sf_dir)
-    write_player_matches(binding.player_matches(spark, sf_dir), table)
+    matches = binding.player_matches(spark, sf_dir)
+    wrong = F.col("puuid") % 5 == 0
+    write_player_matches(matches.withColumns({
+        "championName": F.when(wrong, F.lit("?")).otherwise(F.col("championName")),
+        "items": F.when(wrong, F.array().cast(matches.schema["items"].dataType)).otherwise(F.col("items"))}), table)
     refresh_stream(spark, table, out, ck, dims).awaitTermination()
+    write_player_matches(matches, table)
+    refresh_stream(spark, table, out, scratch_path(spark, "refresh_ck"), dims).awaitTermination()
     j = F.get_json_object
     n = lambda p: F.json_array_length(j("summary_json", p)).cast("long")
     return latest_documents(spark, out).select(
