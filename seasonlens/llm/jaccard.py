@@ -329,7 +329,7 @@ def _merged(group: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return moved.dropDuplicates(["pivot", "node"])
 
 
-def _around(group: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _around(group: DataFrame, sets: DataFrame, percent: int, first: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Staged: edges (a, b) to the pivots of ``group``, members near their pivot (g, node, n, size, e), and the members far from it, as ``group``."""
     star = group.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     found = staged(_starred(star, sets, percent), "starred")
@@ -339,12 +339,13 @@ def _around(group: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame,
     k = (100 - percent) / (100 + percent)
     at_border = 1 - k * ((NEAR + 1) * 100 / percent + 1)
     shown = (at_border / (1 + k * NEAR) * (1 - k * NEAR) + at_border) / 2 >= percent / (100 + percent)
-    members = found.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "n", "m", "shared", "apart").join(
-        _reaches(found, percent), ["pivot", "node"]).where(reach * 100 >= F.col("m") * percent)
+    members = found.select(F.col("a").alias("pivot"), F.col("b").alias("node"), "n", "m", "shared", "apart")
+    if first:  # members that can reach nobody leave once
+        members = members.join(_reaches(found, percent), ["pivot", "node"]).where(reach * 100 >= F.col("m") * percent)
     members = staged(members, "members")
     pivots = members.where("apart is not null").select("pivot", "n").distinct()
     none = F.array().cast("array<long>")
-    seen = F.array_except("apart", F.col("mine") if shown else none)
+    seen = F.array_except("apart", F.col("mine") if first and shown else none)
     near = members.where("apart is not null").select("pivot", "node", F.col("m").alias("n"), F.size("apart").alias("size"), seen.alias("e")).unionByName(
         pivots.select("pivot", F.col("pivot").alias("node"), "n", F.lit(0).alias("size"), none.alias("e")))
     far = members.where(_distance(F.col("n"), F.col("m"), F.col("shared")) > NEAR * k * (F.col("n") + F.col("m"))).select("pivot", "node")
@@ -365,7 +366,7 @@ def _heavy_edges(direct: DataFrame, group: DataFrame, sets: DataFrame, light: Da
             far = far.join(next_, "pivot").select(F.col("next").alias("pivot"), "node", "n", "alone").dropDuplicates(["pivot", "node"])
         if far.isEmpty():
             break
-        joined, near, far = _around(far, sets, percent)
+        joined, near, far = _around(far, sets, percent, first=turn == 0)
         stars.append(joined)
         rows.append(near.withColumn("g", F.xxhash64("g", F.lit(turn))))
         spent += [joined, near, far]
