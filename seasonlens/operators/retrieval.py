@@ -3,7 +3,7 @@
 Chunking is a per-row ``explode`` of window starts, so it parallelises with
 the documents.  Retrieval is brute force *inside* the filter keys: each
 query meets only the corpus rows with equal keys (a player-year in the
-reference), the query side is broadcast after a size check, and the
+reference), Spark broadcasts the query side where it is small, and the
 top-k uses ``row_number() <= k``, which Spark turns into a partial
 ``WindowGroupLimit`` before the shuffle, so a key with a huge share of the
 corpus ships at most k rows per map task.
