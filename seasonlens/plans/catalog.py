@@ -408,6 +408,15 @@ def stored_ids_query(spark, sf_dir):
     return ingest.stored_ids_from_paths(m.select(path.alias("path")))
 
 
+@register("b07_listed_ids")
+def listed_ids_query(spark, sf_dir):
+    """Ids of the stored one-document files, from their listing; no file is opened."""
+    from seasonlens.operators import ingest
+    from seasonlens.sources.matches import list_date_path_files
+
+    return ingest.stored_ids_from_paths(list_date_path_files(spark, _date_path_store(spark, sf_dir)))
+
+
 @register("b20_default_year")
 def default_year_query(spark, sf_dir):
     """The year a request without one asks for, as of the request's time."""
@@ -499,6 +508,40 @@ def json_roundtrip_query(spark, sf_dir):
     )
 
 
+@register("a01_date_path_scan")
+def date_path_query(spark, sf_dir):
+    """A1-A2 on one-document files: every usable document with a declared schema, and every other file with its reason."""
+    return _date_path_scan(spark, sf_dir, infer=False)
+
+
+@register("a02_inferred_quarantine")
+def inferred_quarantine_query(spark, sf_dir):
+    """A1-A2 on the same files with the schema inferred from them."""
+    return _date_path_scan(spark, sf_dir, infer=True)
+
+
+def _date_path_store(spark, sf_dir) -> str:
+    from seasonlens.session import scratch_path
+    from seasonlens.sources.matches import write_date_path_documents
+
+    root = scratch_path(spark, "match_files")
+    write_date_path_documents(binding.date_path_documents(spark, sf_dir), root)
+    return root
+
+
+def _date_path_scan(spark, sf_dir, infer):
+    from seasonlens.sources.matches import read_date_path_documents
+
+    rows, bad = read_date_path_documents(spark, _date_path_store(spark, sf_dir), infer=infer)
+    file = F.format_string("%s/stats/%d/%02d/%02d/%s.json", "puuid", "year", "month_part", "day_part", "matchId")
+    good = rows.select(
+        file.alias("file"), "matchId", "gameCreation", "championName", "kills", "win",
+        F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("itemsText"),
+        F.col("perks.primaryStyle").alias("primaryStyle"), F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(
+        bad.select(F.array_join(F.slice(F.split("path", "/"), -6, 6), "/").alias("file"), "reason"), allowMissingColumns=True)
+
+
 @register("a03_year_scoped_read")
 def scoped_read_query(spark, sf_dir):
     """A3: one year read from the partitioned parquet table (folders pruned)."""

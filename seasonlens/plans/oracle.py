@@ -420,6 +420,14 @@ FROM sp WHERE reason IS NULL AND year(epoch_ms(created + 60000)) = 1997"""
 ORACLE["b07_stored_ids"] = with_base() + """
 SELECT DISTINCT cast(puuid AS VARCHAR) AS puuid, match_id AS matchId FROM m WHERE l_partkey % 2 = 0"""
 
+_FILES = """
+fl AS (
+  SELECT *, cast(split_part(match_id, '_', 1) AS BIGINT) AS k, concat(puuid, '/stats/', strftime(epoch_ms(game_start), '%Y/%m/%d/'), match_id, '.json') AS file
+  FROM m QUALIFY row_number() OVER (PARTITION BY split_part(match_id, '_', 1) ORDER BY match_id DESC) = 1)"""
+
+ORACLE["b07_listed_ids"] = with_base(_FILES) + """
+SELECT cast(puuid AS VARCHAR) AS puuid, match_id AS matchId FROM fl"""
+
 ORACLE["b20_default_year"] = "SELECT event_id, cast(year(ts) - 1 AS INTEGER) AS year FROM events"
 
 ORACLE["b06_b11_year_window"] = with_base() + """
@@ -521,6 +529,16 @@ SELECT puuid, match_id AS matchId, cast(year(epoch_ms(game_start)) AS INTEGER) A
   game_creation AS gameCreation, kills, win, array_to_string(items, ',') AS itemsText, rune1 AS primaryStyle
 FROM m"""
 
+ORACLE["a01_date_path_scan"] = with_base(_FILES, """
+t AS (SELECT *, CASE WHEN k % 53 = 1 THEN 'unparsable' WHEN k % 61 = 3 OR k % 67 = 4 THEN 'no document'
+                     WHEN k % 59 = 2 THEN 'missing matchId' END AS reason FROM fl)""") + """
+SELECT file, match_id AS matchId, game_creation AS gameCreation, champion AS championName, kills, win,
+  array_to_string(items, ',') AS itemsText, rune1 AS primaryStyle, reason
+FROM t WHERE reason IS NULL
+UNION ALL
+SELECT file, NULL, NULL, NULL, NULL, NULL, NULL, NULL, reason FROM t WHERE reason IS NOT NULL"""
+ORACLE["a02_inferred_quarantine"] = ORACLE["a01_date_path_scan"]
+
 ORACLE["a03_year_scoped_read"] = with_base() + """
 SELECT puuid, match_id AS matchId, cast(year(epoch_ms(game_start)) AS INTEGER) AS year,
   cast(month(epoch_ms(game_start)) AS INTEGER) AS month_part, cast(day(epoch_ms(game_start)) AS INTEGER) AS day_part

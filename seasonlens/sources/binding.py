@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from seasonlens.functions.features import add_features, date_path_parts
 from seasonlens.functions.lookup import Dimensions, merge_item_versions
+from seasonlens.schema import PARTITION_COLUMNS, PLAYER_MATCH_FIELDS
 from seasonlens.sources.dims import queues_to_modes
 
 
@@ -94,6 +95,20 @@ def player_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return player_matches_with_start(spark, sf_dir).drop("gameStartTimestamp")
 
 
+def date_path_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1-A2, B7 input: one stored document an order (of its matches the one with the greatest id), some spoilt by the
+    order key: cut off, without a match id, an empty list, blank."""
+    m = player_matches(spark, sf_dir)
+    names = [f for f in m.columns if f != "matchId"]
+    order = F.split("matchId", "_")[0].cast("long")
+    last = m.groupBy(order.alias("_order")).agg(F.max(F.struct("matchId", *names)).alias("_m")).select("_order", "_m.*")
+    fields = [c for c in PLAYER_MATCH_FIELDS.fieldNames() if c != "matchId"]
+    whole = F.to_json(F.struct(F.when(F.col("_order") % 59 != 2, F.col("matchId")).alias("matchId"), *fields))
+    k = F.col("_order")
+    value = F.when(k % 53 == 1, F.substring(whole, 1, 40)).when(k % 61 == 3, F.lit("[]")).when(k % 67 == 4, F.lit(" \n")).otherwise(whole)
+    return last.select("puuid", "matchId", *PARTITION_COLUMNS, value.alias("value"))
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A small literal table as a local relation (no Python-side RDD)."""
     from pyspark.sql import types as T

@@ -75,3 +75,35 @@ def test_dimension_join_is_left_to_its_size(spark):
         assert sorted(r.n for r in shuffled.collect()) == ["0", "1", "2", "3", "4"]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_small_files_share_tasks_and_ids_need_no_content(spark, tmp_dir):
+    from pyspark.sql import functions as F
+    from seasonlens.sources import matches as M
+
+    own = spark.conf.get("spark.sql.files.openCostInBytes")
+    docs = spark.range(300).select(
+        F.concat(F.lit("p+ "), F.col("id") % 3).alias("puuid"), F.concat(F.lit("m"), "id").alias("matchId"), F.lit(2024).alias("year"),
+        F.lit(1).alias("month_part"), (F.col("id") % 2 + 1).cast("int").alias("day_part"),
+        F.concat(F.lit('{"matchId": "m'), "id", F.lit('"}')).alias("value"))
+    for _ in range(2):  # a rerun replaces its files
+        M.write_date_path_documents(docs, tmp_dir)
+    ids = M.list_date_path_files(spark, tmp_dir)
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan
+    rows, bad = M.read_date_path_documents(spark, tmp_dir)
+    assert bad.count() == 0 and rows.count() == ids.count() == 300
+    assert {r.puuid for r in rows.select("puuid").distinct().collect()} == {"p+ 0", "p+ 1", "p+ 2"}
+    # Spark's own costs would give a task thirty files
+    assert rows.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == own  # other scans keep theirs
+
+
+def test_files_without_an_id_or_a_document_are_errors(spark, tmp_dir):
+    import pytest
+    from seasonlens.sources import matches as M
+
+    cols = "puuid string, matchId string, year int, month_part int, day_part int, value string"
+    for row in (("p", None, 2024, 1, 1, "{}"), ("p", "a/b", 2024, 1, 1, "{}"), ("p", "m", 2024, 1, 1, None)):
+        with pytest.raises(Exception, match="no file name|no document"):
+            M.write_date_path_documents(spark.createDataFrame([row], cols), tmp_dir)
