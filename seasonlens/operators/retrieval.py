@@ -84,16 +84,19 @@ def vector_topk(
     doc_id: str = "doc_id",
     doc_vec: str = "embedding",
     rank_digits: int | None = None,
+    within_keys: bool = False,
 ) -> DataFrame:
     """the k most similar corpus rows per query among rows with equal keys.
 
     Cosine similarity; ties go to the smaller document id.  With
-    ``rank_digits`` the ranking uses the score rounded to that many places.
+    ``rank_digits`` the ranking uses the score rounded to that many places.  ``within_keys`` ranks a query's rows
+    of each key apart, on the join's partitioning (the same where a query has one key).
     """
     q = with_norm(queries, query_vec, "_q", "_qn").select(query_id, *keys, "_q", "_qn")
     d = with_norm(corpus, doc_vec, "_d", "_dn").select(doc_id, *keys, "_d", "_dn")
     score = F.try_divide(dot(F.col("_q"), F.col("_d")), F.col("_qn") * F.col("_dn"))
     scored = d.join(q, list(keys)).select(query_id, *keys, doc_id, score.alias("score"))
     order_score = F.round(F.col("score") + F.lit(1e-9), rank_digits) if rank_digits is not None else F.col("score")
-    w = Window.partitionBy(query_id).orderBy(order_score.desc_nulls_last(), F.col(doc_id).asc())
+    per = [*keys, query_id] if within_keys else [query_id]
+    w = Window.partitionBy(*per).orderBy(order_score.desc_nulls_last(), F.col(doc_id).asc())
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -297,6 +297,27 @@ def topk_query(spark, sf_dir):
     return top.select("label", "rank", F.col("doc_id").alias("vec_id"), rnd("score"))
 
 
+@register("f01_f03_document_retrieval")
+def document_retrieval_query(spark, sf_dir):
+    """A14 -> F1 -> F2 -> F3: stored text documents indexed per (puuid, year), a third of the players' first with outdated texts and then
+    replaced; the three chunks nearest to each player-year's query among its own."""
+    from seasonlens.operators import chunk_index as ix
+    from seasonlens.session import scratch_path
+    from seasonlens.sources.matches import read_text_documents
+
+    store, path = scratch_path(spark, "season_texts"), scratch_path(spark, "chunk_index")
+    binding.season_texts(spark, sf_dir).select(F.to_json(F.struct("puuid", "year", "text", "ask")).alias("value")).write.text(store)
+    docs = read_text_documents(spark, store).select(
+        F.from_json("value", "puuid long, year int, text string, ask string").alias("d")).select("d.*")
+    changed = F.col("puuid") % 3 == 0
+    ix.replace_documents(docs.withColumn("text", F.when(changed, F.concat("text", F.lit(" old "), "text")).otherwise(F.col("text"))), path)
+    ix.replace_documents(docs.where(changed), path, buckets=8)
+    asked = docs.select(F.col("puuid").cast("string").alias("puuid"), "year", F.concat_ws("_", "puuid", "year").alias("query_id"),
+                        ix.term_vector("ask").alias("query_vec"))
+    found = ix.search(ix.read_index(spark, path), asked, k=3, rank_digits=R)
+    return found.select("puuid", "year", "rank", "chunk_id", rnd("score"))
+
+
 @register("f04_json_extract")
 def json_extract_query(spark, sf_dir):
     """JSON array recovered from free text, with the failure reason."""

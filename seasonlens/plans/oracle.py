@@ -302,6 +302,27 @@ rk AS (
   FROM sc)
 SELECT label, cast(rn AS INTEGER) AS rank, vec_id, round(score, {R}) AS score FROM rk WHERE rn <= 15"""
 
+ORACLE["f01_f03_document_retrieval"] = with_base(f"""
+d AS (
+  SELECT puuid, year, max(champion) || ' won' AS ask,
+    string_agg(champion || ' ' || team_position || ' ' || CASE WHEN win THEN 'won' ELSE 'lost' END, ' ' ORDER BY game_creation, match_id) AS text
+  FROM f GROUP BY puuid, year),
+wd AS (
+  SELECT puuid, year, list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '') AS words,
+    list_filter(regexp_split_to_array(ask, '[ \t\r\n]+'), lambda x: x <> '') AS asked FROM d),
+ch AS (SELECT puuid, year, words, asked, unnest(range(0, (len(words) + 239) // 240)) AS no FROM wd),
+pl AS (
+  SELECT puuid, year, no, list_transform(asked, lambda x: cast('0x' || substr(md5(x), 1, 4) AS INTEGER) % 64) AS qb,
+    list_transform(list_slice(words, no*240 + 1, no*240 + 300), lambda x: cast('0x' || substr(md5(x), 1, 4) AS INTEGER) % 64) AS cb FROM ch),
+ve AS (
+  SELECT puuid, year, no, list_transform(range(0, 64), lambda i: cast(len(list_filter(qb, lambda x: x = i)) AS DOUBLE)) AS q,
+    list_transform(range(0, 64), lambda i: cast(len(list_filter(cb, lambda x: x = i)) AS DOUBLE)) AS c FROM pl),
+sc AS (
+  SELECT puuid, year, concat(puuid, '_', year, '-', no) AS chunk_id,
+    list_dot_product(q, c) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(c, c))) AS score FROM ve),
+rk AS (SELECT *, row_number() OVER (PARTITION BY puuid, year ORDER BY round(score, {R}) DESC, chunk_id) AS rn FROM sc)""") + f"""
+SELECT cast(puuid AS VARCHAR) AS puuid, year, cast(rn AS INTEGER) AS rank, chunk_id, round(score, {R}) AS score FROM rk WHERE rn <= 3"""
+
 ORACLE["f04_json_extract"] = r"""
 WITH t AS (
   SELECT event_id,

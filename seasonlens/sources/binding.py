@@ -95,6 +95,15 @@ def player_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return player_matches_with_start(spark, sf_dir).drop("gameStartTimestamp")
 
 
+def season_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1-F3 input: (puuid, year, text, ask), a player-year's games in time order as words, and the words of its query."""
+    game = F.concat_ws(" ", "championName", "teamPosition", F.when(F.col("win"), F.lit("won")).otherwise(F.lit("lost")))
+    games = F.array_sort(F.collect_list(F.struct("gameCreation", "matchId", game.alias("words"))))
+    return player_matches(spark, sf_dir).groupBy("puuid", "year").agg(
+        F.array_join(F.transform(games, lambda g: g["words"]), " ").alias("text"),
+        F.concat(F.max("championName"), F.lit(" won")).alias("ask"))
+
+
 def date_path_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A1-A2, B7 input: one stored document an order (of its matches the one with the greatest id), some spoilt by the
     order key: cut off, without a match id, an empty list, blank."""
