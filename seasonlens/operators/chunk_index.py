@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from seasonlens.functions.text import tokens
 from seasonlens.operators.retrieval import chunk_documents, vector_topk
 from seasonlens.session import path_exists, stage, unstage
-from seasonlens.sources.sinks import record_buckets, recorded_buckets
+from seasonlens.sources.sinks import _record_buckets, _recorded_buckets
 
 KEYS = ("puuid", "year")
 # Buckets of a new index: some hundred MB of vectors each.
@@ -43,11 +43,11 @@ def _slice(buckets: int) -> Column:
 def _open(spark: SparkSession, path: str, buckets: int) -> tuple[str, int]:
     """(table name, its number of buckets); an existing index keeps its own number."""
     exists = path_exists(spark, f"{path}/rows")
-    buckets = (recorded_buckets(spark, path) if exists else None) or buckets
+    buckets = (_recorded_buckets(spark, path) if exists else None) or buckets
     name = "chunk_index_" + hashlib.sha256(path.encode()).hexdigest()[:16]
     if not spark.catalog.tableExists(name):
         if not exists:
-            record_buckets(spark, path, buckets)
+            _record_buckets(spark, path, buckets)
         spark.sql(f"CREATE TABLE {name} ({COLUMNS}, {SLICE} int) USING parquet PARTITIONED BY ({SLICE}) "
                   f"CLUSTERED BY ({', '.join(KEYS)}) INTO {buckets} BUCKETS LOCATION '{path}/rows'")
         if exists:
