@@ -3,10 +3,10 @@
 **Features.**  The distinct words of a text (runs of letters, lower case) and their character 3- to 6-grams with word-edge marks, each present or
 absent.  Counts over the sampled training rows pick the most telling ones; one Aho-Corasick pass over a text's distinct words finds those it holds.
 
-**Counterfactual term.**  Labelled sentences that name a group are rewritten with another group's
-term in its place, and the classifier is penalised by the square of the change of its score.  A score is additive over the distinct features,
-so a swap changes it by the weights of one term's features less those of the other; the penalty of a pair of terms is weighted by
-the number of labelled sentences that the swap rewrites (and one more, so that terms the labels never mention are held neutral too).  Group mentions
+**Counterfactual term.**  Sentences of the labelled texts that name a group are rewritten with every other term of its kind in its place (singular for singular,
+plural for plural; all sentences of a text that hold the term at once), and the classifier is penalised by the square of the change of the text's score.
+The change is that of the features the text holds before and after: those that another of its words holds too stay.  A rewriting counts as often as
+it rewrites sentences; the bare terms are rewritten once each as well, so that terms the labels never mention are held neutral too.  Group mentions
 thus can't tell toxic from clean, and neutral mentions are not rejected.
 
 **Fit.**  Logistic loss, L1 (most weights become exactly zero), a little L2 and the counterfactual term, by accelerated proximal gradient
@@ -19,11 +19,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,20 +42,36 @@ L1, L2, COUNTERFACTUAL, STEPS = 2e-4, 1e-5, 0.1, 250
 
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
-# Terms that name groups; terms of a row stand for each other in a swap.
+# Terms that name groups, each as (singular, plural); terms of a kind stand for each other in a swap.
 GROUPS = (
-    ("women", "men", "girls", "boys", "female", "male", "transgender"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic"),
-    ("black", "white", "asian", "latino", "african", "arab", "european"),
-    ("gay", "lesbian", "straight", "bisexual", "queer"),
-    ("immigrants", "refugees", "citizens", "foreigners", "natives"),
-    ("disabled", "blind", "deaf", "autistic"),
-    ("frauen", "männer", "muslime", "christen", "juden", "ausländer", "flüchtlinge"),
-    ("femmes", "hommes", "musulmans", "chrétiens", "juifs", "étrangers", "réfugiés"),
-    ("mujeres", "hombres", "musulmanes", "cristianos", "judíos", "extranjeros", "refugiados"),
+    (("woman", "women"), ("man", "men"), ("girl", "girls"), ("boy", "boys"), ("female", "females"), ("male", "males"), ("transgender", "transgender")),
+    (("muslim", "muslims"), ("christian", "christians"), ("jew", "jews"), ("hindu", "hindus"), ("buddhist", "buddhists"), ("atheist", "atheists"),
+     ("catholic", "catholics")),
+    (("islamic", "islamic"), ("christian", "christian"), ("jewish", "jewish"), ("hindu", "hindu"), ("buddhist", "buddhist"), ("atheist", "atheist")),
+    (("black", "blacks"), ("white", "whites"), ("asian", "asians"), ("latino", "latinos"), ("african", "africans"), ("arab", "arabs"),
+     ("european", "europeans")),
+    (("gay", "gays"), ("lesbian", "lesbians"), ("straight", "straights"), ("bisexual", "bisexuals"), ("queer", "queers")),
+    (("immigrant", "immigrants"), ("refugee", "refugees"), ("citizen", "citizens"), ("foreigner", "foreigners"), ("native", "natives")),
+    (("disabled", "disabled"), ("blind", "blind"), ("deaf", "deaf"), ("autistic", "autistic")),
+    (("frau", "frauen"), ("mann", "männer"), ("muslim", "muslime"), ("christ", "christen"), ("jude", "juden"), ("ausländer", "ausländer"),
+     ("flüchtling", "flüchtlinge")),
+    (("femme", "femmes"), ("homme", "hommes"), ("musulman", "musulmans"), ("chrétien", "chrétiens"), ("juif", "juifs"), ("étranger", "étrangers"),
+     ("réfugié", "réfugiés")),
+    (("mujer", "mujeres"), ("hombre", "hombres"), ("musulmán", "musulmanes"), ("cristiano", "cristianos"), ("judío", "judíos"),
+     ("extranjero", "extranjeros"), ("refugiado", "refugiados")),
 )
 
 
+def partners() -> dict[str, list[str]]:
+    """Each form of a term, and the forms that stand for it in a swap."""
+    out: dict[str, set[str]] = {}
+    for group in GROUPS:
+        for same in zip(*group, strict=True):
+            for form in same:
+                out.setdefault(form, set()).update(same)
+    return {form: sorted(others - {form}) for form, others in out.items()}
+
+
 def word_features(word: str) -> set[str]:
     """A word and its character n-grams; a space marks the word's edges."""
     marked = f" {word} "
@@ -132,57 +149,87 @@ def _most_telling(counts: DataFrame, n_pos: int, n_neg: int, k: int) -> list[str
     return sorted(r["feature"] for r in top.select("feature").collect())
 
 
-def _examples(rows: DataFrame, features: list[str]) -> list:
-    """(toxic, places of the features the text holds as 32-bit numbers, (term, sentences that hold it) of the group terms) of the sampled rows."""
-    terms = [t for group in GROUPS for t in group]
+def rewrites(features: list[str]) -> Callable[[str], Iterator[tuple[bytes, bytes, int]]]:
+    """Function from a text to its rewritings that move a score: (places of the features gained, of those lost, sentences rewritten), as 32-bit numbers."""
+    find, swaps = finder(features), partners()
+    alone = {form: find({form}) for form in swaps}
+
+    def packed(places: set[int]) -> bytes:
+        return np.array(sorted(places), dtype="<i4").tobytes()
+
+    def of(text: str) -> Iterator[tuple[bytes, bytes, int]]:
+        words = words_of(text)
+        named = sorted(words & swaps.keys())
+        sentences = [words_of(s) for s in SENTENCE.findall(text)] if named else []
+        for form in named:
+            rest = find(words - {form})
+            before, times = rest | alone[form], sum(form in s for s in sentences)
+            for other in swaps[form]:
+                after = rest | alone[other]
+                if after != before:
+                    yield packed(after - before), packed(before - after), times
+
+    return of
 
+
+def _examples(rows: DataFrame, features: list[str]) -> tuple[list[tuple[int, np.ndarray]], Counter]:
+    """(toxic, places of the features the text holds) of the sampled rows, and the sentences of each rewriting (gained, lost), added up by batch."""
     def run(batches):
-        find = finder(features)
+        find, rewritten = finder(features), rewrites(features)
         for batch in batches:
-            toxic, held, named = [], [], []
+            toxic, held, swaps = [], [], Counter()
             for y, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words = words_of(text)
-                present = [i for i, t in enumerate(terms) if t in words]
-                sentences = [words_of(s) for s in SENTENCE.findall(text)] if present else []
                 toxic.append(y)
-                held.append(np.array(sorted(find(words)), dtype="<i4").tobytes())
-                named.append([{"term": i, "sentences": sum(terms[i] in s for s in sentences)} for i in present])
-            kinds = (pa.int32(), pa.binary(), pa.list_(pa.struct([("term", pa.int64()), ("sentences", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((toxic, held, named), kinds, strict=True)], ["toxic", "held", "named"])
-
-    return rows.mapInArrow(run, "toxic int, held binary, named array<struct<term:long,sentences:long>>").collect()
-
-
-def _swaps(features: list[str], sentences: np.ndarray) -> list[tuple[list[int], list[int], float]]:
-    """(places gained, places lost, weight) of every swap of two terms of a group that moves the score."""
-    place = {f: i for i, f in enumerate(features)}
-    at, out = 0, []
-    for group in GROUPS:
-        held = [{place[f] for f in word_features(t) if f in place} for t in group]
-        for i in range(len(group)):
-            for j in range(i + 1, len(group)):
-                if held[i] != held[j]:
-                    out.append((sorted(held[j] - held[i]), sorted(held[i] - held[j]), 1.0 + sentences[at + i] + sentences[at + j]))
-        at += len(group)
-    return out
+                held.append(np.array(sorted(find(words_of(text))), dtype="<i4").tobytes())
+                for gained, lost, times in rewritten(text):
+                    swaps[gained, lost] += times
+            none = [None] * len(swaps)
+            columns = (toxic + none, held + [g for g, _ in swaps], [None] * len(toxic) + [x for _, x in swaps], [None] * len(toxic) + list(swaps.values()))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["toxic", "held", "lost", "sentences"])
+
+    examples, swaps = [], Counter()
+    for r in rows.mapInArrow(run, "toxic int, held binary, lost binary, sentences long").collect():  # of the bounded sample
+        if r["lost"] is None:
+            examples.append((r["toxic"], np.frombuffer(r["held"], "<i4")))
+        else:
+            swaps[bytes(r["held"]), bytes(r["lost"])] += r["sentences"]
+    return examples, swaps
+
+
+def _changes(swaps: Counter, features: list[str]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(places gained, places lost, weight) of every rewriting, those of the bare terms included."""
+    swaps, rewritten = Counter(swaps), rewrites(features)
+    for form in partners():
+        for gained, lost, times in rewritten(form):
+            swaps[gained, lost] += times
+    return [(np.frombuffer(g, "<i4"), np.frombuffer(x, "<i4"), float(n)) for (g, x), n in sorted(swaps.items())]
 
 
 def _optimise(y: np.ndarray, held: list[np.ndarray], weight: np.ndarray, d: int, swaps) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated proximal gradient."""
     owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
     place = np.concatenate([*held, np.empty(0, np.int64)]).astype(np.int64)
-    change = np.zeros((len(swaps), d))
-    for r, (gained, lost, share) in enumerate(swaps):
-        change[r, gained], change[r, lost] = 1.0, -1.0
-        change[r] *= math.sqrt(share / sum(s[2] for s in swaps))
+    whole = sum(s[2] for s in swaps)
+    of = np.repeat(np.arange(len(swaps)), [len(g) + len(x) for g, x, _ in swaps])
+    moved_at = np.concatenate([p for g, x, _ in swaps for p in (g, x)] + [np.empty(0, np.int64)]).astype(np.int64)
+    by = np.concatenate([np.repeat((1.0, -1.0), (len(g), len(x))) for g, x, _ in swaps] + [np.empty(0)])
+    shares = np.array([s[2] / whole for s in swaps])
     weight = weight / weight.sum()
 
+    def even(w):
+        """Half the slope of the mean squared change of the score."""
+        if not len(of):
+            return np.zeros(d)
+        change = np.bincount(of, by * w[moved_at], len(swaps))
+        return np.bincount(moved_at, by * (shares * change)[of], d)
+
     def scores(w):
         return np.bincount(owner, w[place], len(held)) if len(place) else np.zeros(len(held))
 
     probe, norm = np.ones(d) / math.sqrt(max(d, 1)), 0.0  # largest curvature, by power iteration
     for _ in range(15):
-        v = np.bincount(place, (weight * scores(probe))[owner], d) / 4 + COUNTERFACTUAL * change.T @ (change @ probe) if len(place) else probe
+        v = np.bincount(place, (weight * scores(probe))[owner], d) / 4 + COUNTERFACTUAL * even(probe) if len(place) else probe
         norm = float(np.linalg.norm(v)) or 1.0
         probe = v / norm
     rate = 1 / (1.1 * norm + L2 + 0.25)
@@ -195,7 +242,7 @@ def _optimise(y: np.ndarray, held: list[np.ndarray], weight: np.ndarray, d: int,
         wx, bx = w + (t - 1) / t1 * (w - w0), b + (t - 1) / t1 * (b - b0)
         p = 1 / (1 + np.exp(-np.clip(scores(wx) + bx, -30, 30)))
         error = weight * (p - y)
-        slope = (np.bincount(place, error[owner], d) if len(place) else np.zeros(d)) + L2 * wx + COUNTERFACTUAL * change.T @ (change @ wx)
+        slope = (np.bincount(place, error[owner], d) if len(place) else np.zeros(d)) + L2 * wx + COUNTERFACTUAL * even(wx)
         moved = wx - rate * slope
         w0, b0, t = w, b, t1
         w = np.sign(moved) * np.maximum(np.abs(moved) - rate * L1, 0)
@@ -214,17 +261,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(counts) < 2:
         return Model(30.0 if counts.get(1) else -30.0)
     features = _most_telling(_feature_counts(rows), min(counts[1], max_rows), min(counts[0], max_rows), max_features)
-    examples = _examples(rows, features)
-    y = np.array([r["toxic"] for r in examples], dtype=float)
+    examples, swaps = _examples(rows, features)
+    y = np.array([toxic for toxic, _ in examples], dtype=float)
     if not len(features) or y.min(initial=1) == y.max(initial=0):
         return Model(math.log(counts[1] / counts[0]))
-    sentences = np.zeros(sum(map(len, GROUPS)))
-    for r in examples:
-        for s in r["named"]:
-            sentences[s["term"]] += s["sentences"]
     share = {label: counts[label] / total / max(1.0, float((y == label).sum())) for label in (0, 1)}
     weight = np.where(y == 1, share[1], share[0])
-    w, b = _optimise(y, [np.frombuffer(r["held"], "<i4") for r in examples], weight, len(features), _swaps(features, sentences))
+    w, b = _optimise(y, [held for _, held in examples], weight, len(features), _changes(swaps, features))
     return Model(float(b), {features[i]: float(w[i]) for i in np.flatnonzero(w)})
 
 
@@ -242,10 +285,12 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose score is below ``threshold``, with all their columns."""
+    """The rows whose score is below ``threshold``, with all their columns; NULL and empty texts have the score of a text without features."""
     @F.pandas_udf("double")
-    def scored(text):
-        return text.fillna("").map(model.scorer()).astype("float64")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        score = model.scorer()  # once a task
+        for text in batches:
+            yield text.fillna("").map(score).astype("float64")
 
     name = fresh("score")
     return docs.withColumn(name, scored(F.col(f"`{text_col}`"))).where(F.col(name) < threshold).drop(name)

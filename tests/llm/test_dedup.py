@@ -320,6 +320,52 @@ def test_counterfactual_term_evens_out_group_mentions(toxic_data, monkeypatch):
     assert gap() > 3 * even
 
 
+def test_swapped_neutral_sentences_keep_their_score(spark, toxic_data, monkeypatch):
+    """Neutral sentences about a group that toxic rows name: score change under a swap, and rejected sentences, with the term on and off."""
+    docs, labels, _ = toxic_data
+    rng = random.Random(4)
+    plain = [" ".join(rng.choices([f"word{i}" for i in range(80)], k=10)) for _ in range(60)]
+
+    def measured():
+        score = toxicity.fit(docs, labels).scorer()
+        swapped = [[score(f"{t} {form} people") for form in ("muslim", "christian", "jewish", "hindu")] for t in plain]
+        return np.mean([max(x) - min(x) for x in swapped]), sum(x[0] >= toxicity.THRESHOLD for x in swapped)
+
+    change, rejected = measured()
+    monkeypatch.setattr(toxicity, "COUNTERFACTUAL", 0.0)
+    change_off, rejected_off = measured()
+    assert change < 0.5 * change_off and rejected <= rejected_off
+
+
+def test_rewrites_equal_rewritten_texts():
+    """The features gained and lost are those of the text with the term replaced word by word."""
+    text = "The women met. Two MEN and women left; a workman stayed! Muslims, too.\nNo term here. Womens"
+    features = sorted(set().union(*map(toxicity.word_features, toxicity.words_of(text + " men man girls christians jews boys"))))
+    held = lambda t: {i for i, f in enumerate(features) if any(f in f" {w} " for w in toxicity.words_of(t))}
+    wanted = []
+    for form, others in toxicity.partners().items():
+        times = sum(form in toxicity.words_of(s) for s in toxicity.SENTENCE.findall(text))
+        for other in others if times else ():
+            after = held(" ".join(other if w == form else w for w in toxicity.WORD.findall(text.lower())))
+            if after != held(text):
+                wanted.append((after - held(text), held(text) - after, times))
+    got = [(set(np.frombuffer(g, "<i4").tolist()), set(np.frombuffer(x, "<i4").tolist()), n) for g, x, n in toxicity.rewrites(features)(text)]
+    order = lambda r: (sorted(r[0]), sorted(r[1]), r[2])
+    assert sorted(got, key=order) == sorted(wanted, key=order) and {n for _, _, n in got} == {1, 2}
+    assert list(toxicity.rewrites(features)("")) == [] and list(toxicity.rewrites([])(text)) == []
+    assert "muslim" in toxicity.partners()["christian"] and "muslims" in toxicity.partners()["christians"]
+
+
+def test_scores_follow_from_the_weights(spark, toxic_data):
+    docs, labels, _ = toxic_data
+    model = toxicity.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.score_texts(docs, model).collect():
+        held = set().union(*map(toxicity.word_features, toxicity.words_of(texts[r.doc_id])))
+        z = model.bias + sum(w for f, w in model.weights.items() if f in held)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def test_held_out_labels_are_never_read(spark, toxic_data):
     docs, labels, _ = toxic_data
     spoilt = labels.withColumn("toxic", F.when(toxicity.fold(F.col("doc_id")) == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
