@@ -37,6 +37,8 @@ WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 MIN_MATCH = 3
 MAX_GAP = 12
 COVER = 0.6
+# Templates of up to so many words add their label only when all their words stand in order.
+SHORT_TEMPLATE = 8
 # The share of a span that may lie in a better one.
 OVERLAP = 0.5
 
@@ -83,6 +85,10 @@ TEMPLATES = (
               "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
      ("gnu general public license", "version 2")),
     ("gpl-2", "This work is licensed under the GNU General Public License, version 2", ("gnu general public license", "version 2")),
+    ("gpl-2", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+              "version 2 as published by the Free Software Foundation.", ("gnu general public license version 2",)),
+    ("cc-by-nc-sa-4", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License",
+     ("attribution noncommercial sharealike 4 0",)),
     ("lgpl-3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
                "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
      ("gnu lesser general public license", "version 3")),
@@ -106,6 +112,13 @@ TEMPLATES = (
                   "sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or "
                   "non-commercial, and by any means.", ("free and unencumbered software",)),
 )
+# Labels and identifiers of the one-line form "SPDX-License-Identifier: <identifier>".
+IDENTIFIERS = (
+    ("mit", "MIT"), ("apache-2", "Apache-2.0"), ("bsd-2", "BSD-2-Clause"), ("bsd-3", "BSD-3-Clause"), ("isc", "ISC"), ("mpl-2", "MPL-2.0"),
+    ("gpl-2", "GPL-2.0"), ("gpl-3", "GPL-3.0"), ("lgpl-2.1", "LGPL-2.1"), ("lgpl-3", "LGPL-3.0"), ("agpl-3", "AGPL-3.0"),
+    ("cc0", "CC0-1.0"), ("cc-by-4", "CC-BY-4.0"), ("cc-by-sa-4", "CC-BY-SA-4.0"), ("cc-by-nc-sa-4", "CC-BY-NC-SA-4.0"), ("unlicense", "Unlicense"),
+)
+IDENTIFIER_LINES = tuple((label, f"SPDX-License-Identifier: {name}", ()) for label, name in IDENTIFIERS)
 # Labels, files of full texts beside this module, and keys.
 FULL_TEXTS = (
     ("apache-2", "Apache-2.0", ("apache license version 2 0",)), ("gpl-2", "GPL-2", ("gnu general public license version 2",)),
@@ -233,8 +246,10 @@ class Scanner:
         return out
 
     def _counts(self, chain: tuple[int, int, int, int], words: list[str]) -> bool:
-        """Whether a closed chain's words hold its template's keys."""
-        template, first, end, _ = chain
+        """Whether a closed chain's words hold its template's keys, and a short template whole and without other words."""
+        template, first, end, held = chain
+        if self.sizes[template] <= SHORT_TEMPLATE and not held == end - first == self.sizes[template]:
+            return False
         span = f" {' '.join(words[first:end])} "
         return all(k in span for k in self.keys[template])
 
@@ -295,7 +310,7 @@ def best_spans(covered: list[tuple[str, int, int, float, int]]) -> list[tuple[st
 def default_scanner() -> Scanner:
     texts_ = files("seasonlens.llm") / "license_texts"
     full = tuple((label, (texts_ / f"{name}.txt").read_text("utf-8"), keys) for label, name, keys in FULL_TEXTS)
-    return Scanner(templates=TEMPLATES + full)
+    return Scanner(templates=TEMPLATES + IDENTIFIER_LINES + full)
 
 
 COVERED = T.ArrayType(T.StructType([

@@ -169,6 +169,25 @@ def test_license_labels_need_the_words_that_tell_templates_apart(spark):
     assert got[0].score == got[1].score == 0
 
 
+def test_short_notices_and_identifiers(spark):
+    """True and false notices: a short template needs all its words in order, an identifier line its whole identifier."""
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+    want = [("I do not hold the MIT license but it was released under the terms", ""), ("He lost the MIT license", ""), ("released under the MIT License", "mit"),
+            ("released under the famous MIT License", ""), ("Released under the the MIT License", ""), ("license MIT the under released", ""),
+            ("licensed under the Apache License, version 3.0", ""), ("Licensed under the Apache License, Version 2.0", "apache-2"),
+            ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "cc-by-nc-sa-4"),
+            (gpl + "version 2 as published by the Free Software Foundation.", "gpl-2"),
+            ("// SPDX-License-Identifier: GPL-2.0-only", "gpl-2"), ("# SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3"),
+            ("SPDX-License-Identifier: Zlib", ""), ("SPDX-License-Identifier: GPL-1.0", ""), ("an SPDX license identifier is a short name", ""),
+            ("SPDX-License-Identifier: MIT\n" * 3, "mit"), ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: ISC\n", "isc,mit"),
+            *((f"x SPDX-License-Identifier: {name} y", label) for label, name in licenses.IDENTIFIERS)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    for i, (text, label) in enumerate(want):
+        base = {x for _, x in phrases_by_force(text)}  # a base phrase may stand in an identifier line too
+        assert (text, got[i].base_labels, got[i].labels) == (text, ",".join(sorted(base)), ",".join(sorted(base | set(filter(None, label.split(","))))))
+
+
 # --- secrets and personal data
 
 def base_secrets(text: str) -> list[tuple]:
