@@ -20,7 +20,7 @@ from test_dedup import links_by_force, roots
 from test_texts import base_pii, base_secrets, phrases_by_force
 
 SF = "/root/testdata/sf0.001"
-NAMES = [f"op{i}" for i in range(1, 11)]
+NAMES = [f"op{i}" for i in range(1, 14)]
 
 
 @pytest.fixture(scope="module")
