@@ -47,11 +47,12 @@ def test_registered_once_each():
 def test_equals_sql(spark, name):
     got = queries.QUERIES[name](spark, SF)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "labels", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     res = con.execute(sql.ORACLE[name])
     columns = [d[0] for d in res.description]
     assert sorted(columns) == sorted(got.columns)
-    assert sorted(map(str, got.select(columns).toPandas().itertuples(index=False, name=None))) == sorted(map(str, res.df().itertuples(index=False, name=None)))
+    assert sorted(str(tuple(r)) for r in got.select(columns).collect()) == sorted(map(str, res.fetchall()))
 
 
 def test_op1_and_op4_equal_the_tokenizers_library(spark, documents):
