@@ -405,7 +405,7 @@ def _raw_lines(spark, sf_dir):
         info.withField("participants", F.when(k % 13 != 1, info["participants"]))
         .withField("gameStartTimestamp", F.when(k % 17 != 2, info["gameStartTimestamp"])).alias("info"))
     broken = binding.table(spark, sf_dir, "events").select(F.concat(F.lit("{broken "), "event_type").alias("value")).distinct()
-    spoilt.select(F.to_json(F.struct("metadata", "info")).alias("value")).unionByName(broken).write.text(path)
+    spoilt.select(F.to_json(F.struct("metadata", "info")).alias("value")).unionByName(broken).write.option("compression", "gzip").text(path)
     return path
 
 

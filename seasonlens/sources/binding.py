@@ -79,8 +79,9 @@ def lineitem_orders_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
     # Both joins are left to Spark's size-based choice: lineitem x orders is
     # shuffled at scale and may spill, part is broadcast while it is small.
-    return li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        part, F.col("l_partkey") == F.col("p_partkey")
+    # Orders come last, so the rows leave clustered by order and grouping them by order needs no shuffle.
+    return li.join(part, F.col("l_partkey") == F.col("p_partkey")).join(
+        orders, F.col("l_orderkey") == F.col("o_orderkey")
     )
 
 
