@@ -36,6 +36,9 @@ def _seed(keys: Sequence[str], kind: str) -> Column:
     return F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(kind))
 
 
+# Feature columns the fact numbers read.
+FACT_COLUMNS = ("championName", "teamPosition", "month", "gameMode", "win", "visionScore", "assists", "gameDuration", "hour")
+
 # Grouping columns (besides the keys) of the count-based fact kinds.
 _FACT_SETS = {
     "champion": ("championName",),
