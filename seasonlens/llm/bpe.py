@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from seasonlens.llm.common import map_texts, texts
 
 # Entries of one generation of a task's memos (words, pre-tokens, token pairs).
-MEMO_SIZE = 300_000
+MEMO_SIZE = 100_000
 # Longer words are encoded without being kept.
 MEMO_CHARS = 48
 
@@ -111,16 +111,6 @@ class Vocabulary:
             self.automaton.add_word(word, (r, len(word)))
         self.automaton.make_automaton()
         self.joint: dict[int, bool] = {}
-        # Offset table of the decoder: blob[start[id] : start[id] + length[id]].
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        parts = [b""] * size
-        for r, w in enumerate(self.words):
-            parts[vocab[names[r]]] = w.encode("latin-1")
-        for text, i in self.special.items():
-            parts[i] = text.encode()
-        self.blob = np.frombuffer(b"".join(parts), dtype=np.uint8)
-        self.length = np.array([len(p) for p in parts], dtype=np.int64)
-        self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
 
     def _longest_prefix(self, word: str) -> int:
         for n in range(len(word) - 1, 0, -1):
@@ -204,6 +194,26 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+class Offsets:
+    """Offset table of the decoder, blob[start[id] : start[id] + length[id]]; a decoding task holds none of the encoder's tables."""
+
+    def __init__(self, path: str):
+        ordinary, special = token_bytes(path)
+        parts = [b""] * (max([*ordinary.values(), *special.values()]) + 1)
+        for data, i in ordinary.items():
+            parts[i] = data
+        for text, i in special.items():
+            parts[i] = text.encode()
+        self.blob = np.frombuffer(b"".join(parts), dtype=np.uint8)
+        self.length = np.array([len(p) for p in parts], dtype=np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
+
+
+@lru_cache(maxsize=2)
+def offsets(path: str) -> Offsets:
+    return Offsets(path)
+
+
 class Encoder:
     """Encodes texts to little-endian 32-bit ids, with a bounded memo of words."""
 
@@ -260,10 +270,10 @@ class Decoder:
     """Texts of little-endian 32-bit ids, by the offset table."""
 
     def __init__(self, path: str):
-        self.vocab = vocabulary(path)
+        self.table = offsets(path)
 
     def decode(self, data: bytes) -> str:
-        v = self.vocab
+        v = self.table
         ids = np.frombuffer(data, dtype="<u4")
         if not len(ids):
             return ""
@@ -303,6 +313,6 @@ def bpe_decode(ids: Column, vocabulary_path: str | None = None) -> Column:
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
         decoder = Decoder(path)
-        return pa.array([None if x is None else decoder.decode(x) for x in column.to_pylist()], pa.string())
+        return pa.array([decoder.decode(x.as_py()) if x.is_valid else None for x in column], pa.string())
 
     return decode(ids)

@@ -348,3 +348,13 @@ def test_crc_of_pieces(spark):
     ids = ids_of("some words to pack") + [0]
     for r in packing.pack(docs).selectExpr("start", "length", "crc32(ids) as c").collect():
         assert r.c == zlib.crc32(np.array(ids[r.start:r.start + r.length], "<u4").tobytes())
+
+
+def test_decoding_task_holds_no_encoder_tables():
+    bpe.vocabulary.cache_clear()
+    path = bpe.default_vocabulary()
+    ids = bpe.Encoder(path).encode("caf\u00e9 \U0001f600 two  words")
+    bpe.vocabulary.cache_clear()
+    assert bpe.Decoder(path).decode(ids) == "caf\u00e9 \U0001f600 two  words"
+    assert bpe.vocabulary.cache_info().currsize == 0  # only the offset table was loaded
+    assert bpe.MEMO_SIZE <= 100_000
