@@ -107,3 +107,21 @@ def test_fields_of_documents_are_taken_before_the_join(spark, tmp_dir):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
     joined, below = plan.split("Exchange", 1)
     assert "totalGames" not in joined and "totalGames" in below
+
+
+def test_one_document_files_are_parsed_once(spark, tmp_dir):
+    from seasonlens.sources import matches as M
+
+    docs = spark.range(40).select(
+        F.concat(F.lit("p"), F.col("id") % 3).alias("puuid"), F.concat(F.lit("m"), "id").alias("matchId"), F.lit(2024).alias("year"),
+        F.lit(1).alias("month_part"), F.lit(2).alias("day_part"),
+        F.when(F.col("id") == 1, F.lit("{")).when(F.col("id") == 2, F.lit("[]")).when(F.col("id") == 3, F.lit('{"kills": 1}'))
+        .otherwise(F.concat(F.lit('{"kills": 2, "matchId": "m'), "id", F.lit('"}'))).alias("value"))
+    M.write_date_path_documents(docs, tmp_dir)
+    for infer in (False, True):
+        good, bad = M.read_date_path_documents(spark, tmp_dir, infer)
+        for made in (good, bad):
+            assert "FileScan json" not in made._jdf.queryExecution().executedPlan().toString()
+        assert sorted((os.path.basename(r.path), r.reason) for r in bad.collect()) == [
+            ("m1.json", "unparsable"), ("m2.json", "no document"), ("m3.json", "missing matchId")]
+        assert good.count() == 37 and good.agg(F.sum("kills")).first()[0] == 74
