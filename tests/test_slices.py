@@ -109,6 +109,25 @@ def test_fields_of_documents_are_taken_before_the_join(spark, tmp_dir):
     assert "totalGames" not in joined and "totalGames" in below
 
 
+def test_matches_are_written_in_slices_of_dates(spark, tmp_dir, small_slices, monkeypatch):
+    from seasonlens.sources import matches as M
+
+    games = _games(spark, tmp_dir)
+    asked = []
+    real = M.stage_slices
+    monkeypatch.setattr(M, "stage_slices", lambda df, number, name: asked.append(name) or real(df, number, name))
+    key = lambda df: sorted((r.matchId, r.year, r.month_part, r.kills) for r in df.collect())
+    for fmt in ("parquet", "json"):
+        path = os.path.join(tmp_dir, fmt)
+        M.write_player_matches(games.withColumn("kills", F.lit(0).cast("long")), path, fmt=fmt)
+        M.write_player_matches(games.where("year = 2024"), path, fmt=fmt)  # only its dates are replaced
+        want = games.withColumn("kills", F.when(F.col("year") == 2024, F.col("kills")).otherwise(0))
+        assert key(M.read_player_matches(spark, path, fmt)) == key(want)
+        M.write_player_matches(games.where("year = 2023"), path, fmt=fmt, mode="append")
+        assert M.read_player_matches(spark, path, fmt).count() == 180
+    assert asked == ["match_rows"] * 6
+
+
 def test_one_document_files_are_parsed_once(spark, tmp_dir):
     from seasonlens.sources import matches as M
 
