@@ -128,6 +128,31 @@ def test_matches_are_written_in_slices_of_dates(spark, tmp_dir, small_slices, mo
     assert asked == ["match_rows"] * 6
 
 
+def test_a_refresh_in_slices_is_the_same(spark, tmp_dir, monkeypatch):
+    from seasonlens.sources.matches import read_player_matches, write_player_matches
+    from seasonlens.streaming import runners as R
+
+    monkeypatch.setattr(R, "SLICE_BYTES", 1000)
+    monkeypatch.setattr(R, "TOUCHED", 12)
+    d, games = dims(spark), _games(spark, tmp_dir).where("puuid is not null")
+    table, out = os.path.join(tmp_dir, "t"), os.path.join(tmp_dir, "docs")
+    write_player_matches(games.withColumn("championName", F.lit("?")), table)
+    before = _staged(spark)
+    some = games.where("puuid <> 'p1'")
+    R.refresh_batch(spark, some, 0, read_player_matches(spark, table), out, d)
+    write_player_matches(games, table)
+    R.refresh_batch(spark, some.where("puuid > 'p2'"), 0, read_player_matches(spark, table), out, d)
+    assert {n.rsplit("-", 1)[0] for n in _staged(spark) - before} <= {"item_names"}
+    fresh = {(p, y): j for p, y, j in _docs(doc.build_documents(d.mode(add_features(games)), d))}
+    old = {(p, y): j for p, y, j in _docs(doc.build_documents(d.mode(add_features(games.withColumn("championName", F.lit("?")))), d))}
+    want = {k: fresh[k] if k[0] > "p2" else old[k] for k in fresh if k[0] != "p1"}
+    assert {(r.puuid, r.year): r.summary_json for r in R.latest_documents(spark, out).collect()} == want
+    assert spark.read.parquet(out).groupBy("version").count().collect()  # versions 1 and 2
+    n = F.get_json_object("summary_json", "$.summary.global.totalGames").cast("int").alias("n")
+    got = R.latest_documents(spark, out, columns=[n])
+    assert got.columns == ["puuid", "year", "n"] and got.agg(F.sum("n")).first()[0] == games.where("puuid <> 'p1'").count()
+
+
 def test_one_document_files_are_parsed_once(spark, tmp_dir):
     from seasonlens.sources import matches as M
 
