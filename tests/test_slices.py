@@ -76,6 +76,19 @@ def test_staging_leaves_no_shuffle_files(spark):
     session.unstage(copy)
 
 
+def test_documents_in_slices_are_the_same(spark, tmp_dir, small_slices, monkeypatch):
+    d, feat = _features(spark, tmp_dir)
+    whole = _docs(doc.build_documents(feat, d))
+    before, asked = _staged(spark), []
+    real = doc.stage_slices
+    monkeypatch.setattr(doc, "stage_slices", lambda df, number, name: asked.append(name) or real(df, number, name))
+    made = doc.build_documents(feat, d, stage_input=True)
+    assert asked == ["document_rows"]
+    assert _docs(made) == whole and len(whole) == 26
+    left = {n.rsplit("-", 1)[0] for n in _staged(spark) - before}
+    assert left <= {"documents", "item_names"}  # the games' copies are gone
+
+
 def test_stored_documents_in_slices_are_the_same(spark, tmp_dir, small_slices):
     d, feat = _features(spark, tmp_dir)
     path = os.path.join(tmp_dir, "out")
